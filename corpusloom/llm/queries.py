@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, rules
 from .common import table
 
 
@@ -15,8 +16,42 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.tokenize_and_pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]), rules.PROSE)
+    base = F.col("fail_bits").bitwiseAND(F.lit(rules.BASE.mask)) != 0
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "fail_bits")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT doc_id, i, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, w, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS rep FROM g),
+r AS (SELECT doc_id, w, rep OR coalesce(lag(rep, 1) OVER p, false) OR coalesce(lag(rep, 2) OVER p, false) AS hit
+      FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+ws AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (hit) AS n_repeat_words,
+              count(*) FILTER (regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]')) AS n_alpha FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_alpha, 0) AS n_alpha,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
+      FROM d LEFT JOIN ws USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT)
+             + 4 * CAST(10 * n_symbols > n_words AS BIGINT)
+             + 8 * CAST(n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 12 * n_words) AS BIGINT)
+             + 16 * CAST(2 * n_dup_lines > n_lines AS BIGINT) + 32 * CAST(10 * n_upper > 4 * n_letters AS BIGINT)
+             + 64 * CAST(10 * n_alpha < 8 * n_words AS BIGINT) + 128 * CAST(n_words > 100000 AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
+""",
+}
