@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,15 @@ def bounded_sample(keyed: DataFrame, id_col: str, group: list[str], most: int) -
         .where(F.col("_r") <= most)
         .drop("_h", "_n", "_r")
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> pd.DataFrame:
+    """Texts and 0/1 labels of at most `most` documents of each class, in the order of their ids.
+
+    Null labels and ids are left out; of rows with one id the largest label and the smallest text count."""
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    sample = bounded_sample(rows, "id", ["label"], most)
+    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    pdf = got.join(F.broadcast(sample), "id").toPandas()  # 2 x most rows, but for repeated ids
+    return pdf.sort_values(["id", "text"], kind="stable").drop_duplicates("id", ignore_index=True)

@@ -1,7 +1,7 @@
 """Packing of tokenized documents into windows by multiway differencing (operator 8).
 
 Every document becomes the ids of its text followed by a separator id. It is cut into pieces of
-at most `window` ids: whole windows first, then one remainder. The remainders of a block of
+at most `window` ids: whole windows first, then one remainder, or two if it exceeds half a window. The remainders of a block of
 documents are dealt to m windows by the Karmarkar-Karp multiway differencing method: partial
 partitions are merged so that the largest sum of one meets the smallest sum of the other, which
 leaves sums that are nearly equal. m starts at the least possible number and rises whenever a
@@ -198,8 +198,9 @@ def pieces_schema(id_type: str, with_ids: bool) -> str:
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each document: whole windows, then the remainder. With ids, or with their checksum only."""
-    path = vocabulary or default_vocabulary()
+    """One row for each piece of each document: whole windows, then the remainder in at most two pieces, as smaller items
+    level the windows. With ids, or with their checksum only."""
+    path, half = vocabulary or default_vocabulary(), max(1, window // 2)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voca
             rows, start, length, crc, total, made = [], [], [], [], [], []
             for r in range(chunk.rows):
                 ids = np.append(flat[offs[r] : offs[r + 1]], SEPARATOR).astype("<u4")
-                for at in range(0, len(ids), window):
-                    piece = ids[at : at + window]
+                whole = len(ids) // window * window
+                for at in [*range(0, whole, window), *range(whole, len(ids), half)]:
+                    piece = ids[at : at + (window if at < whole else half)]
                     rows.append(chunk.first + r)
                     start.append(at)
                     length.append(len(piece))
