@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, toxicity
+from . import licenses, packing, quality, rules, toxicity
 from .common import held_out, table
 
 
@@ -22,6 +22,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "fail_bits")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    scored = quality.score(docs, forest)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, method = F.array_distinct(F.col("spans.label")), F.array_distinct(F.col("blocks.label"))
+    starts = F.col("spans.first_word")
+    some = F.size("spans") > 0
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("spans").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, method)), ",").alias("labels"),
+        F.greatest(F.when(some, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.col("blocks.containment")), F.lit(0.0))).alias("score"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
@@ -30,12 +54,42 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
+    "op5_licenses": op5_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
+def _license_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quote(label)}, {quote(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"({quote(label)}, {quote(text)})" for text, label in licenses.PHRASES)
+    cls = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{cls}')"
+    return f"""
+WITH d AS (SELECT doc_id, {split("coalesce(text, '')")} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+p AS (SELECT label, string_split(phrase, ' ') AS pw FROM (VALUES {phrases}) AS v(label, phrase)),
+s AS (SELECT w.doc_id, w.i, p.label FROM w JOIN p ON w.w = p.pw[1] JOIN d ON d.doc_id = w.doc_id
+      WHERE list_slice(d.ws, w.i + 1, w.i + len(p.pw)) = p.pw),
+b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS found FROM s GROUP BY doc_id),
+t AS (SELECT id, label, unnest(list_distinct({split("body")})) AS w, len(list_distinct({split("body")})) AS size FROM (VALUES {templates}) AS v(id, label, body)),
+k AS (SELECT w.doc_id, t.id, t.label, t.size, w.w, unnest([w.i // 32, w.i // 32 - 1]) AS block FROM w JOIN t ON w.w = t.w),
+c AS (SELECT doc_id, id, label, block, count(DISTINCT w) / any_value(size) AS share FROM k WHERE block >= 0
+      GROUP BY doc_id, id, label, block, size HAVING count(DISTINCT w) >= ceil(0.8 * any_value(size) - 1e-9)),
+m AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
+       CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word, coalesce(b.base_labels, '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(m.found, [])))), ',') AS labels,
+       greatest(CASE WHEN b.n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(m.share, 0.0)) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": _license_sql(),
     "op9_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
