@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality, rules, toxicity
-from .common import held_out, table
+from . import langid, licenses, packing, quality, rules, toxicity, warc
+from .common import Scratch, held_out, table
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = f"{Scratch(spark, 'warc').path}/archive"
+    warc.write(pages, archive)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, archive).select(F.col("source_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality": op3_quality,
     "op5_licenses": op5_licenses,
+    "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
@@ -97,6 +106,13 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 
 ORACLE_SQL: dict[str, str] = {
     "op5_licenses": _license_sql(),
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT page_id, n, h, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS target FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN target = page_id THEN NULL ELSE target END AS refers_to FROM q
+""",
     "op9_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
