@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, quality, rules, toxicity, warc
+from . import langid, licenses, linededup, packing, quality, rules, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -28,6 +28,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lost = linededup.removals(docs)
+    keys = docs.select("doc_id", linededup.document_key("doc_id").alias("_id"), linededup.text_key("text").alias("_hash"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    removed = F.coalesce("_removed", F.array().cast("array<int>"))
+    return keys.join(lost, ["_id", "_hash"], "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
@@ -69,6 +77,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
