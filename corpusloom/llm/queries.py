@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, linededup, packing, quality, rules, toxicity, warc
+from . import dartminhash, langid, licenses, linededup, packing, quality, rules, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -43,6 +43,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base, method = F.array_distinct(F.col("spans.label")), F.array_distinct(F.col("blocks.label"))
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_near_dedup": op4_near_dedup,
     "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
