@@ -1,10 +1,61 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import dartminhash, decontam, langid, linededup, packing
+from corpusloom.llm.common import Scratch, held_out, table
+
+#: A document is rejected if no language is found or its probability is below this.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised."""
+    model = langid.train(docs.where(~held_out("doc_id")))
+    kept = docs.columns
+    clash = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in kept}
+    found = langid.predict(docs.withColumnsRenamed(clash), model)
+    found = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).drop("lang_pred", "score")
+    return found.withColumnsRenamed({v: k for k, v in clash.items()}).select(*[F.col(f"`{c}`") for c in kept])
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that an earlier line resembles."""
+    return linededup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    return dartminhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a benchmark passage."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their place in a sequence."""
+    return packing.tokenize_and_pack(docs)
+
+
+STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
+
+#: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over `documents`, each written and read again."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return docs
