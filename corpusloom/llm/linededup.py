@@ -9,8 +9,8 @@ the order of document id and line number, has a Jaccard similarity of at least `
    and words that share a bucket, are ordered by their hash: any total order keeps the join exact).
 3. Each line hands on the words of its prefix. Lines that share one meet in that word's group, where
    the length filter (a range of the group sorted by length), the positional filter and a parity
-   bitmap of 64 bits (each differing word changes one bit, so more changed bits than the similarity
-   allows rule a pair out) leave few pairs. All filters are lossless.
+   bitmap (each differing word changes one bit, so more changed bits than the similarity allows rule
+   a pair out; longer lines have longer bitmaps) leave few pairs. All filters are lossless.
 4. Of each line and group only the earliest candidate is handed on, so a group of similar lines
    gives as many rows as it has lines. Candidates are verified on the whole sets. A line whose
    candidates all fail and that has more of them is tried again with all.
@@ -39,30 +39,59 @@ from .sketch import bucket_counts
 BITS = 22
 
 
-def lines_of(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and number of each line of a chunk that has words, and line (index into these) and hash of each distinct word of a line."""
+def places(chunk: B.Chunk) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk and the line each stands in; row and number of each line that has words, in order."""
     newline = chunk.buf == 0x0A
     w = B.words(chunk, B.WORDLIKE)
     before = np.concatenate(([0], np.cumsum(newline, dtype=np.int64)))
     number = before[w.start] - before[chunk.offs[w.row]]
-    place = w.row * (int(before[-1]) + 1) + number
-    lines, line = np.unique(place, return_inverse=True)
-    key = w.hash ^ B.mix(line.astype(np.uint64) + np.uint64(0x51ED27))
-    first = np.unique(key, return_index=True)[1]
-    return lines // (int(before[-1]) + 1), lines % (int(before[-1]) + 1), line[first], w.hash[first]
+    fresh = np.ones(len(w), bool)
+    fresh[1:] = (w.row[1:] != w.row[:-1]) | (number[1:] != number[:-1])
+    first = np.flatnonzero(fresh)
+    return w, np.cumsum(fresh) - 1, w.row[first], number[first]
+
+
+def ordered_words(line: np.ndarray, word: np.ndarray, scale: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each line, by line, then by rarity, then by hash."""
+    key = (line.astype(np.uint64) << np.uint64(40)) | (word & np.uint64(0xFFFFFFFF))
+    if scale is not None:
+        key |= scale[(word >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)
+    order = np.argsort(key)
+    key, line, word = key[order], line[order], word[order]
+    same = key[1:] == key[:-1]
+    if (same & (word[1:] != word[:-1])).any():  # two words of a line share half of their hash
+        order = np.lexsort((word, key))
+        line, word, key = line[order], word[order], key[order]
+        same = (key[1:] == key[:-1]) & (word[1:] == word[:-1])
+    keep = np.append(True, ~same)[: len(line)]
+    return line[keep], word[keep]
+
+
+def bitmap_words(size: np.ndarray) -> np.ndarray:
+    """Length of the parity bitmap of a line of so many words, in words of 64 bits: 1 up to 48, 2 up to 96, and so on up to 64."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1) / 48.0)).astype(np.int64), 0, 6)
+
+
+def bitmaps(line: np.ndarray, word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of all lines in one array of 64-bit words, and where each begins. A longer one folds to a shorter one."""
+    width = bitmap_words(size)
+    at = np.concatenate(([0], np.cumsum(width)))
+    h = B.mix(word + np.uint64(77))
+    place = at[line] + ((h >> np.uint64(6)).astype(np.int64) & (width[line] - 1))  # folding in halves keeps the bit in its word
+    np.bitwise_xor.at(out, place, np.uint64(1) << (h & np.uint64(63)))
+    return out, at
 
 
 def _lowered(batch: pa.RecordBatch, column: int) -> Iterator[B.Chunk]:
     return B.chunks(pc.utf8_lower(batch.column(column)))
 
 
-def word_counts(docs: DataFrame, least_words: int) -> np.ndarray:
-    """How many lines hold the words of each bucket, on a scale of 256 steps."""
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How often the words of each bucket stand in the corpus, on a scale of 256 steps."""
 
     def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for chunk in _lowered(batch, 0):
-            _, _, _, word = lines_of(chunk)
-            yield (word >> np.uint64(64 - BITS)).astype(np.int64)
+            yield (B.words(chunk, B.WORDLIKE).hash >> np.uint64(64 - BITS)).astype(np.int64)
 
     total = bucket_counts(docs.select("_text"), buckets, BITS)
     return np.minimum(255, np.round(12 * np.log2(1.0 + total))).astype(np.uint8)
@@ -81,18 +110,16 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_word
         scale = shared.value
         ids, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         for chunk in _lowered(batch, 2):
-            row, number, line, word = lines_of(chunk)
-            size = np.bincount(line, minlength=len(row))
+            w, line, row, number = places(chunk)
             n = len(row)
-            one, two, bitmap = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            key = (line.astype(np.uint64) << np.uint64(40)) | (scale[(word >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (word & np.uint64(0xFFFFFFFF))
-            order = np.argsort(key)
-            line, word = line[order], word[order]
+            if n == 0:
+                continue
+            line, word = ordered_words(line, w.hash, scale)
             start = np.searchsorted(line, np.arange(n))
-            if n:
-                one = np.add.reduceat(B.mix(word + np.uint64(11)), start)
-                two = np.add.reduceat(B.mix(word ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
-                bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (B.mix(word + np.uint64(77)) >> np.uint64(58)), start)
+            size = np.bincount(line, minlength=n)
+            one = np.add.reduceat(B.mix(word + np.uint64(11)), start)
+            two = np.add.reduceat(B.mix(word ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
+            bits, at = bitmaps(line, word, size)
             prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
             take = np.flatnonzero(size >= least_words)
             inside = np.arange(len(line)) - start[line]
@@ -100,15 +127,55 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_word
             words = (word[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             offsets = np.concatenate(([0], np.cumsum(np.minimum(prefix, size)[take]))).astype(np.int32)
             source = chunk.first + row[take]
+            width = np.diff(at)[take]
+            ends = np.concatenate(([0], np.cumsum(width)))
+            packed = bits[np.repeat(at[:-1][take] - ends[:-1], width) + np.arange(ends[-1])]
+            maps = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(packed)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), ids.take(pa.array(source)), pa.array(number[take] << 32 | texts[source]),
-                    pa.array(size[take].astype(np.int32)), pa.array(bitmap[take].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
+                    pa.array(size[take].astype(np.int32)), maps, pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
                 ],
                 ["h1", "h2", "doc", "place", "size", "bitmap", "prefix"],
             )
 
-    return in_arrow(docs.select("_id", "_hash", "_text"), run, "h1 long, h2 long, doc long, place long, size int, bitmap long, prefix array<int>")
+    return in_arrow(docs.select("_id", "_hash", "_text"), run, "h1 long, h2 long, doc long, place long, size int, bitmap binary, prefix array<int>")
+
+
+class Bitmaps:
+    """Parity bitmaps of rows in a given order, compared at the shorter length of two."""
+
+    def __init__(self, column: pa.ChunkedArray, size: np.ndarray, order: np.ndarray):
+        column = column.combine_chunks()
+        _, offsets, data = column.buffers()
+        begin = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column)].astype(np.int64)[order]
+        data = np.frombuffer(data, np.uint8)
+        self.level = np.log2(bitmap_words(size[order])).astype(np.int64)
+        self.maps: list[np.ndarray] = []
+        self.index: list[np.ndarray] = []
+        above = None
+        for level in range(int(self.level.max()), -1, -1):
+            mine = np.flatnonzero(self.level == level)
+            own = data[begin[mine][:, None] + np.arange(8 << level)].view(np.uint64) if len(mine) else np.zeros((0, 1 << level), np.uint64)
+            rows = mine
+            if above is not None:  # word k of the shorter map is the fold of the words k and k + its length of the longer
+                folded = above[1][:, : 1 << level] ^ above[1][:, 1 << level :]
+                rows, own = np.concatenate((mine, above[0])), np.concatenate((own, folded))
+            above = (rows, own)
+            index = np.full(len(order), -1, np.int64)
+            index[rows] = np.arange(len(rows))
+            self.maps.insert(0, own)
+            self.index.insert(0, index)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        level = np.minimum(self.level[i], self.level[j])
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            for lo in range(0, len(at), max(1, 1_000_000 >> k)):
+                part = at[lo : lo + max(1, 1_000_000 >> k)]
+                out[part] = np.bitwise_count(self.maps[k][self.index[k][i[part]]] ^ self.maps[k][self.index[k][j[part]]]).sum(1)
+        return out
 
 
 def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) -> DataFrame:
@@ -131,10 +198,10 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
             return
         t = pa.Table.from_batches(got)
         del got
-        word, pos, doc, place, size, bitmap, probe, cell = (t.column(c).to_numpy() for c in ("word", "pos", "doc", "place", "size", "bitmap", "probe", "cell"))
+        word, pos, doc, place, size, probe, cell = (t.column(c).to_numpy() for c in ("word", "pos", "doc", "place", "size", "probe", "cell"))
         order = np.lexsort((size, cell, word))
-        word, pos, doc, place, size, bitmap, probe, cell = (x[order] for x in (word, pos, doc, place, size, bitmap, probe, cell))
-        bitmap = bitmap.view(np.uint64)
+        differing = Bitmaps(t.column("bitmap"), size, order)
+        word, pos, doc, place, size, probe, cell = (x[order] for x in (word, pos, doc, place, size, probe, cell))
         n = len(word)
         rank = np.empty(n, np.int64)
         rank[np.lexsort((place, doc))] = np.arange(n)
@@ -152,14 +219,15 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
         at = 0
         while at < n:
             base = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + 1_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + 500_000, "right")))
             c = count[at:to]
             i = np.repeat(np.arange(at, to), c)
             j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:to], c)
             at = to
             o = need(size[i], size[j], threshold)
-            ok = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= o
-            ok &= np.bitwise_count(bitmap[i] ^ bitmap[j]) <= size[i] + size[j] - 2 * o
+            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= o
+            i, j, o = i[ok], j[ok], o[ok]
+            ok = differing(i, j) <= size[i] + size[j] - 2 * o
             i, j = i[ok], j[ok]
             same = (doc[i] == doc[j]) & (place[i] == place[j])
             later, earlier = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
@@ -194,14 +262,15 @@ def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for chunk in _lowered(batch, 2):
-            row, number, line, word = lines_of(chunk)
+            w, line, row, number = places(chunk)
             doc, place = ids[chunk.first + row], number << 32 | texts[chunk.first + row]
             hit = marked.value[_place_bucket(doc, place)]
-            order = np.argsort(line, kind="stable")
-            order = order[hit[line[order]]]
-            size = np.bincount(line, minlength=len(row))[hit]
-            offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[order].view(np.int64)))], ["doc", "place", "words"])
+            if not hit.any():
+                continue
+            asked = hit[line]
+            line, word = ordered_words(line[asked], w.hash[asked], None)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=len(row))[hit]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(place[hit]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(word.view(np.int64)))], ["doc", "place", "words"])
 
     got = in_arrow(docs.select("_id", "_hash", "_text"), run, "doc long, place long, words array<long>")
     return got.join(wanted, ["doc", "place"], "left_semi").dropDuplicates(["doc", "place"])
@@ -239,7 +308,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     source = keyed(docs, id_col, text_col)
-    rarity = word_counts(source, least_words)
+    rarity = word_counts(source)
     table = scratch.keep(line_table(source, rarity, threshold, least_words), "lines")
     first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place", "size", "bitmap", "prefix")).alias("f")).select("f.*")
     first = scratch.keep(first, "first")
@@ -249,7 +318,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = good.select("doc", "place").distinct()
     open_lines = pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti").withColumn("_probe", F.lit(True))
     if not open_lines.isEmpty():  # their earliest candidates failed: look at all of them
-        again = rows.drop("probe").join(open_lines, ["doc", "place"], "left").withColumn("probe", F.coalesce("_probe", F.lit(False))).drop("_probe")
+        own = rows.join(open_lines, ["doc", "place"], "left_semi").select("word").distinct()  # the groups in which they stand
+        again = rows.drop("probe").join(own, "word", "left_semi").join(open_lines, ["doc", "place"], "left").withColumn("probe", F.coalesce("_probe", F.lit(False))).drop("_probe")
         rest = scratch.keep(verified(source, scratch.keep(candidates(again, threshold, True, hot), "rest_pairs").drop("more"), threshold), "rest")
         later = later.union(rest.select("doc", "place").distinct())
     kept = first.select("doc", "place").join(later, ["doc", "place"], "left_anti")
