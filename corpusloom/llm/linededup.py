@@ -77,6 +77,7 @@ def bitmaps(line: np.ndarray, word: np.ndarray, size: np.ndarray) -> tuple[np.nd
     width = bitmap_words(size)
     at = np.concatenate(([0], np.cumsum(width)))
     h = B.mix(word + np.uint64(77))
+    out = np.zeros(int(at[-1]), np.uint64)
     place = at[line] + ((h >> np.uint64(6)).astype(np.int64) & (width[line] - 1))  # folding in halves keeps the bit in its word
     np.bitwise_xor.at(out, place, np.uint64(1) << (h & np.uint64(63)))
     return out, at
