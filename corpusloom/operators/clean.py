@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.detect import family as family_of
@@ -98,7 +99,7 @@ def clean_html(text: Column, aggressive: bool = False) -> Column:
     return F.when(F.size(rows) == 0, "").otherwise(squeeze(rows, 1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _by_lines(text: pd.Series, label: pd.Series, aggressive: pd.Series) -> pd.Series:
     from .line_cleaners import clean
 

@@ -20,10 +20,10 @@ def messages(texts: DataFrame, text_col: str = "text", least_bytes: int = LEAST_
 def by_label(texts: DataFrame, text_col: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Messages, tokens and expected savings of each label but plain text, with the total (label null) of all of them."""
     found = messages(texts, text_col, least_bytes).where(F.col("label") != "text")
-    return found.rollup("label").agg(
-        F.grouping_id().cast("int").alias("is_total"), F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("est_tokens"), F.lit(0).cast("long")).alias("est_tokens"),
-        F.coalesce(F.sum("est_savings"), F.lit(0).cast("long")).alias("est_savings"),
-    )
+    each = found.groupBy("label").agg(F.count(F.lit(1)).alias("messages"), F.sum("est_tokens").alias("est_tokens"), F.sum("est_savings").alias("est_savings"))
+    whole = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("messages", "est_tokens", "est_savings")]
+    total = each.agg(*whole).select(F.lit(None).cast("string").alias("label"), F.lit(1).alias("is_total"), "*")  # of the few rows of each label
+    return each.select("label", F.lit(0).alias("is_total"), "messages", "est_tokens", "est_savings").unionByName(total)
 
 
 def summary(texts: DataFrame, text_col: str = "text", session_col: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:
