@@ -51,8 +51,10 @@ def unit(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, k: int = K) -> np.ndarray:
-    """Signatures of weighted sets: element hashes and positive weights of each row, each element once in a row. Rows without elements get zeros."""
-    out = np.zeros((n_rows, k), np.uint32)
+    """Signatures of weighted sets: element hashes and positive weights of each row, each element once in a row. Rows without elements get zeros.
+
+    A coordinate keeps 16 bits of its dart's name: different darts look alike in one of 65536 cases."""
+    out = np.zeros((n_rows, k), np.uint16)
     total = np.bincount(row, weight, minlength=n_rows)
     todo = np.flatnonzero(total > 0)
     darts = k * (np.log(k) + 2)
@@ -62,7 +64,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows:
         mine = np.flatnonzero(place[row] >= 0)
         best = _throw(place[row[mine]], element[mine], weight[mine], darts / total[todo], len(todo), k)
         full = (best != np.uint64(2**64 - 1)).all(1)
-        out[todo[full]] = (best[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out[todo[full]] = (best[full] & np.uint64(0xFFFF)).astype(np.uint16)
         todo, darts = todo[~full], darts * 2
     return out
 
@@ -124,7 +126,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFra
 
 
 def matrix(sketches: pd.Series | list, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, k)
+    return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, k)
 
 
 def band_keys(reps: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
@@ -231,7 +233,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     prints = scratch.keep(fingerprints(keyed(docs, id_col, text_col), shingle, k), "prints")
     reps = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc", "hash", "sketch")).alias("f"))
     reps = scratch.keep(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "f.*"), "reps")  # the written numbers are the nodes
-    keys = scratch.keep(band_keys(reps, bands, rows, k), "bands")
+    prints = scratch.keep(prints.drop("sketch"), "keys")
+    scratch.drop("prints")
+    keys = band_keys(reps, bands, rows, k)
     buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = keys.join(buckets, "band").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     groups = components(near, scratch, "candidates")
