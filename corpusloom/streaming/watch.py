@@ -24,17 +24,16 @@ RESULT = "session string, seq long, label string, original string, output string
 
 
 def _session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
+    before = state.get if state.exists else (None, None)  # hashes of the text before and of what was written for it
     rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
     taken = []
     for i, (own, made, wanted) in enumerate(zip(rows["own_hash"], rows["output_hash"], rows["wanted"], strict=True)):
-        if own == last:
+        if own in before:
             continue
-        last = int(own)
+        before = (int(own), int(made) if wanted else int(own))
         if wanted:
             taken.append(i)
-            last = int(made)
-    state.update((last,))
+    state.update(before)
     yield rows.loc[taken, [c.split(" ")[0] for c in RESULT.split(", ")]]
 
 
@@ -48,7 +47,7 @@ def watch(stream: DataFrame, options: Options | None = None, *, session_col: str
         F.col("id.session").alias("session"), F.col("id.seq").alias("seq"), "label", "original", "output", "original_tokens", "cleaned_tokens", saved.alias("saved"),
         F.xxhash64("original").alias("own_hash"), F.xxhash64("output").alias("output_hash"), F.coalesce(wanted, F.lit(False)).alias("wanted"),
     )
-    return rows.groupBy("session").applyInPandasWithState(_session, RESULT, "last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session").applyInPandasWithState(_session, RESULT, "own long, made long", "append", GroupStateTimeout.NoTimeout)
 
 
 def totals(written: DataFrame) -> DataFrame:
