@@ -61,7 +61,7 @@ def word_grams(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     h = np.zeros(n, np.uint64)
     for k in range(max(SIZES)):
         shifted = np.zeros(n, np.uint64)
-        shifted[: n - k] = byte[k:]
+        shifted[: max(0, n - k)] = byte[k:]
         h = (h + shifted + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if k + 1 in SIZES:
