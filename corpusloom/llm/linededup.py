@@ -183,9 +183,13 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
     """Pairs (later, earlier) of lines that share a prefix word and pass the filters; see the module's text.
 
     rows: word, pos, doc, place, size, bitmap, probe. Only lines with probe are taken as the later one."""
-    counts = rows.groupBy("word").count().where(F.col("count") > hot)
     rows = rows.withColumn("cell", F.lit(0))
-    if not counts.isEmpty():
+
+    def word_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _word_bucket(batch.column(0).to_numpy())
+
+    if bucket_counts(rows.select("word"), word_buckets, BITS).max() > hot:  # else no word can have more rows
+        counts = rows.groupBy("word").count().where(F.col("count") > hot)
         n = F.ceil(F.col("count") / F.lit(hot)).cast("int")
         block = F.pmod(F.xxhash64("doc", "place"), n).cast("int")
         other = F.explode(F.sequence(F.lit(0), n - 1))
@@ -277,6 +281,10 @@ def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.join(wanted, ["doc", "place"], "left_semi").dropDuplicates(["doc", "place"])
 
 
+def _word_bucket(word: np.ndarray) -> np.ndarray:
+    return (B.mix(word.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _place_bucket(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (B.mix(B.mix(doc.view(np.uint64)) + place.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -291,6 +299,38 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.where(shared >= threshold * (F.size("words") + F.size("words2") - shared) - 1e-9).select("doc", "place", "doc2", "place2")
 
 
+def touched(first: DataFrame, open_lines: DataFrame) -> DataFrame:
+    """Prefix rows of the groups in which the open lines stand; two bucket tables find them without a shuffle.
+
+    Lines that share a bucket with an open line or with one of its words come along: more is compared, nothing is lost."""
+
+    def place_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    context = first.sparkSession.sparkContext
+    lines = context.broadcast(bucket_counts(open_lines.select("doc", "place"), place_buckets, BITS) > 0)
+
+    def word_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        mine = lines.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())]
+        yield _word_bucket(batch.column(2).filter(pa.array(mine)).flatten().to_numpy())
+
+    words = context.broadcast(bucket_counts(first.select("doc", "place", "prefix"), word_buckets, BITS) > 0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prefix = batch.column(4)
+        size = np.diff(prefix.offsets.to_numpy())
+        word = prefix.flatten().to_numpy()
+        line = np.repeat(np.arange(batch.num_rows), size)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        hit = np.flatnonzero(words.value[_word_bucket(word)])
+        source = pa.array(line[hit])
+        probe = lines.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())][line[hit]]
+        columns = [pa.array(pos[hit].astype(np.int32)), pa.array(word[hit].astype(np.int32)), *(batch.column(i).take(source) for i in range(4)), pa.array(probe)]
+        return pa.RecordBatch.from_arrays(columns, ["pos", "word", "doc", "place", "size", "bitmap", "probe"])
+
+    return in_arrow(first.select("doc", "place", "size", "bitmap", "prefix"), run, "pos int, word int, doc long, place long, size int, bitmap binary, probe boolean")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Key columns of a document: its id, and 32 bits of its text's hash to tell rows with one id apart."""
     return docs.select(document_key(id_col).alias("_id"), text_key(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
@@ -317,21 +357,20 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.keep(candidates(rows, threshold, False, hot), "pairs")
     good = scratch.keep(verified(source, pairs, threshold), "good")
     later = good.select("doc", "place").distinct()
-    open_lines = pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti").withColumn("_probe", F.lit(True))
+    open_lines = pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti")
     if not open_lines.isEmpty():  # their earliest candidates failed: look at all of them
-        own = rows.join(open_lines, ["doc", "place"], "left_semi").select("word").distinct()  # the groups in which they stand
-        again = rows.drop("probe").join(own, "word", "left_semi").join(open_lines, ["doc", "place"], "left").withColumn("probe", F.coalesce("_probe", F.lit(False))).drop("_probe")
+        again = touched(first, open_lines)
         rest = scratch.keep(verified(source, scratch.keep(candidates(again, threshold, True, hot), "rest_pairs").drop("more"), threshold), "rest")
         later = later.union(rest.select("doc", "place").distinct())
     kept = first.select("doc", "place").join(later, ["doc", "place"], "left_anti")
-    removed = table.select("doc", "place").join(kept, ["doc", "place"], "left_anti").distinct()
+    removed = table.select("doc", "place").join(kept, ["doc", "place"], "left_anti")  # twice for rows that are there twice
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), F.shiftright("place", 32).cast("int").alias("line"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Removed lines of each document that loses any: (_id, _hash, removed)."""
     found = duplicate_lines(docs, id_col, text_col, **options)
-    return found.groupBy(F.col("doc").alias("_id"), F.col("hash").alias("_hash")).agg(F.sort_array(F.collect_list("line")).alias("_removed"))
+    return found.groupBy(F.col("doc").alias("_id"), F.col("hash").alias("_hash")).agg(F.sort_array(F.collect_set("line")).alias("_removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
