@@ -204,9 +204,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_rendered
     from .oracle import prompts
 
-    return {**ORACLE_SQL, "prompt_wrap": prompts(PROMPTS, PROMPT_LABELS)}
+    return {**ORACLE_SQL, **oracle_rendered.ORACLE_SQL, "prompt_wrap": prompts(PROMPTS, PROMPT_LABELS)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
