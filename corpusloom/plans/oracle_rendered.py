@@ -106,3 +106,51 @@ SELECT doc_key, '// TypeScript: ' || n || ' error(s)' || {' || '.join(group)} ||
 
 FORMS = {"csv": csv, "log": log, "env": env, "trace_python": python, "trace_javascript": javascript, "trace_go": go, "terraform": terraform, "markdown": markdown, "build_typescript": tsc}
 ORACLE_SQL = {f"clean_{name}_rendered{suffix}": form(bool(suffix)) for name, form in FORMS.items() for suffix in ("", "_aggressive")}
+
+
+def yaml(aggressive: bool) -> str:
+    """Comments and description go; a script of more than three steps is cut (its last line is the blank behind none)."""
+    n = "(c_custkey % 6)"
+    steps = f"CASE WHEN {n} > 0 THEN {NL} || {_lines(f'least({n}, 3)', repr('    step ') + ' || i')} ELSE {NL} END || CASE WHEN {n} > 3 THEN {NL} || '    # ... [' || ({n} - 3) || ' more lines]' ELSE '' END"
+    head = ["'kind: Customer'", "'metadata:'", "'    name: ' || c_name", "'spec:'", *([] if aggressive else ["'  replicas: 1'"]), "'  segment: ' || c_mktsegment", "'  script: |'"]
+    tail = f"{NL} || 'status: # [omitted]'" if aggressive else f"{NL} || 'status:' || {NL} || '  ready: true'"
+    rows = f"{len(head) + (1 if aggressive else 2)} + greatest(least({n}, 3), 1) + CAST({n} > 3 AS INTEGER)"
+    return f"SELECT CAST(c_custkey AS BIGINT) AS doc_key, {f' || {NL} || '.join(head)} || {steps} || {tail} AS cleaned, '[yaml | ' || ({rows}) || ' lines | Kubernetes Customer]' AS framed FROM customer"
+
+
+def dockerfile(aggressive: bool) -> str:
+    n = "(s_suppkey % 8 + 1)"
+    step = f"CASE WHEN i = 1 THEN 'RUN ' ELSE '    ' END || 'step' || i || CASE WHEN i < {n} THEN ' && \\' ELSE '' END"
+    run = _lines(n, step)
+    short = f" || {NL} || ".join(["'RUN step1 && \\'", "'    step2 && \\'", f"'    # ... [' || ({n} - 3) || ' more commands] && \\'", f"'    step' || {n}"])
+    run = f"CASE WHEN {n} = 1 THEN 'RUN   step1' ELSE {run} END"  # a single line stays as it stands
+    body, rows = (f"CASE WHEN {n} > 5 THEN {short} ELSE {run} END", f"CASE WHEN {n} > 5 THEN 4 ELSE {n} END") if aggressive else (run, n)
+    return f"""SELECT CAST(s_suppkey AS BIGINT) AS doc_key, 'FROM base AS b' || {NL} || {NL} || {body} || {NL} || 'FROM run' || {NL} || 'COPY a b' || {NL} || 'EXPOSE 80 ' || s_suppkey || {NL} || 'CMD x' AS cleaned,
+       '[dockerfile | ' || (6 + {rows}) || ' lines | 2 stages | exposes 80, ' || s_suppkey || ' | 1 RUN commands]' AS framed FROM supplier"""
+
+
+def diff(aggressive: bool) -> str:
+    k = 1 if aggressive else 2
+    p, q = "(p_partkey % 9)", "(p_partkey % 7)"
+    note = lambda n: f"' ... [' || ({n} - {k}) || ' context lines omitted]'"
+    part = lambda name, lo, hi: f"array_to_string(list_transform(generate_series({lo}, {hi}), lambda i: ' {name} line ' || i), {NL})"
+    top = f"CASE WHEN {p} - {k} >= 3 THEN {note(p)} || {NL} || {part('top', f'{p} - {k} + 1', p)} ELSE {part('top', 1, p)} END"
+    end = f"CASE WHEN {q} - {k} >= 3 THEN {part('end', 1, k)} || {NL} || {note(q)} ELSE {part('end', 1, q)} END"
+    count = lambda n: f"CASE WHEN {n} - {k} >= 3 THEN {k} + 1 ELSE greatest({n}, 1) END"
+    head = f" || {NL} || ".join(["'diff --git a/f b/f'", "'index 1..2'", "'--- a/f'", "'+++ b/f'", "'@@ -1,9 +1,9 @@'"])
+    return f"""SELECT CAST(p_partkey AS BIGINT) AS doc_key, {head} || {NL} || {top} || {NL} || '-' || p_name || {NL} || '+' || p_brand || {NL} || {end} || {NL} || '@@ -20 +20 @@' AS cleaned,
+       '[git-diff | ' || (8 + {count(p)} + {count(q)}) || ' lines | 1 file(s) | +1/-1]' AS framed FROM part"""
+
+
+def java(aggressive: bool) -> str:
+    k = 8 if aggressive else 15
+    frames = "list_filter(generate_series(1, n), lambda i: i % 4 <> 0)"
+    kept = f"{frames}[1:{k}]"
+    body = f"CASE WHEN len({frames}) > 0 THEN {NL} || array_to_string(list_transform({kept}, lambda i: chr(9) || 'at com.shop.Cart.get(Cart.java:' || i || ')'), {NL}) ELSE CASE WHEN n = 0 THEN {NL} ELSE '' END END || CASE WHEN len({frames}) > {k} THEN {NL} || chr(9) || '... [frames truncated]' ELSE '' END"
+    text = f"'Exception in thread \"main\" java.lang.Error: ' || s_name || {body} || {NL} || 'Caused by: x' || CASE WHEN n = 0 THEN '' ELSE {body} END"
+    rows = f"2 + 2 * len({kept}) + 2 * CAST(len({frames}) > {k} AS INTEGER) + CAST(n = 0 AS INTEGER)"
+    return _trace(text, "trace/java", rows, f"(2 * len({kept}))", "'Caused by: x'")
+
+
+MORE = {"yaml": yaml, "dockerfile": dockerfile, "git_diff": diff, "trace_java": java}
+ORACLE_SQL |= {f"clean_{name}_rendered{suffix}": form(bool(suffix)) for name, form in MORE.items() for suffix in ("", "_aggressive")}
