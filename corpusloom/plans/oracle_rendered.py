@@ -154,3 +154,75 @@ def java(aggressive: bool) -> str:
 
 MORE = {"yaml": yaml, "dockerfile": dockerfile, "git_diff": diff, "trace_java": java}
 ORACLE_SQL |= {f"clean_{name}_rendered{suffix}": form(bool(suffix)) for name, form in MORE.items() for suffix in ("", "_aggressive")}
+
+
+def sql(aggressive: bool) -> str:
+    row = "'(' || n_nationkey || ', ''' || n_name || '''),'"
+    return f"""
+WITH r AS (SELECT n_regionkey, {row} AS line, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation)
+SELECT CAST(n_regionkey AS BIGINT) AS doc_key, 'INSERT INTO nation VALUES' || {NL} || string_agg(line, {NL} ORDER BY i) || {NL} || '  -- ... [VALUES rows truncated]' || {NL} || '  -- (' || any_value(n) || ' total rows)' || {NL}
+       || 'SELECT n_name FROM nation WHERE n_regionkey IS NOT NULL ORDER BY n_name;' AS cleaned, '[sql | 7 lines | 1 select | 1 insert]' AS framed
+FROM r WHERE i <= 3 GROUP BY n_regionkey
+"""
+
+
+def json(aggressive: bool) -> str:
+    k = 1 if aggressive else 2
+    item = f" || {NL} || ".join(["'    {'", "'      \"key\": ' || o_orderkey || ','", "'      \"priority\": \"' || o_orderpriority || '\",'", "'      \"status\": \"' || o_orderstatus || '\"'", "'    }'"])
+    end = f" || {NL} || ".join(["'  ],'", "'  \"page\": {'", "'    \"info.next\": 2'", "'  }'", "'}'"])
+    more = f"CASE WHEN any_value(n) > {k + 1} THEN ',' || {NL} || '    \"... ' || (any_value(n) - {k}) || ' more objects with same structure\"' ELSE '' END"
+    return f"""
+WITH r AS (SELECT o_custkey, {item} AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey AS doc_key, '{{' || {NL} || '  "orders": [' || {NL} || string_agg(item, ',' || {NL} ORDER BY i) || {more} || {NL} || {end} AS cleaned,
+       '[json | ' || (7 + 5 * count(*) + CAST(any_value(n) > {k + 1} AS INTEGER)) || ' lines | 2 top-level keys | error response]' AS framed
+FROM r WHERE n <= {k + 1} OR i <= {k} GROUP BY o_custkey
+"""
+
+
+def cargo(aggressive: bool) -> str:
+    of = lambda k: f"list_filter(generate_series(1, n), lambda i: i % 3 = {k})"
+    c = lambda k: f"len({of(k)})"
+    block = lambda k, kind, text: f"CASE WHEN {c(k)} > 0 THEN {NL} || {NL} || 'src/m{k}.rs (' || {c(k)} || ' {kind}(s)):' || {NL} || array_to_string(list_transform({of(k)}, lambda i: '  {text} v' || i), {NL}) ELSE '' END"
+    shown = f"({c(0)} > 0 AND {c(1)} + {c(2)} = 0)" if aggressive else f"({c(0)} > 0)"
+    body = f"{block(1, 'error', 'error[E0425]: missing')} || {block(2, 'error', 'error[E0425]: missing')} || CASE WHEN {shown} THEN {block(0, 'warning', 'warning: unused')} ELSE '' END"
+    rows = lambda k: f"CASE WHEN {c(k)} > 0 THEN {c(k)} + 1 ELSE 0 END"
+    blanks = f"CAST({c(1)} > 0 AS INTEGER) + CAST({c(2)} > 0 AS INTEGER) + CAST({shown} AS INTEGER)"
+    warned = f"CASE WHEN {shown} THEN {rows(0)} ELSE 0 END"
+    return f"""
+WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_key, CAST(s_suppkey % 20 AS BIGINT) AS n FROM supplier)
+SELECT doc_key, '// Build: ' || ({c(1)} + {c(2)}) || ' error(s), ' || {c(0)} || ' warning(s)' || {body} || {NL} || 'error: could not compile `b`' AS cleaned,
+       '[build/cargo | ' || (2 + {rows(1)} + {rows(2)} + {warned} + {blanks}) || ' lines | ' || (2 + {rows(1)} + {rows(2)}) || ' error(s) | ' || (1 + {warned}) || ' warning(s)]' AS framed FROM s
+"""
+
+
+def eslint(aggressive: bool) -> str:
+    keep = " AND i % 4 <> 0" if aggressive else ""
+    of = lambda k: f"list_filter(generate_series(1, n), lambda i: i % 2 = {k}{keep})"
+    c = lambda k: f"len({of(k)})"
+    place = "'/src/a.js:' || i || ' message ' || i"
+
+    def block(k: int) -> str:
+        one = f"{NL} || '  rule-{k}: ' || array_to_string(list_transform({of(k)}, lambda i: {place}), '')"
+        many = f"{NL} || '  rule-{k} (' || {c(k)} || 'x):' || {NL} || array_to_string(list_transform({of(k)}[1:3], lambda i: '    ' || {place}), {NL}) || CASE WHEN {c(k)} > 3 THEN {NL} || '    ... ' || ({c(k)} - 3) || ' more' ELSE '' END"
+        return f"CASE WHEN {c(k)} = 1 THEN {one} WHEN {c(k)} > 1 THEN {many} ELSE '' END"
+
+    rows = lambda k: f"CASE WHEN {c(k)} > 1 THEN 1 + least({c(k)}, 4) ELSE {c(k)} END"
+    return f"""
+WITH s AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_key, CAST(s_suppkey % 20 AS BIGINT) AS n FROM supplier)
+SELECT doc_key, '// ESLint: ' || ({c(0)} + {c(1)}) || ' violation(s)' || {block(0)} || {block(1)} || {NL} || {NL} || '✖ ' || n || ' problems' AS cleaned, '[build/eslint | ' || (3 + {rows(0)} + {rows(1)}) || ' lines]' AS framed FROM s
+"""
+
+
+def rust_trace(aggressive: bool) -> str:
+    k = 8 if aggressive else 15
+    frames = "list_filter(generate_series(1, n), lambda i: i % 5 <> 0)"
+    kept = f"{frames}[1:{k}]"
+    frame = "i || ': shop::cart::get'"
+    body = f"CASE WHEN n = 0 THEN {NL} ELSE {NL} || array_to_string(list_transform({kept}, lambda i: '   ' || {frame}), {NL}) END || CASE WHEN len({frames}) > {k} THEN {NL} || '   ... [backtrace truncated]' ELSE '' END"
+    text = f"'thread ''main'' panicked at src/main.rs:1:1:' || {NL} || s_name || {NL} || 'stack backtrace:' || {body}"
+    rows = f"3 + len({kept}) + CAST(len({frames}) > {k} AS INTEGER)"
+    return _trace(text, "trace/rust", rows, f"len({kept})", f"CASE WHEN n = 0 THEN 'stack backtrace:' ELSE {kept}[-1] || ': shop::cart::get' END")
+
+
+LAST = {"sql": sql, "json": json, "build_cargo": cargo, "build_eslint": eslint, "trace_rust": rust_trace}
+ORACLE_SQL |= {f"clean_{name}_rendered{suffix}": form(bool(suffix)) for name, form in LAST.items() for suffix in ("", "_aggressive")}
