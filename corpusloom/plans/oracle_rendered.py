@@ -226,3 +226,41 @@ def rust_trace(aggressive: bool) -> str:
 
 LAST = {"sql": sql, "json": json, "build_cargo": cargo, "build_eslint": eslint, "trace_rust": rust_trace}
 ORACLE_SQL |= {f"clean_{name}_rendered{suffix}": form(bool(suffix)) for name, form in LAST.items() for suffix in ("", "_aggressive")}
+
+
+def rust(aggressive: bool) -> str:
+    u = "(p_partkey % 6 + 1)"
+    uses = f"CASE WHEN {u} < 3 THEN {_lines(u, repr('use shop::part') + ' || i || ' + repr(';'))} ELSE '// [' || {u} || ' imports: ' || array_to_string(list_transform(generate_series(1, least({u}, 4)), lambda i: 'shop::part' || i), ', ') || CASE WHEN {u} > 4 THEN ', ...' ELSE '' END || ']' END"
+    rest = ["pub struct P;", "", "pub fn f() -> i32 { let a = 1; a }", "// [test module omitted]", "```"] if aggressive else ["#[derive(Debug)]", "pub struct P;", "", "", "pub fn f() -> i32 { let a = 1; a }", "#[cfg(test)]", "mod tests {", "  fn t() {}", "}", "```"]
+    text = f" || {NL} || ".join(["'```rust'", uses, *(repr(r) for r in rest)])
+    notes = "1 exported | 1 functions | 1 types/classes" if aggressive else "1 exported | 2 functions | 1 types/classes | contains tests"
+    return f"SELECT CAST(p_partkey AS BIGINT) AS doc_key, {text} AS cleaned, '[code/rust | ' || ({1 + len(rest)} + CASE WHEN {u} < 3 THEN {u} ELSE 1 END) || ' lines | {notes}]' AS framed FROM part"
+
+
+def typescript(aggressive: bool) -> str:
+    g = "(p_partkey % 5)"
+    gets = f"CASE WHEN {g} = 0 THEN '' WHEN {g} < 3 THEN {_lines(g, repr('  get a') + ' || i || ' + repr('() { return ') + ' || i || ' + repr('; }'))} ELSE '  // [' || {g} || ' getters/setters: ' || array_to_string(list_transform(generate_series(1, {g}), lambda i: 'a' || i), ', ') || ']' END"
+    head = ["'```typescript'", "'import a from ''a'';'", "'export class P {'"]
+    rest = ["'  url = \"http://x\";'", *([] if aggressive else ["'  @dec'"]), "'  f() {}'", "'}'", "'const g = () => 1;'", "'```'"]
+    rows = f"{len(head) + len(rest)} + CASE WHEN {g} = 2 THEN 2 ELSE 1 END"
+    return f"SELECT CAST(p_partkey AS BIGINT) AS doc_key, {f' || {NL} || '.join([*head, gets, *rest])} AS cleaned, '[code/typescript | ' || ({rows}) || ' lines | 1 exported | 1 functions | 1 types/classes]' AS framed FROM part"
+
+
+ORACLE_SQL |= {f"clean_code_{name}_rendered{suffix}": form(bool(suffix)) for name, form in (("rust", rust), ("typescript", typescript)) for suffix in ("", "_aggressive")}
+
+_LABELS = {
+    "cargo": ("supplier", "s_suppkey", "'build/cargo'"), "diff": ("part", "p_partkey", "'git-diff'"), "dockerfile": ("supplier", "s_suppkey", "'dockerfile'"), "env": ("customer", "c_custkey", "'env'"),
+    "eslint": ("supplier", "s_suppkey", "CASE WHEN s_suppkey % 20 < 3 THEN 'text' ELSE 'build/eslint' END"), "go": ("supplier", "s_suppkey", "'trace/go'"),
+    "java": ("supplier", "s_suppkey", "CASE WHEN s_suppkey % 20 = 0 THEN 'text' ELSE 'trace/java' END"), "javascript": ("supplier", "s_suppkey", "CASE WHEN s_suppkey % 20 < 2 THEN 'text' ELSE 'trace/javascript' END"),
+    "markdown": ("part", "p_partkey", "'markdown'"), "python": ("supplier", "s_suppkey", "'trace/python'"), "rust": ("part", "p_partkey", "'code/rust'"), "rusttrace": ("supplier", "s_suppkey", "'trace/rust'"),
+    "terraform": ("supplier", "s_suppkey", "'terraform'"), "tsc": ("supplier", "s_suppkey", "CASE WHEN s_suppkey % 20 = 0 THEN 'text' ELSE 'build/typescript' END"), "typescript": ("part", "p_partkey", "'code/typescript'"),
+    "yaml": ("customer", "c_custkey", "'yaml'"),
+}
+_GROUPED = {
+    "csv": ("lineitem", "l_orderkey", "CASE WHEN count(*) < 2 THEN 'text' ELSE 'csv' END"), "log": ("events", "user_id", "CASE WHEN count(*) < 3 THEN 'text' ELSE 'log' END"),
+    "json": ("orders", "o_custkey", "'json'"), "sql": ("nation", "n_regionkey", "'sql'"),
+}
+ORACLE_SQL["detect_rendered"] = " UNION ALL ".join(
+    [f"SELECT '{kind}' AS kind, CAST({key} AS BIGINT) AS doc_key, {label} AS label FROM {table}" for kind, (table, key, label) in _LABELS.items()]
+    + [f"SELECT '{kind}' AS kind, CAST({key} AS BIGINT) AS doc_key, {label} AS label FROM {table} GROUP BY {key}" for kind, (table, key, label) in _GROUPED.items()]
+)
