@@ -55,6 +55,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again, and what one operator leaves would add to the next one's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -66,6 +79,8 @@ def in_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterable[pa.RecordB
                     yield made
                 else:
                     yield from made
+                del made, batch
+                release()
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import in_arrow
+from .common import in_arrow, release
 
 MOST_BYTES = 64 << 20
 
@@ -271,4 +271,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
         if good.any():
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(lambda batches: (out for b in batches if b.num_rows for out in run(b)), docs.schema)
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(batch) if batch.num_rows else ()
+            release()
+
+    return docs.mapInArrow(released, docs.schema)

@@ -36,7 +36,7 @@ from .common import bounded_sample, in_arrow
 UNDETERMINED = "und"
 LONGEST_WORD = 32
 LONGEST_PIECE = 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 
 

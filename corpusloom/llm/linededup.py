@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import Scratch, in_arrow
+from .common import Scratch, in_arrow, release
 from .sketch import bucket_counts
 
 BITS = 22
@@ -252,7 +252,11 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
                 x, y = a[k : k + 100_000], b[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(place[x]), pa.array(doc[y]), pa.array(place[y]), pa.array(passed[x] > 1)], ["doc", "place", "doc2", "place2", "more"])
 
-    found = rows.repartition("word", "cell").mapInArrow(run, "doc long, place long, doc2 long, place2 long, more boolean")
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    found = rows.repartition("word", "cell").mapInArrow(released, "doc long, place long, doc2 long, place2 long, more boolean")
     return found.groupBy("doc", "place", "doc2", "place2").agg(F.max("more").alias("more"))
 
 

@@ -26,6 +26,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ from .common import in_arrow
 
 WINDOW = 1024
 SEPARATOR = 0
-CACHE_TOKENS = 1_000_000
+CACHE_TOKENS = 400_000
 
 _O, _L, _N, _S, _ODD = 0, 1, 2, 3, 4
 
@@ -63,10 +64,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.ranks = self._ranks(model["vocab"])
@@ -80,6 +79,15 @@ class Encoder:
         self.value = B.mix(np.arange(1, 0x3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self._clear()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself; loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def _ranks(self, vocab: dict[str, int]):
         """A byte-pair encoder over the same vocabulary, in which ids are merge ranks."""
         import tiktoken
@@ -205,7 +213,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voca
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for chunk in B.chunks(batch.column(1), 2 * B.CHUNK_BYTES):
+        for chunk in B.chunks(batch.column(1)):
             flat, offs = encoder.encode(chunk)
             rows, start, length, crc, total, made = [], [], [], [], [], []
             for r in range(chunk.rows):

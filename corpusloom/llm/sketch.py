@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release
+
 SLICE_BITS = 16
 
 
@@ -32,6 +34,8 @@ def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np
             for numbers in buckets(batch):
                 total += np.bincount(numbers, minlength=1 << bits).astype(np.int32)
         parts = [pack(i, total[i * width : (i + 1) * width]) for i in range(slices) if total[i * width : (i + 1) * width].any()]
+        del total
+        release()
         if parts:
             yield out(parts)
 
