@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2048
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,14 +76,15 @@ def in_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterable[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = func(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):  # what a function derives from a batch stays small
+                made = func(batch.slice(at, BATCH_ROWS))
                 if isinstance(made, pa.RecordBatch):
                     yield made
                 else:
                     yield from made
-                del made, batch
-                release()
+                del made
+            del batch
+            release()
 
     return df.mapInArrow(run, schema)
 
