@@ -1,13 +1,15 @@
 """Near-duplicate lines by an exact set-similarity join (operator 2).
 
 A line is the set of its words (lower-cased; ASCII letters, digits and everything outside ASCII).
-Lines of at least `least_words` distinct words take part. A line is removed if an earlier line, in
-the order of document id and line number, has a Jaccard similarity of at least `threshold` with it.
+Lines of at least `least_words` distinct words take part; the query and the pipeline let all lines
+that have words take part. A line is removed if an earlier line, in the order of document id and line
+number, has a Jaccard similarity of at least `threshold` with it.
 
 1. Equal sets form classes, found by a partial aggregate; only the first line of each goes on.
 2. Words are ordered by rarity, from counts over all lines in a table of fixed size (equal counts,
    and words that share a bucket, are ordered by their hash: any total order keeps the join exact).
-3. Each line hands on the words of its prefix. Lines that share one meet in that word's group, where
+3. Each line hands on the words of its prefix; a line so short that one more word takes it below the
+   threshold (up to 3 words at 0.8) can equal other sets only and hands on none. Lines that share one meet in that word's group, where
    the length filter (a range of the group sorted by length), the positional filter and a parity
    bitmap (each differing word changes one bit, so more changed bits than the similarity allows rule
    a pair out; longer lines have longer bitmaps) leave few pairs. All filters are lossless.
@@ -122,6 +124,7 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_word
             two = np.add.reduceat(B.mix(word ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
             bits, at = bitmaps(line, word, size)
             prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            prefix[size < threshold * (size + 1) - 1e-9] = 0
             take = np.flatnonzero(size >= least_words)
             inside = np.arange(len(line)) - start[line]
             chosen = (inside < prefix[line]) & (size[line] >= least_words)
