@@ -11,8 +11,10 @@ signatures agree in a coordinate with the probability of the documents' weighted
 1. Equal word sequences form a class by an aggregate; one document of each goes on.
 2. Bands of signature coordinates are joined: every document is linked to the smallest of its
    bucket only, and connected components of these links hold all candidate pairs.
-3. Inside a component signatures are compared, and pairs that agree in at least `threshold` of the
-   coordinates are links. Components of up to `shard` documents are compared pair by pair in one
+3. Inside a component signatures are compared. Pairs whose estimate lies less than six standard errors
+   below `threshold` are verified on their runs, unless links join them already, and are links if their
+   exact weighted Jaccard similarity reaches it. Runs are gathered for these components only, the n-th
+   place of a run as an element of its own, so that sets stand for weights. Components of up to `shard` documents are compared pair by pair in one
    task. Larger ones are dealt to shards; each shard hands on the document with the most links as a
    pivot, all documents meet all pivots, and documents that are still outside the component's
    largest class meet every shard, so that no pair outside a class stays uncompared.
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from .common import Scratch, in_arrow
 from .graph import components
-from .linededup import document_key, keyed, text_key
+from .linededup import BITS, _place_bucket, document_key, keyed, need, text_key
+from .sketch import bucket_counts
 
 K, BANDS, ROWS = 256, 36, 7
 SHINGLE = 5
@@ -125,6 +128,46 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFra
     return in_arrow(docs, run, "doc long, hash long, h1 long, h2 long, sketch binary")
 
 
+def numbered(row: np.ndarray, element: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of each row with their repetitions numbered, so that each is there once, in ascending order; and where each row begins."""
+    order = np.lexsort((element, row))
+    row, element = row[order], element[order]
+    fresh = np.append(True, (row[1:] != row[:-1]) | (element[1:] != element[:-1]))[: len(row)]
+    nth = np.arange(len(row)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    name = B.mix(element + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return name[np.lexsort((name, row))], np.searchsorted(row, np.arange(n_rows + 1))
+
+
+def run_lists(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(doc, hash, runs) of the wanted documents (doc, hash). A bucket table of them keeps other documents out of the shuffle."""
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    marked = docs.sparkSession.sparkContext.broadcast(bucket_counts(wanted.select("doc", "hash"), buckets, BITS) > 0)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(marked.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
+        for chunk in B.chunks(pc.utf8_lower(batch.column(2))):
+            made, row = B.shingles(B.words(chunk, B.WORDLIKE), shingle)
+            name, first = numbered(row, made, chunk.rows)
+            runs = pa.array([name[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            cut = slice(chunk.first, chunk.last)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], runs], ["doc", "hash", "runs"])
+
+    return in_arrow(docs, run, "doc long, hash long, runs binary").dropDuplicates(["doc", "hash"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two ascending lists of numbered elements have a Jaccard similarity of at least the threshold."""
+    least = need(len(a), len(b), threshold)
+    if min(len(a), len(b)) < least:
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges the two
+    return np.count_nonzero(both[1:] == both[:-1]) >= least
+
+
 def matrix(sketches: pd.Series | list, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, k)
 
@@ -145,14 +188,14 @@ def band_keys(reps: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     return in_arrow(reps.where(F.col("sketch").isNotNull()).select("node", "sketch"), run, "band long, node long")
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of a and b that agree in at least the threshold of their coordinates, block by block."""
+def agreeing(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b that agree in at least the threshold of their coordinates, and in how many, block by block."""
     step = max(1, (8 << 20) // max(1, b.size))
     least = threshold * a.shape[1] - 1e-9
     for at in range(0, len(a), step):
         same = np.count_nonzero(a[at : at + step, None, :] == b[None, :, :], axis=2)
         i, j = np.nonzero(same >= least)
-        yield i + at, j
+        yield i + at, j, same[i, j]
 
 
 def _roots(n: int) -> tuple[list[int], callable]:
@@ -168,28 +211,29 @@ def _roots(n: int) -> tuple[list[int], callable]:
 
 
 def compare_shard(pdf: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
-    """Spanning links of one shard. Rows with probe meet the others; without any, all meet all and the row with the most links is the pivot."""
+    """Spanning links of one shard. Rows with probe meet the others; without any, all meet all and the row with the most links, as estimated, is the pivot."""
     node, s, probe = pdf["node"].to_numpy(), matrix(pdf["sketch"].tolist(), k), pdf["probe"].to_numpy(bool)
-    u, v = [], []
-    if probe.any():
-        mine, theirs = node[probe], node[~probe]
-        for i, j in agreeing(s[probe], s[~probe], threshold):
-            other = mine[i] != theirs[j]
-            u.append(mine[i][other])
-            v.append(theirs[j][other])
-        return pd.DataFrame({"u": np.concatenate([*u, np.zeros(0, np.int64)]), "v": np.concatenate([*v, np.zeros(0, np.int64)]), "pivot": False}).drop_duplicates()
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["runs"]]
+    name = np.unique(node, return_inverse=True)[1]
+    loose = threshold - 6 * np.sqrt(threshold * (1 - threshold) / k)
+    some = probe.any()
+    mine, theirs = (np.flatnonzero(probe), np.flatnonzero(~probe)) if some else (np.arange(len(node)),) * 2
     parent, find = _roots(len(node))
     degree = np.zeros(len(node), np.int64)
-    for i, j in agreeing(s, s, threshold):
-        degree += np.bincount(i, minlength=len(node))
-        for x, y in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                u.append(node[max(x, y)])
-                v.append(node[min(x, y)])
-    top = node[int(np.lexsort((node, -degree))[0])]
-    return pd.DataFrame({"u": np.array([*u, top], np.int64), "v": np.array([*v, top], np.int64), "pivot": [False] * len(u) + [True]})
+    u, v = [], []
+    for i, j, same in agreeing(s[mine], s[theirs], loose):
+        i, j = mine[i], theirs[j]
+        degree += np.bincount(i[same >= threshold * k - 1e-9], minlength=len(node))
+        pairs = np.flatnonzero(name[i] != name[j] if some else i < j)
+        pairs = pairs[np.argsort(-same[pairs], kind="stable")]
+        for x, y in zip(i[pairs].tolist(), j[pairs].tolist(), strict=True):
+            p, q = find(int(name[x])), find(int(name[y]))
+            if p != q and similar(sets[x], sets[y], threshold):
+                parent[max(p, q)] = min(p, q)
+                u.append(node[x])
+                v.append(node[y])
+    top = [] if some else [node[int(np.lexsort((node, -degree))[0])]]
+    return pd.DataFrame({"u": np.array([*u, *top], np.int64), "v": np.array([*v, *top], np.int64), "pivot": [False] * len(u) + [True] * len(top)})
 
 
 def compared(rows: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -197,12 +241,12 @@ def compared(rows: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def links(nodes: DataFrame, scratch: Scratch, k: int, threshold: float, shard: int) -> DataFrame:
-    """Verified links inside components. nodes: label, node, sketch."""
+    """Verified links inside components. nodes: label, node, sketch, runs."""
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     many = sizes.where(F.col("n") > shard).withColumn("parts", F.ceil(F.col("n") / F.lit(shard)).cast("int"))
     dealt = nodes.join(many.drop("n"), "label", "left").withColumns({"part": F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)), "probe": F.lit(False)})
     dealt = scratch.keep(dealt, "dealt")
-    found = scratch.keep(compared(dealt.select("label", "part", "node", "probe", "sketch"), k, threshold), "links")
+    found = scratch.keep(compared(dealt.select("label", "part", "node", "probe", "sketch", "runs"), k, threshold), "links")
     out = found.where("u <> v").select("u", "v")
     large = scratch.keep(dealt.where(F.col("parts").isNotNull()), "large")
     if large.isEmpty():
@@ -211,7 +255,7 @@ def links(nodes: DataFrame, scratch: Scratch, k: int, threshold: float, shard: i
     def against(probes: DataFrame, name: str) -> DataFrame:
         """Links of the probes (label, node, sketch, parts) with all documents of their component."""
         every = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("probe", F.lit(True))
-        names = ["label", "part", "node", "probe", "sketch"]
+        names = ["label", "part", "node", "probe", "sketch", "runs"]
         return scratch.keep(compared(large.select(names).unionByName(every.select(names)), k, threshold).select("u", "v"), name)
 
     pivots = found.where("pivot").select(F.col("u").alias("node"))
@@ -230,7 +274,8 @@ def links(nodes: DataFrame, scratch: Scratch, k: int, threshold: float, shard: i
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, shingle: int = SHINGLE, k: int = K, bands: int = BANDS, rows: int = ROWS, shard: int = 1000, salts: int = 8) -> tuple[DataFrame, bool]:
     """(doc, hash, class_doc, class_hash) for each row of the table: its keys and those of its class's first document; and whether two rows have the same keys."""
     scratch = Scratch(docs.sparkSession, "dart")
-    prints = scratch.keep(fingerprints(keyed(docs, id_col, text_col), shingle, k), "prints")
+    source = keyed(docs, id_col, text_col)
+    prints = scratch.keep(fingerprints(source, shingle, k), "prints")
     reps = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc", "hash", "sketch")).alias("f"))
     reps = scratch.keep(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "f.*"), "reps")  # the written numbers are the nodes
     prints = scratch.keep(prints.drop("sketch"), "keys")
@@ -239,7 +284,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     buckets = keys.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = keys.join(buckets, "band").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     groups = components(near, scratch, "candidates")
-    nodes = groups.join(reps.select("node", "sketch"), "node")
+    nodes = scratch.keep(groups.join(reps.select("node", "doc", "hash", "sketch"), "node"), "nodes")
+    nodes = nodes.join(run_lists(source, nodes, shingle), ["doc", "hash"]).select("label", "node", "sketch", "runs")
     found = components(links(nodes, scratch, k, threshold, shard), scratch, "classes")
     named = reps.select("node", "h1", "h2", "doc", "hash").join(found, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label", "node")
     first = named.groupBy("class").agg(F.min(F.struct(F.col("doc").alias("class_doc"), F.col("hash").alias("class_hash"))).alias("c"))
