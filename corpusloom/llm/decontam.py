@@ -12,8 +12,9 @@
    `cosine` are candidates. Windows whose weight in benchmark words is too small for that cosine
    are skipped; this loses none.
 4. A candidate is verified on the words around the window: the longest common subsequence must cover
-   `copy` of the passage, or `paraphrase` of it if the answer is there too: all distinctive words of
-   the answer column, or of the passage's last quarter where there is none.
+   `copy` of the passage, or `paraphrase` of it if the answer is there too: all words of the answer
+   column. Where there is none, at least half of the words must be there that stand in the fewest
+   passages (half of the passage's words or more), or all distinctive words of its last quarter.
 
 The benchmark travels with the tasks, so its size is checked; the corpus is never shuffled.
 
@@ -80,6 +81,7 @@ class Space:
     basis: np.ndarray  # words x rank
     coordinates: np.ndarray  # items x rank, of length 1
     distinctive: list[frozenset]
+    half_of: list[frozenset]  # half of these do as well; empty where there is an answer
 
 
 def document_counts(docs: DataFrame, words: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -162,12 +164,16 @@ def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str,
         c = a @ basis
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         typical = float(np.median(mine))
-        wanted = []
+        wanted, half_of = [], []
         for i in block:
             answer = i.answer if len(i.answer) else i.words[-max(1, len(i.words) // 4) :]
             rare = [h for h in answer.tolist() if idf[np.searchsorted(every, h)] >= typical] if not len(i.answer) else answer.tolist()
             wanted.append(frozenset(rare or answer.tolist()))
-        out.append(Space(block, words, mine, unseen, basis.astype(np.float32), c.astype(np.float32), wanted))
+            # rarity among the passages here: in the corpus, just those words are rare that its paraphrases leave out
+            whole = np.unique(i.words) if not len(i.answer) else i.answer
+            few = inner[np.searchsorted(every, whole)] if not len(i.answer) else np.zeros(0)
+            half_of.append(frozenset(whole[few <= np.median(few)].tolist() if len(few) else ()))
+        out.append(Space(block, words, mine, unseen, basis.astype(np.float32), c.astype(np.float32), wanted, half_of))
     return out
 
 
@@ -212,7 +218,8 @@ def _search(space: Space, index: B.HashIndex, w: B.Words, size: int, cosine: flo
             a, b = max(int(w.first[r]), int(start[win]) - n), min(int(w.first[r + 1]), int(end[win]) + n)
             around = w.hash[a:b]
             share = common_subsequence(item.words, around) / n
-            answered = space.distinctive[j] <= set(around.tolist())
+            there, some = set(around.tolist()), space.half_of[j]
+            answered = space.distinctive[j] <= there or (len(some) > 0 and 2 * len(some & there) >= len(some))
             if share >= copy or (share >= paraphrase and answered):
                 new = (share, float(near[i, j]), -int(start[win] - w.first[r]), answered)
                 if new > done.get((r, int(j)), (-1.0,)):
