@@ -6,7 +6,9 @@
 2. The TF-IDF matrix of the benchmark's passages is decomposed by a distributed randomised SVD: each
    partition of passages hands on its share of A' A Omega, the sum is orthonormalised, and the small
    matrix behind it is decomposed exactly. Passages go in blocks of `block_items`, and the rank of a
-   block is the number of its passages, so the latent space keeps every passage's direction.
+   block is the number of its passages, so the latent space keeps every passage's direction. A passage
+   longer than one and a half windows goes in sections of about a window each, as its cosine with a
+   window would fall with its length; it is verified as a whole.
 3. Every document is read in windows of `window` words, one each half window. A window is projected
    into the latent space (its length counts all its words), and passages with a cosine of at least
    `cosine` are candidates. Windows whose weight in benchmark words is too small for that cosine
@@ -68,18 +70,19 @@ class Item:
     key: object
     words: np.ndarray
     answer: np.ndarray  # hashes of the answer's words, empty for the passage's last quarter
+    number: int
 
 
 @dataclass
 class Space:
-    """A block of passages in its latent space."""
+    """A block of passages, or of their sections, in its latent space."""
 
-    items: list[Item]
+    items: list[Item]  # the passage of each section
     words: np.ndarray  # hashes of the block's words
     idf: np.ndarray
     unseen: float  # weight of a word outside the benchmark
     basis: np.ndarray  # words x rank
-    coordinates: np.ndarray  # items x rank, of length 1
+    coordinates: np.ndarray  # sections x rank, of length 1
     distinctive: list[frozenset]
     half_of: list[frozenset]  # half of these do as well; empty where there is an answer
 
@@ -105,10 +108,15 @@ def document_counts(docs: DataFrame, words: np.ndarray, text_col: str) -> tuple[
     return out[:size], int(out[size])
 
 
-def tfidf(items: list[Item], words: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    a = np.zeros((len(items), len(words)))
-    for i, item in enumerate(items):
-        np.add.at(a[i], np.searchsorted(words, item.words), 1.0)
+def sections(words: np.ndarray, size: int) -> list[np.ndarray]:
+    """A passage in parts of equal length, about `size` words each; a short one is one part."""
+    return [words] if 2 * len(words) <= 3 * size else np.array_split(words, -(-len(words) // size))
+
+
+def tfidf(parts: list[np.ndarray], words: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    a = np.zeros((len(parts), len(words)))
+    for i, part in enumerate(parts):
+        np.add.at(a[i], np.searchsorted(words, part), 1.0)
     a = np.sqrt(a) * idf
     return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
 
@@ -138,14 +146,14 @@ def randomised_svd(spark, a: np.ndarray, rank: int, partitions: int = 4) -> np.n
     return (q @ vt.T)[:, :rank]
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None, text_col: str, block_items: int) -> list[Space]:
+def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, answer_col: str | None, text_col: str, block_items: int, window: int) -> list[Space]:
     fields = [F.col(item_col).alias("k"), F.col(item_text).cast("string").alias("t"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("a")]
     bench = benchmark.select(*fields)
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MOST_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; it is sent to every task and may have {MOST_BYTES}")
     rows = sorted(bench.collect(), key=lambda r: (str(r["k"]), r["t"] or ""))
-    items = [Item(r["k"], w, a) for r, w, a in zip(rows, hashed([r["t"] for r in rows]), hashed([r["a"] for r in rows]), strict=True) if len(w)]
+    items = [Item(r["k"], w, a, n) for n, (r, w, a) in enumerate(zip(rows, hashed([r["t"] for r in rows]), hashed([r["a"] for r in rows]), strict=True)) if len(w)]
     if not items:
         return []
     every = np.unique(np.concatenate([i.words for i in items]))
@@ -155,11 +163,12 @@ def spaces(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str,
     idf = np.maximum(np.log((n + 1) / (counts + 1)), np.log((len(items) + 1) / (inner + 1))) + 0.01
     unseen = float(np.quantile(idf, 0.9))
     out = []
-    for at in range(0, len(items), block_items):
-        block = items[at : at + block_items]
-        words = np.unique(np.concatenate([i.words for i in block]))
+    every_part = [(i, part) for i in items for part in sections(i.words, window)]
+    for at in range(0, len(every_part), block_items):
+        block, parts = map(list, zip(*every_part[at : at + block_items], strict=True))
+        words = np.unique(np.concatenate(parts))
         mine = idf[np.searchsorted(every, words)]
-        a = tfidf(block, words, mine)
+        a = tfidf(parts, words, mine)
         basis = randomised_svd(docs.sparkSession, a, len(block))
         c = a @ basis
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
@@ -186,7 +195,7 @@ def _windows(w: B.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row, start, np.minimum(start + size, w.first[row + 1])
 
 
-def _search(space: Space, index: B.HashIndex, w: B.Words, size: int, cosine: float, copy: float, paraphrase: float) -> Iterator[tuple[int, int, int, float, float, bool]]:
+def _search(space: Space, index: B.HashIndex, w: B.Words, size: int, cosine: float, copy: float, paraphrase: float) -> Iterator[tuple[int, Item, int, float, float, bool]]:
     number = index.get(w.hash)
     row, start, end = _windows(w, size)
     if len(row) == 0:
@@ -198,6 +207,7 @@ def _search(space: Space, index: B.HashIndex, w: B.Words, size: int, cosine: flo
     length2 = np.maximum(total[end] - total[start], 1e-12)  # words that occur twice weigh a little less in the vector: see below
     hopeful = np.flatnonzero(inside[end] - inside[start] >= cosine**2 * length2)
     done: dict[tuple[int, int], tuple] = {}
+    whole: dict[int, Item] = {}
     for at in range(0, len(hopeful), 512):
         part = hopeful[at : at + 512]
         count = end[part] - start[part]
@@ -222,10 +232,11 @@ def _search(space: Space, index: B.HashIndex, w: B.Words, size: int, cosine: flo
             answered = space.distinctive[j] <= there or (len(some) > 0 and 2 * len(some & there) >= len(some))
             if share >= copy or (share >= paraphrase and answered):
                 new = (share, float(near[i, j]), -int(start[win] - w.first[r]), answered)
-                if new > done.get((r, int(j)), (-1.0,)):
-                    done[(r, int(j))] = new
-    for (r, j), (share, near, start_word, answered) in done.items():
-        yield r, j, -start_word, near, share, answered
+                if new > done.get((r, item.number), (-1.0,)):
+                    done[(r, item.number)] = new
+                    whole[item.number] = item
+    for (r, n), (share, near, start_word, answered) in done.items():
+        yield r, whole[n], -start_word, near, share, answered
 
 
 def matches(
@@ -233,7 +244,7 @@ def matches(
     window: int = 64, cosine: float = 0.2, copy: float = 0.8, paraphrase: float = 0.6, block_items: int = 256,
 ) -> DataFrame:
     """One row for each document and passage found in it: the best window's first word, its cosine, the covered share of the passage, and whether the answer is there."""
-    found = spaces(docs, benchmark, item_col, item_text, answer_col, text_col, block_items)
+    found = spaces(docs, benchmark, item_col, item_text, answer_col, text_col, block_items, window)
     shared = docs.sparkSession.sparkContext.broadcast(found)
     names = list(dict.fromkeys([id_col, *(keep or [])]))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -246,10 +257,15 @@ def matches(
         rows, made = [], []
         for chunk in B.chunks(pc.utf8_lower(batch.column(len(names)))):
             w = B.words(chunk, B.WORDLIKE)
+            best: dict[tuple[int, int], tuple] = {}  # sections of a passage may lie in several blocks
             for space, index in zip(shared.value, indexes, strict=True):
-                for r, j, first, near, share, answered in _search(space, index, w, window, cosine, copy, paraphrase):
-                    rows.append(chunk.first + r)
-                    made.append((space.items[j].key, first, near, share, answered))
+                for r, item, first, near, share, answered in _search(space, index, w, window, cosine, copy, paraphrase):
+                    new = (share, near, -first, answered, item.key)
+                    if (r, item.number) not in best or new[:4] > best[(r, item.number)][:4]:
+                        best[(r, item.number)] = new
+            for (r, _), (share, near, first, answered, key) in best.items():
+                rows.append(chunk.first + r)
+                made.append((key, -first, near, share, answered))
         if rows:
             taken = [batch.column(i).take(pa.array(rows)) for i in range(len(names))]
             columns = list(zip(*made, strict=True))
@@ -263,7 +279,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
     """All columns of the rows in which no passage was found."""
     item_col, item_text, answer_col = options.pop("item_col", "item_id"), options.pop("item_text", "text"), options.pop("answer_col", None)
     window, cosine, copy, paraphrase = (options.pop(k, v) for k, v in (("window", 64), ("cosine", 0.2), ("copy", 0.8), ("paraphrase", 0.6)))
-    found = spaces(docs, benchmark, item_col, item_text, answer_col, text_col, options.pop("block_items", 256))
+    found = spaces(docs, benchmark, item_col, item_text, answer_col, text_col, options.pop("block_items", 256), window)
     shared = docs.sparkSession.sparkContext.broadcast(found)
     at = docs.columns.index(text_col)
 
