@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWER_BITS = 16
 _powers: np.ndarray | None = None
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,28 +126,36 @@ def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     n = len(inside)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    border = np.zeros(n + 1, dtype=bool)
-    border[offs] = True
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | border[1:n]
-    last[:-1] &= ~inside[1:] | border[1:n]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    border = offs[1:-1]
+    border = border[(border > 0) & (border < n)]
+    border = np.unique(border[inside[border] & inside[border - 1]])  # a run ends here and another begins
+    if len(border):
+        turn = np.insert(turn, np.repeat(np.searchsorted(turn, border), 2), np.repeat(border, 2))
+    if inside[0]:
+        turn = np.concatenate(([0], turn))
+    if inside[-1]:
+        turn = np.append(turn, n)
+    return turn[0::2], turn[1::2]
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each of the ascending, disjoint byte spans."""
+    """64-bit hash of each of the byte spans, eight bytes at a time."""
     if len(start) == 0:
         return np.zeros(0, np.uint64)
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
     size = end - start
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-    index = np.arange(len(at), dtype=np.int64)
-    at += index
-    inner = index - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
-    inner &= (1 << _POWER_BITS) - 1
-    value = _BYTE[buf[at]]
-    value *= powers()[inner]
-    total = np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1])))
-    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = eight[start] & _MASK[np.minimum(size, 8)]
+    total = mix(value ^ (size.astype(np.uint64) * _LENGTH))
+    long = np.flatnonzero(size > 8)
+    done = 8
+    while len(long):
+        value = eight[start[long] + done] & _MASK[np.minimum(size[long] - done, 8)]
+        total[long] = mix(total[long] * _NEXT + value)
+        done += 8
+        long = long[size[long] > done]
+    return total
 
 
 def words(chunk: Chunk, table: np.ndarray, *, lower: bool = False, hashed: bool = True) -> Words:

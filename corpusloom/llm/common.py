@@ -21,13 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; intermediate tables need a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="corpusloom-")  # one process: there is nobody to share with
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -71,13 +72,15 @@ def release() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def in_arrow(df: DataFrame, func: Callable[..., Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch, and of what `state` makes for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed can be given back
+        more = () if state is None else (state(),)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):  # what a function derives from a batch stays small
-                made = func(batch.slice(at, BATCH_ROWS))
+                made = func(batch.slice(at, BATCH_ROWS), *more)
                 if isinstance(made, pa.RecordBatch):
                     yield made
                 else:
@@ -89,6 +92,17 @@ def in_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterable[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k = 0
+        while f"_{name}_{k}" in taken:
+            k += 1
+        out.append(f"_{name}_{k}")
+    return out
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

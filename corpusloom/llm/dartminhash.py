@@ -22,7 +22,10 @@ signatures agree in a coordinate with the probability of the documents' weighted
 
 Defined results: texts without words are copies of each other; a text of fewer than five words is
 one run; rows with one id and one text are one document; a class is named by its smallest id, null
-ids being smaller than all (the name is null then); an empty table gives no rows.
+ids being smaller than all (the name is null then), and an id of -2^63 counts as null; ids of other
+types than whole numbers are a TypeError; a very long text is one chunk and needs memory in proportion;
+ties are broken by id, then by the hash of the text; other columns are kept, those with clashing names
+too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,10 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import Scratch, in_arrow
+from .common import Scratch, in_arrow, unused
 from .graph import components
-from .linededup import BITS, _place_bucket, document_key, keyed, need, text_key
-from .sketch import bucket_counts
+from .linededup import document_key, keyed, need, place_hash, place_marks, text_key
 
 K, BANDS, ROWS = 256, 36, 7
 SHINGLE = 5
@@ -139,15 +141,12 @@ def numbered(row: np.ndarray, element: np.ndarray, n_rows: int) -> tuple[np.ndar
 
 
 def run_lists(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(doc, hash, runs) of the wanted documents (doc, hash). A bucket table of them keeps other documents out of the shuffle."""
+    """(doc, hash, runs) of the wanted documents (doc, hash). A bit table of them keeps other documents out of the shuffle."""
 
-    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-
-    marked = docs.sparkSession.sparkContext.broadcast(bucket_counts(wanted.select("doc", "hash"), buckets, BITS) > 0)
+    marked = place_marks(wanted.select("doc", F.col("hash").alias("place")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        batch = batch.filter(pa.array(marked.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())]))
+        batch = batch.filter(pa.array(marked.value.has(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
         for chunk in B.chunks(pc.utf8_lower(batch.column(2))):
             made, row = B.shingles(B.words(chunk, B.WORDLIKE), shingle)
             name, first = numbered(row, made, chunk.rows)
@@ -306,8 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the first document of each class, all columns; of equal rows one."""
     found, repeated = classes(docs, id_col, text_col, **options)
-    first = found.where((F.col("doc") == F.col("class_doc")) & (F.col("hash") == F.col("class_hash"))).select(F.col("doc").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    out = docs.withColumns({"_id": document_key(id_col), "_hash": text_key(text_col)}).join(first, ["_id", "_hash"], "left_semi")
+    keys = unused(docs, "id", "hash")
+    first = found.where((F.col("doc") == F.col("class_doc")) & (F.col("hash") == F.col("class_hash"))).select("doc", "hash").distinct().toDF(*keys)
+    out = docs.withColumns({keys[0]: document_key(id_col), keys[1]: text_key(text_col)}).join(first, keys, "left_semi")
     if repeated:
-        out = out.dropDuplicates(["_id", "_hash"])
+        out = out.dropDuplicates(keys)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,22 +5,26 @@ Lines of at least `least_words` distinct words take part; the query and the pipe
 that have words take part. A line is removed if an earlier line, in the order of document id and line
 number, has a Jaccard similarity of at least `threshold` with it.
 
-1. Equal sets form classes, found by a partial aggregate; only the first line of each goes on.
-2. Words are ordered by rarity, from counts over all lines in a table of fixed size (equal counts,
+1. Words are ordered by rarity, from counts over all lines in a table of fixed size (equal counts,
    and words that share a bucket, are ordered by their hash: any total order keeps the join exact).
+2. Equal sets form classes: a task hands on a set once (a line that it finds equal to an earlier one
+   goes on as its place alone), and of what meets by the set's hash the first line goes on.
 3. Each line hands on the words of its prefix; a line so short that one more word takes it below the
-   threshold (up to 3 words at 0.8) can equal other sets only and hands on none. Lines that share one meet in that word's group, where
-   the length filter (a range of the group sorted by length), the positional filter and a parity
-   bitmap (each differing word changes one bit, so more changed bits than the similarity allows rule
-   a pair out; longer lines have longer bitmaps) leave few pairs. All filters are lossless.
-4. Of each line and group only the earliest candidate is handed on, so a group of similar lines
-   gives as many rows as it has lines. Candidates are verified on the whole sets. A line whose
-   candidates all fail and that has more of them is tried again with all.
+   threshold (up to 3 words at 0.8) can equal other sets only and hands on none. Lines that share one
+   meet in that word's group, where the length filter (a range of the group sorted by length), the
+   positional filter and a parity bitmap (each differing word changes one bit, so more changed bits
+   than the similarity allows rule a pair out; longer lines have longer bitmaps) leave few pairs. All
+   filters are lossless.
+4. Candidates are verified on the whole sets, in rounds: of each line and group the 4 earliest are
+   handed on, so a group of similar lines gives a few rows a line. Lines whose candidates all fail
+   and that have more go to the next round with 8 times as many, until none is left. A round looks at
+   the groups of such open lines only; at worst, at all groups once more.
 Groups of more than `hot` lines are dealt to cells, a pair of blocks each, before they are gathered.
 
 Defined results: null texts have no lines; rows with one id and one text are one document and keep
 the same lines; rows with one id and different texts are ordered by line number, then by a hash of the text; null ids
-come first; an empty table gives no rows; other columns are kept, those with clashing names too.
+come first, and an id of -2^63 counts as null; ids of other types than whole numbers are a TypeError; a very long
+text or line is one chunk and needs memory in proportion; an empty table gives no rows; other columns are kept, those with clashing names too.
 """
 
 from __future__ import annotations
@@ -33,20 +37,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from . import _bytes as B
-from .common import Scratch, in_arrow, release
-from .sketch import bucket_counts
+from .common import Scratch, in_arrow, partitions, release, unused
+from .sketch import bucket_counts, marks
 
 BITS = 22
+#: Prefix rows that a task gathers, and pairs that it looks at in one go.
+TASK_ROWS, PAIR_BLOCK = 400_000, 250_000
+#: Candidates of a line and word that a round hands on; the next round takes ROUND times as many.
+FIRST_ROUND, ROUND = 4, 8
 
 
 def places(chunk: B.Chunk) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a chunk and the line each stands in; row and number of each line that has words, in order."""
-    newline = chunk.buf == 0x0A
+    newline = np.flatnonzero(chunk.buf == 0x0A)
     w = B.words(chunk, B.WORDLIKE)
-    before = np.concatenate(([0], np.cumsum(newline, dtype=np.int64)))
-    number = before[w.start] - before[chunk.offs[w.row]]
+    ended = np.cumsum(np.bincount(np.searchsorted(w.start, newline), minlength=len(w) + 1)[: len(w)])  # newlines before each word
+    number = ended - np.repeat(np.searchsorted(newline, chunk.offs[:-1]), np.diff(w.first))
     fresh = np.ones(len(w), bool)
     fresh[1:] = (w.row[1:] != w.row[:-1]) | (number[1:] != number[:-1])
     first = np.flatnonzero(fresh)
@@ -89,15 +98,15 @@ def _lowered(batch: pa.RecordBatch, column: int) -> Iterator[B.Chunk]:
     return B.chunks(pc.utf8_lower(batch.column(column)))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """How often the words of each bucket stand in the corpus, on a scale of 256 steps."""
+def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How often the words of each bucket stand in the corpus, on a scale of 256 steps; and the number of words."""
 
     def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for chunk in _lowered(batch, 0):
             yield (B.words(chunk, B.WORDLIKE).hash >> np.uint64(64 - BITS)).astype(np.int64)
 
     total = bucket_counts(docs.select("_text"), buckets, BITS)
-    return np.minimum(255, np.round(12 * np.log2(1.0 + total))).astype(np.uint8)
+    return np.minimum(255, np.round(12 * np.log2(1.0 + total))).astype(np.uint8), int(total.sum())
 
 
 def need(a, b, threshold: float):
@@ -106,12 +115,13 @@ def need(a, b, threshold: float):
 
 
 def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_words: int) -> DataFrame:
-    """One row for each line that takes part: set hash, place, size, parity bitmap and prefix words."""
+    """One row for each line that takes part: set hash, place, size, parity bitmap and prefix words. Of a line that a line
+    before it in the order equals, as far as a task has seen, the place is all there is (size 0), under a spread set hash."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch, seen: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         scale = shared.value
-        ids, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for chunk in _lowered(batch, 2):
             w, line, row, number = places(chunk)
             n = len(row)
@@ -122,28 +132,82 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_word
             size = np.bincount(line, minlength=n)
             one = np.add.reduceat(B.mix(word + np.uint64(11)), start)
             two = np.add.reduceat(B.mix(word ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
+            doc, place = ids[chunk.first + row], number << 32 | texts[chunk.first + row]
+            again = _again(seen, one.tolist(), list(zip(doc.tolist(), place.tolist(), strict=True)))
+            own = (size >= least_words) & (again == 0)
             bits, at = bitmaps(line, word, size)
-            prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            prefix[size < threshold * (size + 1) - 1e-9] = 0
-            take = np.flatnonzero(size >= least_words)
-            inside = np.arange(len(line)) - start[line]
-            chosen = (inside < prefix[line]) & (size[line] >= least_words)
+            prefix = np.minimum(size, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)
+            prefix[(size < threshold * (size + 1) - 1e-9) | ~own] = 0
+            chosen = np.arange(len(line)) - start[line] < prefix[line]
             words = (word[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            offsets = np.concatenate(([0], np.cumsum(np.minimum(prefix, size)[take]))).astype(np.int32)
-            source = chunk.first + row[take]
-            width = np.diff(at)[take]
+            take = np.flatnonzero((size >= least_words) & (again < 2))
+            gone = again[take] == 1
+            one[take[gone]] = B.mix(doc[take[gone]].view(np.uint64) + B.mix(place[take[gone]].view(np.uint64)))
+            offsets = np.concatenate(([0], np.cumsum(prefix[take]))).astype(np.int32)
+            width = np.where(gone, 0, np.diff(at)[take])
             ends = np.concatenate(([0], np.cumsum(width)))
             packed = bits[np.repeat(at[:-1][take] - ends[:-1], width) + np.arange(ends[-1])]
             maps = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(packed)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), ids.take(pa.array(source)), pa.array(number[take] << 32 | texts[source]),
-                    pa.array(size[take].astype(np.int32)), maps, pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
+                    pa.array(one[take].view(np.int64)), pa.array(two[take].view(np.int64)), pa.array(doc[take]), pa.array(place[take]),
+                    pa.array(np.where(gone, 0, size[take]).astype(np.int32)), maps, pa.ListArray.from_arrays(pa.array(offsets), pa.array(words)),
                 ],
-                ["h1", "h2", "doc", "place", "size", "bitmap", "prefix"],
+                LINE_COLUMNS,
             )
 
-    return in_arrow(docs.select("_id", "_hash", "_text"), run, "h1 long, h2 long, doc long, place long, size int, bitmap binary, prefix array<int>")
+    return in_arrow(docs.select("_id", "_hash", "_text"), run, LINE_SCHEMA, state=dict)
+
+
+LINE_COLUMNS = ["h1", "h2", "doc", "place", "size", "bitmap", "prefix"]
+LINE_SCHEMA = "h1 long, h2 long, doc long, place long, size int, bitmap binary, prefix array<int>"
+SEEN_SETS = 200_000
+
+
+def _again(seen: dict[int, tuple[int, int]], sets: list[int], order: list[tuple[int, int]]) -> np.ndarray:
+    """For each line 0 if it is the first of its set so far, 1 if an earlier one was seen, 2 if it is the same line again. Forgets all when `seen` is full."""
+    if len(seen) > SEEN_SETS:
+        seen.clear()
+    out = np.zeros(len(sets), np.int8)
+    for i, (key, mine) in enumerate(zip(sets, order, strict=True)):
+        first = seen.get(key)
+        if first is None or mine < first:
+            seen[key] = mine
+        else:
+            out[i] = 1 + (mine == first)
+    return out
+
+
+def first_lines(table: DataFrame, parts: int) -> DataFrame:
+    """Of the lines with one set hash the first, as it is; of the others the place, with size 0. A line that is there twice counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        one, two, doc, place, size = (t.column(k).to_numpy() for k in range(5))
+        order = np.lexsort((place, doc, two, one))
+        one, two, doc, place = one[order], two[order], doc[order], place[order]
+        same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        fresh = np.append(True, ~same)
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        live = size[order] > 0
+        self = (doc == doc[head]) & (place == place[head])
+        first, other = order[fresh & live], order[~live | ~self]
+        for at in range(0, len(first), 50_000):
+            yield from t.take(pa.array(first[at : at + 50_000])).combine_chunks().to_batches()
+        if len(other):
+            gone = t.take(pa.array(other)).combine_chunks()
+            n = gone.num_rows
+            empty = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([gone.column(k).chunk(0) for k in range(4)] + empty, LINE_COLUMNS)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return table.repartition(parts, "h1").mapInArrow(released, LINE_SCHEMA)
 
 
 class Bitmaps:
@@ -182,23 +246,31 @@ class Bitmaps:
         return out
 
 
-def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) -> DataFrame:
-    """Pairs (later, earlier) of lines that share a prefix word and pass the filters; see the module's text.
+def first_of_each(later: np.ndarray, earlier: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each later line the `most` with the smallest earlier one."""
+    order = np.lexsort((earlier, later))
+    later, earlier = later[order], earlier[order]
+    fresh = np.append(True, later[1:] != later[:-1])[: len(later)]
+    keep = np.arange(len(later)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1] < most
+    return later[keep], earlier[keep]
 
-    rows: word, pos, doc, place, size, bitmap, probe. Only lines with probe are taken as the later one."""
-    rows = rows.withColumn("cell", F.lit(0))
 
-    def word_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _word_bucket(batch.column(0).to_numpy())
+def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (later, earlier) of lines that share a prefix word and pass the filters, of each line and word the `most` earliest; `more` says that there were others.
 
-    if bucket_counts(rows.select("word"), word_buckets, BITS).max() > hot:  # else no word can have more rows
-        counts = rows.groupBy("word").count().where(F.col("count") > hot)
-        n = F.ceil(F.col("count") / F.lit(hot)).cast("int")
-        block = F.pmod(F.xxhash64("doc", "place"), n).cast("int")
-        other = F.explode(F.sequence(F.lit(0), n - 1))
-        large = rows.join(counts, "word").withColumns({"block": block}).withColumn("n", n).withColumn("other", other)
+    rows: word, span (place in the order << 32 | size), doc, place, bitmap, and probe, if only some are taken as the later one.
+    Tasks get about TASK_ROWS rows each, whatever the number of shuffle partitions is set to."""
+    hot_words = scratch.keep(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), f"{name}-hot")
+    n_rows = rows.count()
+    keys = ["word"]
+    if not hot_words.isEmpty():
+        n = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+        large = rows.join(hot_words, "word").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("doc", "place"), F.col("n")).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         cell = F.least("block", "other") * F.col("n") + F.greatest("block", "other") + 1
-        rows = rows.join(counts, "word", "left_anti").unionByName(large.withColumn("cell", cell).select(*rows.columns))
+        rows = rows.join(hot_words, "word", "left_anti").withColumn("cell", F.lit(0)).unionByName(large.withColumn("cell", cell).drop("n", "block", "other"))
+        keys, n_rows = ["word", "cell"], rows.count()
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -206,28 +278,37 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
             return
         t = pa.Table.from_batches(got)
         del got
-        word, pos, doc, place, size, probe, cell = (t.column(c).to_numpy() for c in ("word", "pos", "doc", "place", "size", "probe", "cell"))
-        order = np.lexsort((size, cell, word))
+        word, span, doc, place = (t.column(c).to_numpy() for c in ("word", "span", "doc", "place"))
+        size, pos = span & 0xFFFFFFFF, span >> 32
+        if "cell" in names:
+            cell = t.column("cell").to_numpy()
+            order = np.lexsort((size, cell, word))
+        else:
+            cell, order = None, np.argsort(word.astype(np.int64) << 32 | size)
         differing = Bitmaps(t.column("bitmap"), size, order)
-        word, pos, doc, place, size, probe, cell = (x[order] for x in (word, pos, doc, place, size, probe, cell))
+        probe = t.column("probe").to_numpy()[order] if "probe" in names else None
+        word, pos, doc, place, size = (x[order] for x in (word, pos, doc, place, size))
+        fresh = word[1:] != word[:-1]
+        if cell is not None:
+            fresh |= cell[order][1:] != cell[order][:-1]
+        del t, span
         n = len(word)
+        by_rank = np.lexsort((place, doc))
         rank = np.empty(n, np.int64)
-        rank[np.lexsort((place, doc))] = np.arange(n)
-        by_rank = np.argsort(rank)
-        fresh = np.append(True, (word[1:] != word[:-1]) | (cell[1:] != cell[:-1]))
-        group = np.cumsum(fresh) - 1
+        rank[by_rank] = np.arange(n)
+        group = np.cumsum(np.append(True, fresh)) - 1
         least = np.ceil(threshold * size - 1e-9).astype(np.int64)
         # the first row of the group that is long enough: rows are ordered by group, then by size
-        span = int(size.max()) + 1
-        low = np.searchsorted(group * span + size, group * span + least)
+        width = int(size.max()) + 1
+        low = np.searchsorted(group * width + size, group * width + least)
         count = np.arange(n) - low
-        best = np.full(n, n, np.int64)
         passed = np.zeros(n, np.int64)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         ends = np.cumsum(count)
         at = 0
         while at < n:
             base = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + 500_000, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + PAIR_BLOCK, "right")))
             c = count[at:to]
             i = np.repeat(np.arange(at, to), c)
             j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:to], c)
@@ -237,46 +318,41 @@ def candidates(rows: DataFrame, threshold: float, all_pairs: bool, hot: int) ->
             i, j, o = i[ok], j[ok], o[ok]
             ok = differing(i, j) <= size[i] + size[j] - 2 * o
             i, j = i[ok], j[ok]
-            same = (doc[i] == doc[j]) & (place[i] == place[j])
-            later, earlier = np.where(rank[i] > rank[j], i, j), np.where(rank[i] > rank[j], j, i)
-            keep = probe[later] & ~same
-            later, earlier = later[keep], earlier[keep]
-            if all_pairs:
-                for k in range(0, len(later), 100_000):
-                    a, b = later[k : k + 100_000], earlier[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(place[a]), pa.array(doc[b]), pa.array(place[b]), pa.array(np.zeros(len(a), bool))], ["doc", "place", "doc2", "place2", "more"])
-            else:
-                np.minimum.at(best, later, rank[earlier])
-                passed += np.bincount(later, minlength=n)
-        if not all_pairs:
-            a = np.flatnonzero(best < n)
-            b = by_rank[best[a]]
-            for k in range(0, len(a), 100_000):
-                x, y = a[k : k + 100_000], b[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(place[x]), pa.array(doc[y]), pa.array(place[y]), pa.array(passed[x] > 1)], ["doc", "place", "doc2", "place2", "more"])
+            after = rank[i] > rank[j]
+            later, earlier = np.where(after, i, j), np.where(after, j, i)
+            keep = (doc[i] != doc[j]) | (place[i] != place[j])
+            if probe is not None:
+                keep &= probe[later]
+            later, earlier = later[keep], rank[earlier[keep]]
+            passed += np.bincount(later, minlength=n)
+            held.append((later, earlier))
+            if sum(len(x) for x, _ in held) > 4 * PAIR_BLOCK + len(held[0][0]):  # no group's pairs are ever held at once
+                held = [first_of_each(*map(np.concatenate, zip(*held, strict=True)), most)]
+        later, earlier = first_of_each(*map(np.concatenate, zip(*held, strict=True)), most)
+        earlier = by_rank[earlier]
+        for k in range(0, len(later), 100_000):
+            a, b = later[k : k + 100_000], earlier[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(place[a]), pa.array(doc[b]), pa.array(place[b]), pa.array(passed[a] > most)], ["doc", "place", "doc2", "place2", "more"])
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         release()
 
-    found = rows.repartition("word", "cell").mapInArrow(released, "doc long, place long, doc2 long, place2 long, more boolean")
-    return found.groupBy("doc", "place", "doc2", "place2").agg(F.max("more").alias("more"))
+    found = rows.repartition(max(1, -(-n_rows // TASK_ROWS)), *keys).mapInArrow(released, "doc long, place long, doc2 long, place2 long, more boolean")
+    return scratch.keep(found.groupBy("doc", "place", "doc2", "place2").agg(F.max("more").alias("more")), name)
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Words of the wanted lines (doc, place). A bucket table of the wanted places keeps other lines out of the shuffle."""
 
-    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-
-    marked = docs.sparkSession.sparkContext.broadcast(bucket_counts(wanted.select("doc", "place"), buckets, BITS) > 0)
+    marked = place_marks(wanted)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for chunk in _lowered(batch, 2):
             w, line, row, number = places(chunk)
             doc, place = ids[chunk.first + row], number << 32 | texts[chunk.first + row]
-            hit = marked.value[_place_bucket(doc, place)]
+            hit = marked.value.has(place_hash(doc, place))
             if not hit.any():
                 continue
             asked = hit[line]
@@ -288,12 +364,17 @@ def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.join(wanted, ["doc", "place"], "left_semi").dropDuplicates(["doc", "place"])
 
 
-def _word_bucket(word: np.ndarray) -> np.ndarray:
-    return (B.mix(word.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+def place_hash(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return B.mix(B.mix(doc.view(np.uint64)) + place.view(np.uint64))
 
 
-def _place_bucket(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (B.mix(B.mix(doc.view(np.uint64)) + place.view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+def place_marks(wanted: DataFrame):
+    """A broadcast bit table of places (doc, place)."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+    return wanted.sparkSession.sparkContext.broadcast(marks(wanted, keys))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -306,22 +387,28 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.where(shared >= threshold * (F.size("words") + F.size("words2") - shared) - 1e-9).select("doc", "place", "doc2", "place2")
 
 
-def touched(first: DataFrame, open_lines: DataFrame) -> DataFrame:
-    """Prefix rows of the groups in which the open lines stand; two bucket tables find them without a shuffle.
+def prefix_rows(first: DataFrame) -> DataFrame:
+    return first.select(F.posexplode("prefix").alias("pos", "word"), "doc", "place", "size", "bitmap").select(
+        "word", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("span"), "doc", "place", "bitmap"
+    )
+
 
-    Lines that share a bucket with an open line or with one of its words come along: more is compared, nothing is lost."""
+def touched(first: DataFrame, open_lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Prefix rows of the groups in which the open lines stand; two bit tables find them without a shuffle.
 
-    def place_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield _place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    Lines that share a bit with an open line or with one of its words come along: more is compared, nothing is lost."""
+    lines = place_marks(open_lines)
 
-    context = first.sparkSession.sparkContext
-    lines = context.broadcast(bucket_counts(open_lines.select("doc", "place"), place_buckets, BITS) > 0)
+    def mine(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit = lines.value.has(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        return pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(hit)).flatten()], ["word"])
 
-    def word_buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        mine = lines.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())]
-        yield _word_bucket(batch.column(2).filter(pa.array(mine)).flatten().to_numpy())
+    words = scratch.keep(in_arrow(first.select("doc", "place", "prefix"), mine, "word int").distinct(), name)
 
-    words = context.broadcast(bucket_counts(first.select("doc", "place", "prefix"), word_buckets, BITS) > 0)
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield word_hash(batch.column(0).to_numpy())
+
+    wanted = first.sparkSession.sparkContext.broadcast(marks(words, keys))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prefix = batch.column(4)
@@ -329,48 +416,57 @@ def touched(first: DataFrame, open_lines: DataFrame) -> DataFrame:
         word = prefix.flatten().to_numpy()
         line = np.repeat(np.arange(batch.num_rows), size)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        hit = np.flatnonzero(words.value[_word_bucket(word)])
+        hit = np.flatnonzero(wanted.value.has(word_hash(word)))
         source = pa.array(line[hit])
-        probe = lines.value[_place_bucket(batch.column(0).to_numpy(), batch.column(1).to_numpy())][line[hit]]
-        columns = [pa.array(pos[hit].astype(np.int32)), pa.array(word[hit].astype(np.int32)), *(batch.column(i).take(source) for i in range(4)), pa.array(probe)]
-        return pa.RecordBatch.from_arrays(columns, ["pos", "word", "doc", "place", "size", "bitmap", "probe"])
+        probe = lines.value.has(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))[line[hit]]
+        span = pos[hit] << 32 | batch.column(2).to_numpy()[line[hit]].astype(np.int64)
+        columns = [pa.array(word[hit].astype(np.int32)), pa.array(span), *(batch.column(i).take(source) for i in (0, 1, 3)), pa.array(probe)]
+        return pa.RecordBatch.from_arrays(columns, ["word", "span", "doc", "place", "bitmap", "probe"])
+
+    return in_arrow(first.select("doc", "place", "size", "bitmap", "prefix"), run, "word int, span long, doc long, place long, bitmap binary, probe boolean")
+
 
-    return in_arrow(first.select("doc", "place", "size", "bitmap", "prefix"), run, "pos int, word int, doc long, place long, size int, bitmap binary, probe boolean")
+def word_hash(word: np.ndarray) -> np.ndarray:
+    return B.mix(word.astype(np.int64).view(np.uint64))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Key columns of a document: its id, and 32 bits of its text's hash to tell rows with one id apart."""
-    return docs.select(document_key(id_col).alias("_id"), text_key(text_col).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; documents are ordered and keyed by whole numbers")
+    return docs.select(document_key(id_col).alias("_id"), text_key(text_col).alias("_hash"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
 def document_key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
 
 
 def text_key(text_col: str) -> Column:
-    return F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, least_words: int = 5, hot: int = 20_000) -> DataFrame:
-    """Lines to remove: (doc, hash, line) by document key, text key and line number from 0."""
+    """Lines to remove: (doc, hash, line) by document key, text key and line number from 0; a line may be there twice."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     source = keyed(docs, id_col, text_col)
-    rarity = word_counts(source)
-    table = scratch.keep(line_table(source, rarity, threshold, least_words), "lines")
-    first = table.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place", "size", "bitmap", "prefix")).alias("f")).select("f.*")
-    first = scratch.keep(first, "first")
-    rows = first.select(F.posexplode("prefix").alias("pos", "word"), "doc", "place", "size", "bitmap", F.lit(True).alias("probe"))
-    pairs = scratch.keep(candidates(rows, threshold, False, hot), "pairs")
+    rarity, n_words = word_counts(source)
+    parts = max(partitions(spark), -(-n_words // 8_000_000))
+    table = scratch.keep(first_lines(line_table(source, rarity, threshold, least_words), parts), "first")
+    first = table.where("size > 0").select("doc", "place", "size", "bitmap", "prefix")
+    pairs = candidates(prefix_rows(first), threshold, FIRST_ROUND, hot, scratch, "pairs")
     good = scratch.keep(verified(source, pairs, threshold), "good")
-    later = good.select("doc", "place").distinct()
-    open_lines = pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti")
-    if not open_lines.isEmpty():  # their earliest candidates failed: look at all of them
-        again = touched(first, open_lines)
-        rest = scratch.keep(verified(source, scratch.keep(candidates(again, threshold, True, hot), "rest_pairs").drop("more"), threshold), "rest")
-        later = later.union(rest.select("doc", "place").distinct())
-    kept = first.select("doc", "place").join(later, ["doc", "place"], "left_anti")
-    removed = table.select("doc", "place").join(kept, ["doc", "place"], "left_anti")  # twice for rows that are there twice
+    later, most, k = good.select("doc", "place").distinct(), FIRST_ROUND, 0
+    while True:  # lines whose earliest candidates all failed and that have more
+        open_lines = scratch.keep(pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti"), f"open-{k}")
+        if open_lines.isEmpty():
+            break
+        most, k = most * ROUND, k + 1
+        pairs = candidates(touched(first, open_lines, scratch, f"words-{k}"), threshold, most, hot, scratch, f"pairs-{k}")
+        good = scratch.keep(verified(source, pairs, threshold), f"good-{k}")
+        later = later.union(good.select("doc", "place").distinct())
+    removed = table.where("size = 0").select("doc", "place").union(later)
     return removed.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("hash"), F.shiftright("place", 32).cast("int").alias("line"))
 
 
@@ -382,9 +478,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns, with the removed lines taken out of the text; a null text stays null."""
-    lost = removals(docs, id_col, text_col, **options)
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("_removed"), i), x)), lambda x: x.isNotNull())
-    joined = docs.withColumns({"_id": document_key(id_col), "_hash": text_key(text_col)}).join(lost, ["_id", "_hash"], "left")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_name, hash_name, lost_name = unused(docs, "id", "hash", "removed")
+    lost = removals(docs, id_col, text_col, **options).toDF(id_name, hash_name, lost_name)
+    text, gone = F.col(f"`{text_col}`"), F.col(lost_name)
+    lines = F.split(text, "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
+    joined = docs.withColumns({id_name: document_key(id_col), hash_name: text_key(text_col)}).join(lost, [id_name, hash_name], "left")
+    rest = F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn(text_col, rest).select(*[F.col(f"`{c}`") for c in docs.columns])
