@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,15 +113,15 @@ def bounded_sample(keyed: DataFrame, id_col: str, group: list[str], most: int) -
 
     Counts come from a partial aggregate, and a threshold on the hash leaves the ranking about
     2 x most rows a group, whatever the size of the group."""
+    from pyspark.sql import Window
+
     span = 1 << 40
     h = F.pmod(F.xxhash64(id_col), F.lit(span))
     counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy("_h", id_col)
     return (
         keyed.withColumn("_h", h)
-        .join(F.broadcast(counts.limit(10_000)), group)
+        .join(counts, group)
         .where(F.col("_h").cast("double") * F.col("_n") <= 2.0 * most * span + 64.0 * span)
         .withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= most)
@@ -130,13 +129,12 @@ def bounded_sample(keyed: DataFrame, id_col: str, group: list[str], most: int) -
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> pd.DataFrame:
-    """Texts and 0/1 labels of at most `most` documents of each class, in the order of their ids.
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """(key, label, text) of at most `most` documents of each class: hash of the id, 0 or 1, text.
 
     Null labels and ids are left out; of rows with one id the largest label and the smallest text count."""
-    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    id_name, label, text = (F.col(f"`{c}`") for c in (id_col, label_col, text_col))
+    rows = labels.where(label.isNotNull() & id_name.isNotNull()).groupBy(id_name.alias("id")).agg(F.max((label > 0).cast("int")).alias("label"))
     sample = bounded_sample(rows, "id", ["label"], most)
-    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pdf = got.join(F.broadcast(sample), "id").toPandas()  # 2 x most rows, but for repeated ids
-    return pdf.sort_values(["id", "text"], kind="stable").drop_duplicates("id", ignore_index=True)
+    got = docs.select(id_name.alias("id"), F.coalesce(text.cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")  # 2 x most rows
+    return got.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select(F.xxhash64("id").alias("key"), "label", "text")

@@ -11,17 +11,22 @@ Words are runs of letters and combining marks of the lower-cased text. Each dist
 batch is scored once, for all languages together, and kept in a cache of bounded size.
 
 Training takes at most `max_train` labelled rows of each language, and `max_total` in all, those
-with the smallest hash of their id; both bounds are parameters. Scoring covers every text whole.
-
-Defined results: `und` with score 0 if the text is null or has no letter, and if there is nothing
-to learn from; a letter run longer than 32 characters is cut every 32; on equal scores the first
-language in alphabetical order wins; equal texts give equal results; an empty table gives no rows;
-other columns are ignored.
+with the smallest hash of their id, and the `max_words` most frequent words in them; the bounds are
+parameters, and of rows with one id the smallest language and text count. Words are counted where
+the texts lie. Scoring covers every text whole.
+
+Defined results: `und` with score 0 if the text is null or has no letter (combining marks alone are
+none), and if there is nothing to learn from; a letter run longer than 32 characters is cut every
+32; on equal scores the first language in alphabetical order wins; equal texts give equal results;
+a very long text is one chunk and needs memory in proportion; an empty table gives no rows; other
+columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,9 +40,9 @@ from .common import bounded_sample, in_arrow
 
 UNDETERMINED = "und"
 LONGEST_WORD = 32
-LONGEST_PIECE = 10
-CACHE_WORDS = 250_000
-NOT_LETTERS = r"[^\p{L}\p{M}]+"
+CACHE_WORDS = 100_000
+LATTICE_WORDS = 4_000
+NOT_LETTERS, LETTER = r"[^\p{L}\p{M}]+", r"\p{L}"
 
 
 def default_vocabulary() -> str:
@@ -52,7 +57,7 @@ def load_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p.lower() for p in found if 0 < len(p.lower()) <= LONGEST_PIECE})
+    return sorted({p.lower() for p in found if p})
 
 
 def _roll(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
@@ -62,12 +67,12 @@ def _roll(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
 class Lattice:
     """All pieces that end at each place of many words of one length; place 0 stands for the mark of a word's beginning."""
 
-    def __init__(self, words: np.ndarray, index: B.HashIndex):
+    def __init__(self, words: np.ndarray, index: B.HashIndex, longest: int):
         self.n, self.size = words.shape
         self.arcs: list[tuple[int, int, np.ndarray]] = []  # (begin, end, piece of each word or -1)
         for begin in range(self.size):
             h = np.zeros(self.n, np.uint64)
-            for end in range(begin + 1, min(begin + LONGEST_PIECE, self.size) + 1):
+            for end in range(begin + 1, min(begin + longest, self.size) + 1):
                 h = _roll(h, words[:, end - 1])
                 piece = index.get(B.mix(h))
                 if end == begin + 1 or (piece >= 0).any():
@@ -81,8 +86,8 @@ class Model:
     prob: np.ndarray  # pieces + 1 rows, one column for each language; the last row is zero
     unknown: float = 1e-7
     _index: B.HashIndex | None = field(default=None, repr=False)
-    _cache: dict = field(default_factory=dict, repr=False)
-    _scores: list = field(default_factory=list, repr=False)
+    _known: np.ndarray | None = field(default=None, repr=False)  # hashes of words scored before, in ascending order
+    _scores: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {"languages": self.languages, "pieces": self.pieces, "prob": self.prob, "unknown": self.unknown}
@@ -90,16 +95,23 @@ class Model:
     def __setstate__(self, state):
         self.__init__(**state)
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
+    def lattice(self, words: np.ndarray) -> Lattice:
+        return Lattice(words, self.index, self.longest)
+
     @property
     def index(self) -> B.HashIndex:
         if self._index is None:
             n = len(self.pieces)
             size = np.fromiter(map(len, self.pieces), np.int64, n)
-            wide = np.zeros((n, LONGEST_PIECE), np.uint32)
+            wide = np.zeros((n, self.longest), np.uint32)
             for i, p in enumerate(self.pieces):
                 wide[i, : len(p)] = [ord(c) for c in p]
             h = np.zeros(n, np.uint64)
-            for k in range(LONGEST_PIECE):
+            for k in range(self.longest):
                 h = np.where(size > k, _roll(h, wide[:, k]), h)
             self._index = B.HashIndex(B.mix(h))
         return self._index
@@ -139,37 +151,40 @@ class Model:
         owner = np.repeat(np.arange(len(words)), [max(1, -(-len(w) // LONGEST_WORD)) for w in words])
         parts = split_long(words) if len(owner) > len(words) else words
         for at, wide in by_length(parts):
-            np.add.at(out, owner[at], np.log(np.maximum(self.forward(Lattice(wide, self.index))[-1], 1e-300)))
+            np.add.at(out, owner[at], np.log(np.maximum(self.forward(self.lattice(wide))[-1], 1e-300)))
         return out
 
     def score_rows(self, column: pa.Array) -> np.ndarray:
         """Log-probability of each text by language; rows without letters are NaN."""
-        letters = pc.replace_substring_regex(pc.utf8_lower(column), NOT_LETTERS, " ")
-        return np.concatenate([self._score(c) for c in B.chunks(letters)] or [np.zeros((0, len(self.languages)))])
+        out = np.concatenate([self._score(c) for c in B.chunks(words_only(column))] or [np.zeros((0, len(self.languages)))])
+        out[~pc.fill_null(pc.match_substring_regex(column, LETTER), False).to_numpy(zero_copy_only=False)] = np.nan
+        return out
 
     def _score(self, chunk: B.Chunk) -> np.ndarray:
         w = B.words(chunk, B.NON_SPACE)
         if len(w) == 0:
             return np.full((chunk.rows, len(self.languages)), np.nan)
         codes, uniques = pd.factorize(w.hash)
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-            self._scores.clear()
-        keys = uniques.tolist()
-        known = np.array([self._cache.get(k, -1) for k in keys], np.int64)
-        fresh = np.flatnonzero(known < 0)
+        each = np.zeros((len(uniques), len(self.languages)), np.float32)
+        fresh = np.ones(len(uniques), bool)
+        if self._known is not None:
+            at = np.minimum(np.searchsorted(self._known, uniques), len(self._known) - 1)
+            fresh = self._known[at] != uniques
+            each[~fresh] = self._scores[at[~fresh]]
+        fresh = np.flatnonzero(fresh)
         if len(fresh):
-            first = np.empty(len(keys), np.int64)
+            first = np.empty(len(uniques), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = chunk.buf.tobytes()
-            at = first[fresh]
+            raw, at = chunk.buf.tobytes(), first[fresh]
             made = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-            known[fresh] = len(self._cache) + np.arange(len(fresh))
-            self._cache.update(zip((keys[i] for i in fresh.tolist()), known[fresh].tolist(), strict=True))
-            self._scores.append(self.word_scores(made).astype(np.float32))
-            if len(self._scores) > 1:
-                self._scores[:] = [np.concatenate(self._scores)]
-        each = self._scores[0][known[codes]]
+            each[fresh] = self.word_scores(made)
+            if self._known is None or len(self._known) > CACHE_WORDS:
+                known, scores = uniques[fresh], each[fresh]
+            else:
+                known, scores = np.concatenate((self._known, uniques[fresh])), np.concatenate((self._scores, each[fresh]))
+            order = np.argsort(known)
+            self._known, self._scores = known[order], scores[order]
+        each = each[codes]
         out = np.column_stack([np.bincount(w.row, each[:, k], minlength=chunk.rows) for k in range(len(self.languages))])
         out[np.diff(w.first) == 0] = np.nan
         return out
@@ -180,8 +195,8 @@ def by_length(words: list[str]):
     size = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for lo in range(0, len(at), 20_000):
-            part = at[lo : lo + 20_000]
+        for lo in range(0, len(at), LATTICE_WORDS):
+            part = at[lo : lo + LATTICE_WORDS]
             wide = np.frombuffer("".join(words[i] for i in part.tolist()).encode("utf-32-le"), np.uint32).reshape(len(part), n)
             yield part, np.column_stack((np.full(len(part), 0x2581, np.uint32), wide))
 
@@ -190,46 +205,61 @@ def split_long(words: list[str]) -> list[str]:
     return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
 
 
-def fit(texts: list[str], languages: list[str], pieces: list[str], *, rounds: int = 3, smooth: float = 0.02) -> Model:
-    """Piece probabilities of each language by expectation maximisation over all segmentations."""
-    names = sorted(set(languages))
-    model = Model(names, pieces, np.zeros((len(pieces) + 1, len(names))))
-    letters = pc.replace_substring_regex(pc.utf8_lower(pa.array(texts, pa.string())), NOT_LETTERS, " ").to_pylist()
-    number: dict[str, int] = {}
-    tally: list[dict[int, int]] = [{} for _ in names]
-    for text, language in zip(letters, languages, strict=True):
-        mine = tally[names.index(language)]
-        for word in split_long(text.split()):
-            i = number.setdefault(word, len(number))
-            mine[i] = mine.get(i, 0) + 1
-    counts = np.zeros((len(number), len(names)))
-    for k, mine in enumerate(tally):
-        counts[list(mine), k] = list(mine.values())
-    words = list(number)
-    groups = [(at, Lattice(wide, model.index)) for at, wide in by_length(words)]
+def words_only(column: pa.Array) -> pa.Array:
+    """Lower-cased letters and marks, and a space for each run of anything else."""
+    return pc.replace_substring_regex(pc.utf8_lower(column), NOT_LETTERS, " ")
+
+
+def fit(words: list[str], counts: np.ndarray, languages: list[str], pieces: list[str], *, rounds: int = 3, smooth: float = 0.02) -> Model:
+    """Piece probabilities of each language by expectation maximisation over all segmentations of words of at most
+    LONGEST_WORD characters, which occur counts[word, language] times."""
+    model = Model(languages, pieces, np.zeros((len(pieces) + 1, len(languages))))
     model.prob[:-1] = 1 / max(1, len(pieces))
     for _ in range(rounds):
         expected = np.zeros_like(model.prob)
-        for at, lattice in groups:
-            expected += model.expected(lattice, counts[at])
+        for at, wide in by_length(words):
+            expected += model.expected(model.lattice(wide), counts[at])
         expected[:-1] += smooth
         model.prob[:-1] = (expected / expected[:-1].sum(0))[:-1]
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, vocabulary: str | None = None, max_train: int = 1200, max_total: int = 24_000) -> Model | None:
-    """Fit on at most max_train rows of each language; None without labelled rows."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    keyed = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    kinds = keyed.select("lang").distinct().limit(1001).count()
-    if kinds > 1000:
-        raise ValueError("more than 1000 languages")
-    sample = bounded_sample(keyed.groupBy("id").agg(F.min("lang").alias("lang")), "id", ["lang"], max(1, min(max_train, max_total // max(1, kinds))))
-    pdf = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").toPandas()
-    pdf = pdf.sort_values(["id", "text"], kind="stable").drop_duplicates("id")
-    if pdf.empty:
+def word_table(rows: DataFrame) -> DataFrame:
+    """(lang, word, n): how often each word stands in the texts of each language; long letter runs in parts. rows: lang, text."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = batch.column(0).to_pylist()
+        tally: dict[tuple[str, str], int] = {}
+        for language, text in zip(names, words_only(batch.column(1)).to_pylist(), strict=True):
+            for word in split_long((text or "").split()):
+                tally[language, word] = tally.get((language, word), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.string()), pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
+
+    return in_arrow(rows.select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, vocabulary: str | None = None, max_train: int = 1200, max_total: int = 24_000,
+    max_words: int = 300_000, max_languages: int = 1000,
+) -> Model | None:
+    """Fit on at most max_train rows of each language, and on the max_words most frequent words of these; None without
+    labelled rows with letters. More than max_languages languages are a ValueError, as the model grows with them."""
+    id_name, lang, text = (F.col(f"`{c}`") for c in (id_col, lang_col, text_col))
+    rows = docs.where(lang.isNotNull() & id_name.isNotNull() & text.isNotNull()).select(id_name.alias("id"), lang.cast("string").alias("lang"), text.cast("string").alias("text"))
+    kinds = rows.select("lang").distinct().limit(max_languages + 1).count()
+    if kinds > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    sample = bounded_sample(rows.groupBy("id").agg(F.min("lang").alias("lang")), "id", ["lang"], max(1, min(max_train, max_total // max(1, kinds))))
+    texts = rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
+    got = word_table(texts).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    if not got:
         return None
-    return fit(pdf["text"].tolist(), pdf["lang"].tolist(), load_pieces(vocabulary or default_vocabulary()))
+    languages, words = sorted({r["lang"] for r in got}), sorted({r["word"] for r in got})
+    place = {w: i for i, w in enumerate(words)}
+    counts = np.zeros((len(words), len(languages)))
+    for r in got:
+        counts[place[r["word"]], languages.index(r["lang"])] = r["n"]
+    return fit(words, counts, languages, load_pieces(vocabulary or default_vocabulary()))
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

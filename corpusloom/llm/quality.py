@@ -11,7 +11,10 @@ their id; the bound is a parameter, and scoring covers every text whole.
 
 Defined results: a null or empty text has the statistics 0 and the score of those; without labels
 of both classes every score is the share of label 1 (0.5 without labels); equal rows give equal
-scores; an empty table gives no rows; other columns are ignored.
+scores, and texts with equal statistics too; of splits with equal gain the first statistic and the
+lowest bin count; of labelled rows with one id the largest label and the smallest text count; a very
+long text is one chunk and needs memory in proportion; an empty table gives no rows; other columns,
+those named like a result too, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import rules
-from .common import in_arrow, labelled_sample
+from .common import in_arrow, labelled_texts
 
 STATISTICS = ("log_words", "word_length", "symbols", "marks", "digits", "capitals", "letters", "outside_ascii", "repeated_words", "repeated_lines", "line_length", "distinct_words", "top_word")
 
@@ -139,10 +142,16 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_train: int = 5000, **options) -> Forest:
-    """Fit on at most max_train labelled documents of each class."""
-    pdf = labelled_sample(docs, labels, id_col, text_col, label_col, max_train)
-    x = [statistics(c) for c in B.chunks(pa.array(pdf["text"].tolist(), pa.string()))]
-    return fit(np.concatenate(x) if x else np.zeros((0, len(STATISTICS))), pdf["label"].to_numpy(float), **options)
+    """Fit on at most max_train labelled documents of each class; the driver gets their statistics only."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.concatenate([statistics(c) for c in B.chunks(batch.column(2))])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x[:, j]) for j in range(len(STATISTICS)))], ["key", "label", *STATISTICS])
+
+    schema = "key long, label int, " + ", ".join(f"{s} double" for s in STATISTICS)
+    rows = sorted(map(tuple, in_arrow(labelled_texts(docs, labels, id_col, text_col, label_col, max_train), run, schema).collect()))
+    made = np.array(rows, float).reshape(len(rows), 2 + len(STATISTICS))
+    return fit(made[:, 2:], made[:, 1], **options)
 
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,4 +165,4 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(columns, [id_col, "score", *STATISTICS])
 
     schema = f"`{id_col}` {kind}, score double, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return in_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
+    return in_arrow(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")), run, schema)

@@ -1,44 +1,53 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios (operator 7).
 
-A text's features are the character n-grams (3 to 9 bytes of the lower-cased words with a
-mark at each end) of its words, hashed to a table of fixed size; a feature counts
-once in a text. Each feature is scaled by its log-count ratio log((p + a) / |p|) - log((q + a) / |q|)
-of the toxic and other labelled texts, and a logistic regression is trained on the scaled
-features. Scaling and weights are folded into one table, so a score is one sum over the distinct
-n-grams of a text. Because one insult makes a long text toxic, texts are scored by their worst
-words as well: the word table gives each word its own sum, and the strongest words of a text are
-features of the final calibration.
+A text's features are the character n-grams (3 to 8 characters of the lower-cased words with a mark
+at each end) of its words, hashed to a table of fixed size; a feature counts once in a text. Each
+feature is scaled by its log-count ratio log((p + a) / |p|) - log((q + a) / |q|) of the toxic and
+other labelled texts, and a logistic regression is trained on the scaled features. Scaling and
+weights are folded into one table: the score is the logistic function of the bias and the sum over
+the distinct n-grams of the whole text. Sums are not divided by the text's length, so one insult
+weighs as much in a long text as in a short one.
 
 Training takes at most `max_train` labelled rows of each class, those with the smallest hash of
-their id; the bound is a parameter, and scoring covers every text whole.
+their id, and the `max_features` n-grams that depend most on the label; both bounds are parameters, and scoring covers every text whole. N-grams are counted where the texts lie; what the
+driver gets is two counts a bucket and one bit a feature and labelled text.
 
 Defined results: a null or empty text has the score of the bias alone; without labels of both
-classes every score is 0; equal rows give equal scores; other columns are ignored.
+classes every score is 0; equal rows give equal scores, and equal sums equal scores; of labelled
+rows with one id the largest label and the smallest text count; a very long text is one chunk and
+needs memory in proportion; an empty table gives no rows; other columns, those named `score` or
+`label` too, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import in_arrow, labelled_sample
+from .common import Scratch, in_arrow, labelled_texts
+from .sketch import bucket_counts
 
 BITS = 20
-SIZES = (3, 4, 5, 6, 7, 8, 9)
+SIZES = (3, 4, 5, 6, 7, 8)
+MARK = 0x20
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # one weight for each hashed n-gram
-    calibration: np.ndarray  # over TEXT_FEATURES, the last is the bias
-    scale: np.ndarray
-    margin: np.ndarray
+    bias: float
+
+
+def lowered(column: pa.Array) -> Iterator[B.Chunk]:
+    return B.chunks(pc.utf8_lower(column))
 
 
 def word_grams(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,21 +56,25 @@ def word_grams(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     codes, uniques = pd.factorize(w.hash)
     first = np.empty(len(uniques), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    start, end = w.start[first], w.end[first]
-    size = end - start + 2
+    if len(uniques) == 0:
+        return codes, w.row, np.zeros(0, np.int32), np.zeros(0, np.int32)
+    start, size = w.start[first], w.end[first] - w.start[first] + 1
     ends = np.cumsum(size)
-    n = int(ends[-1]) if len(ends) else 0
-    owner = np.repeat(np.arange(len(uniques)), size)
-    pos = np.arange(n) - np.repeat(ends - size, size)
-    left = np.repeat(size, size) - pos
-    source = np.clip(np.repeat(start, size) + pos - 1, 0, max(0, len(chunk.buf) - 1))
-    byte = B.LOWER[chunk.buf[source]].astype(np.uint64) if n else np.zeros(0, np.uint64)
-    byte[(pos == 0) | (left == 1)] = 0
+    source = np.arange(int(ends[-1])) - np.repeat(ends - size - start, size)
+    raw = B.LOWER[chunk.buf[np.minimum(source, len(chunk.buf) - 1)]]
+    raw[ends - 1] = MARK  # the words one after the other, a mark behind each
+    char = np.frombuffer((chr(MARK) + raw.tobytes().decode("utf-8", "replace")).encode("utf-32-le"), np.uint32)
+    n = len(char)
+    mark = np.flatnonzero(char == MARK)
+    owner = np.repeat(np.arange(len(mark)), np.diff(np.append(mark, n)))
+    left = np.append(mark, n)[np.minimum(owner + 1, len(mark))] - np.arange(n) + 1  # characters up to the word's last mark
+    left[mark[-1] :] = 0
+    value = char.astype(np.uint64)
     grams, owners = [], []
     h = np.zeros(n, np.uint64)
     for k in range(max(SIZES)):
         shifted = np.zeros(n, np.uint64)
-        shifted[: max(0, n - k)] = byte[k:]
+        shifted[: max(0, n - k)] = value[k:]
         h = (h + shifted + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if k + 1 in SIZES:
@@ -71,31 +84,6 @@ def word_grams(chunk: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, w.row, np.concatenate(grams), np.concatenate(owners)
 
 
-def word_scores(weight: np.ndarray, grams: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owners, weight[grams], minlength=n)
-
-
-TEXT_FEATURES = 6
-
-
-def text_features(codes: np.ndarray, rows: np.ndarray, score: np.ndarray, n_rows: int, margin: np.ndarray) -> np.ndarray:
-    """Per row: the strongest word, how far and how often words pass two margins, the share of strong words, and 1."""
-    out = np.zeros((n_rows, TEXT_FEATURES))
-    out[:, -1] = 1
-    if len(codes):
-        s = score[codes]
-        top = np.full(n_rows, -np.inf)
-        np.maximum.at(top, rows, s)
-        low, high = margin
-        out[:, 0] = np.where(np.isfinite(top), np.clip(top / high, 0, 2), 0)
-        out[:, 1] = np.log1p(np.bincount(rows, np.clip(s / low - 1, 0, 1), minlength=n_rows))
-        out[:, 2] = np.log1p(np.bincount(rows, np.clip(s / high - 1, 0, 1), minlength=n_rows))
-        words = np.maximum(1, np.bincount(rows, minlength=n_rows))
-        out[:, 3] = np.bincount(rows, s > low, minlength=n_rows) / words
-        out[:, 4] = np.minimum(1, np.bincount(rows, s > high, minlength=n_rows) / words * 100)
-    return out
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -104,7 +92,8 @@ def text_grams(chunk: B.Chunk, wanted: np.ndarray | None = None) -> tuple[np.nda
     """Row and number of each n-gram that a row has, each once; of the wanted ones only."""
     codes, rows, grams, owners = word_grams(chunk)
     if wanted is not None:
-        grams, owners = grams[wanted[grams]], owners[wanted[grams]]
+        some = wanted[grams]
+        grams, owners = grams[some], owners[some]
     order = np.unique(codes.astype(np.int64) * chunk.rows + rows)  # a word counts once in a text
     word, row = order // chunk.rows, order % chunk.rows
     by_word = np.argsort(owners, kind="stable")
@@ -118,79 +107,82 @@ def text_grams(chunk: B.Chunk, wanted: np.ndarray | None = None) -> tuple[np.nda
     return pair >> BITS, (pair & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, alpha: float = 0.5, epochs: int = 25, ridge: float = 1e-4, least_ratio: float = 0.7, least_count: int = 3) -> Model:
-    """Log-count ratios, then logistic regression by gradient steps with momentum on the scaled features, then the calibration.
-
-    N-grams of fewer than least_count texts or with a ratio nearer to 0 than least_ratio are left out."""
-    labels = np.asarray(labels, float)
-    if len(labels) == 0 or labels.min() == labels.max():
-        raise ValueError("labels of both classes are needed")
-    column = pa.array(texts, pa.string())
-    positive, negative = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for chunk in B.chunks(column):
-        row, gram = text_grams(chunk)
-        y = labels[chunk.first : chunk.last][row]
-        positive += np.bincount(gram, y, minlength=1 << BITS)
-        negative += np.bincount(gram, 1 - y, minlength=1 << BITS)
-    ratio = np.log((positive + alpha) / (labels.sum() + 2 * alpha)) - np.log((negative + alpha) / ((1 - labels).sum() + 2 * alpha))
-    ratio[(positive + negative < least_count) | (np.abs(ratio) < least_ratio)] = 0
-    used = np.flatnonzero(ratio)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    parts = [(r + c.first, place[g]) for c in B.chunks(column) for r, g in [text_grams(c, ratio != 0)]]
-    row, gram = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    value = ratio[used][gram] / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(labels))))[row]
-    theta, bias, momentum, drift = np.ones(len(used)), 0.0, np.zeros(len(used)), 0.0
+def ratios(positive: np.ndarray, negative: np.ndarray, texts: tuple[int, int], alpha: float) -> np.ndarray:
+    """Log-count ratios of n-grams that stand in so many toxic and other texts, of `texts` toxic and other ones."""
+    return np.log((positive + alpha) / (texts[0] + 2 * alpha)) - np.log((negative + alpha) / (texts[1] + 2 * alpha))
+
+
+def select(positive: np.ndarray, negative: np.ndarray, texts: tuple[int, int], ratio: np.ndarray, least_ratio: float, least_count: int, most: int) -> np.ndarray:
+    """Numbers of the n-grams that become features: frequent enough, with a ratio far enough from 0, those of the largest chi-square of label and n-gram."""
+    count = positive + negative
+    some = np.flatnonzero((count >= least_count) & (np.abs(ratio) >= least_ratio))
+    expected = count[some] * (texts[0] / sum(texts))
+    telling = (positive[some] - expected) ** 2 / expected
+    return np.sort(some[np.lexsort((some, -telling))[:most]])
+
+
+def regress(row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, labels: np.ndarray, *, epochs: int = 200, rate: float = 0.05, ridge: float = 1e-3, scale: float = 0.05) -> tuple[np.ndarray, float]:
+    """Logistic regression on the scaled features of labelled texts, both classes weighing the same, by gradient steps with
+    moments; the weights of the n-grams and the bias. A weight keeps the sign of its n-gram's ratio."""
+    value = ratio[feature] * scale
+    theta, bias = np.zeros(len(ratio)), 0.0
+    first, second = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    for _ in range(epochs):
-        z = np.bincount(row, theta[gram] * value, minlength=len(labels)) + bias
-        g = balance * (sigmoid(z) - labels)
-        momentum = 0.9 * momentum + np.bincount(gram, g[row] * value, minlength=len(used)) / len(labels) + ridge * (theta - 1)
-        drift = 0.9 * drift + g.mean()
-        theta = np.maximum(0, theta - 0.5 * momentum)
-        bias -= 0.5 * drift
-    weight = np.zeros(1 << BITS)
-    weight[used] = theta * ratio[used]
-    return calibrate(weight, texts, labels)
-
-
-def calibrate(weight: np.ndarray, texts: list[str], labels: np.ndarray) -> Model:
-    """Logistic regression of the label on text features; the margins are quantiles of the word sums of clean texts."""
-    made, clean = [], []
-    at = 0
-    for k in B.chunks(pa.array(texts, pa.string())):
-        codes, rows, grams, owners = word_grams(k)
-        score = word_scores(weight, grams, owners, int(codes.max()) + 1 if len(codes) else 0)
-        made.append((codes, rows, score, k.rows))
-        clean.append(score[codes][labels[at : at + k.rows][rows] == 0])
-        at += k.rows
-    margin = np.maximum(np.quantile(np.concatenate(clean), (0.99, 0.9995)), (1e-3, 2e-3)) if sum(map(len, clean)) else np.array((1.0, 2.0))
-    features = np.concatenate([text_features(*x, margin) for x in made])
-    scale = np.maximum(features.std(0), 1e-9)
-    scale[-1] = 1
-    x, beta = features / scale, np.zeros(TEXT_FEATURES)
-    for _ in range(50):  # Newton steps with a small ridge
-        p = sigmoid(x @ beta)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(TEXT_FEATURES)
-        step = np.linalg.solve(h, x.T @ (labels - p) - beta)
-        beta += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return Model(weight.astype(np.float32), beta, scale, margin)
+    for t in range(1, epochs + 1):
+        z = np.bincount(row, theta[feature] * value, minlength=len(labels)) + bias
+        error = balance * (sigmoid(z) - labels)
+        gradient = np.append(np.bincount(feature, error[row] * value, minlength=len(ratio)) / len(labels) + ridge * theta, error.mean())
+        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
+        step = rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        theta, bias = np.maximum(0, theta - step[:-1]), bias - step[-1]
+    return theta * ratio * scale, float(bias)
 
 
 def score_chunk(model: Model, chunk: B.Chunk) -> np.ndarray:
-    codes, rows, grams, owners = word_grams(chunk)
-    score = word_scores(model.weight, grams, owners, int(codes.max()) + 1 if len(codes) else 0)
-    return sigmoid(text_features(codes, rows, score, chunk.rows, model.margin) / model.scale @ model.calibration)
+    row, gram = text_grams(chunk, model.weight != 0)
+    return sigmoid(np.bincount(row, model.weight[gram], minlength=chunk.rows) + model.bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_train: int = 4000, **options) -> Model | None:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_train: int = 4000, max_features: int = 8192,
+    alpha: float = 1.0, least_ratio: float = 1.0, least_count: int = 3, **options,
+) -> Model | None:
     """Fit on at most max_train labelled documents of each class; None without both classes."""
-    pdf = labelled_sample(docs, labels, id_col, text_col, label_col, max_train)
-    if pdf["label"].nunique() < 2:
+    scratch = Scratch(docs.sparkSession, "toxic")
+    texts = scratch.keep(labelled_texts(docs, labels, id_col, text_col, label_col, max_train), "texts")
+    n = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    if len(n) < 2:
         return None
-    return fit(pdf["text"].tolist(), pdf["label"].to_numpy(), **options)
+
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        label = batch.column(1).to_numpy().astype(np.int64)
+        for chunk in lowered(batch.column(2)):
+            row, gram = text_grams(chunk)
+            yield label[chunk.first + row] << BITS | gram
+
+    negative, positive = bucket_counts(texts, buckets, BITS + 1).reshape(2, -1)
+    ratio = ratios(positive, negative, (n[1], n[0]), alpha)
+    used = select(positive, negative, (n[1], n[0]), ratio, least_ratio, least_count, max_features)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+
+    def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for chunk in lowered(batch.column(2)):
+            row, gram = text_grams(chunk, shared.value >= 0)
+            has = np.zeros((chunk.rows, len(used)), bool)
+            has[row, shared.value[gram]] = True
+            cut = slice(chunk.first, chunk.last)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[cut], batch.column(1)[cut], pa.array([x.tobytes() for x in np.packbits(has, axis=1)], pa.binary())], ["key", "label", "bits"])
+
+    rows = sorted(in_arrow(texts, features, "key long, label int, bits binary").collect())  # max_features bits a row
+    shared.destroy()
+    scratch.drop()
+    has = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=len(used))
+    row, feature = np.nonzero(has)
+    weight = np.zeros(1 << BITS, np.float32)
+    weight[used], bias = regress(row, feature, ratio[used], np.array([r["label"] for r in rows], float), **options)
+    return Model(weight, bias)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +192,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        scores = [score_chunk(m, c) if m is not None else np.zeros(c.rows) for c in B.chunks(batch.column(1))]
+        scores = [score_chunk(m, c) if m is not None else np.zeros(c.rows) for c in lowered(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], [id_col, "score"])
 
-    return in_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, score double")
+    return in_arrow(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")), run, f"`{id_col}` {kind}, score double")

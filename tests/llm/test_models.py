@@ -1,9 +1,12 @@
 """Language ID, quality and toxicity: held-out accuracy on made texts, and the odd cases."""
 
+import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
 from corpusloom.llm import langid, quality, toxicity
@@ -29,7 +32,7 @@ def brute_word(model, word, language):
         if not rest:
             return 1.0
         out = 0.0
-        for n in range(1, min(len(rest), langid.LONGEST_PIECE) + 1):
+        for n in range(1, len(rest) + 1):
             if rest[:n] in at:
                 out += model.prob[at[rest[:n]], k] * total(rest[n:])
             elif n == 1:
@@ -39,10 +42,44 @@ def brute_word(model, word, language):
     return np.log(total("▁" + word))
 
 
+def fitted(texts, pieces, rounds=3):
+    """The operator's fit on words counted here."""
+    tally = collections.Counter((w, x) for t, x in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    languages, words = sorted({x for _, x in texts}), sorted({w for w, _ in tally})
+    return langid.fit(words, np.array([[tally[w, x] for x in languages] for w in words], float), languages, pieces, rounds=rounds)
+
+
+def cuts(rest, at):
+    """All segmentations of a word; a character that is no piece stands alone."""
+    if not rest:
+        return [[]]
+    return [[rest[:n], *more] for n in range(1, len(rest) + 1) if rest[:n] in at or n == 1 for more in cuts(rest[n:], at)]
+
+
+def test_language_fit_equals_brute_force():
+    """Expectation maximisation by listing every segmentation of every word."""
+    texts = [("ab abc ab b", "x"), ("bc c abc q", "y"), ("a b", "x")]
+    pieces = sorted({"\u2581", "\u2581a", "a", "b", "c", "ab", "bc", "abc"})
+    at = {p: i for i, p in enumerate(pieces)}
+    prob = np.full((len(pieces), 2), 1 / len(pieces))
+    for rounds in (1, 2, 3):
+        new = np.full_like(prob, 0.02)
+        for k, language in enumerate("xy"):
+            for word in " ".join(t for t, x in texts if x == language).split():
+                every = cuts("\u2581" + word, at)
+                weight = np.array([np.prod([prob[at[p], k] if p in at else 1e-7 for p in c]) for c in every])
+                for c, p in zip(every, weight / weight.sum(), strict=True):
+                    for piece in c:
+                        if piece in at:
+                            new[at[piece], k] += p
+        prob = new / new.sum(0)
+        assert np.allclose(fitted(texts, pieces, rounds).prob[:-1], prob)
+
+
 def test_language_forward_equals_all_segmentations():
     made = rows(30)
     pieces = sorted({"▁"} | {w[i:j] for ws in WORDS.values() for w in ws for i in range(len(w)) for j in range(i + 1, len(w) + 1)} | {"▁" + w[:2] for ws in WORDS.values() for w in ws})
-    model = langid.fit([t for _, t, _ in made], [x for *_, x in made], pieces)
+    model = fitted([(t, x) for _, t, x in made], pieces)
     assert np.allclose(model.prob[:-1].sum(0), 1)
     for word in ("water", "haus", "qux", "über", "日"):
         got = model.word_scores([word])[0]
@@ -119,6 +156,160 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def brute_toxicity(made, alpha=1.0):
+    """The same model with dictionaries: counts, ratios and gradient steps over all n-grams as text."""
+    grams = []
+    for _, t, *_ in made:
+        words = [f" {w} " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())]
+        grams.append({w[i : i + n] for w in words for n in toxicity.SIZES for i in range(len(w) - n + 1)})
+    y = np.array([x for *_, x in made], float)
+    pos, neg = (collections.Counter(g for gs, v in zip(grams, y, strict=True) if v == k for g in gs) for k in (1, 0))
+    ratio = {g: np.log((pos[g] + alpha) / (y.sum() + 2 * alpha)) - np.log((neg[g] + alpha) / (len(y) - y.sum() + 2 * alpha)) for g in {*pos, *neg}}
+    used = sorted(g for g, r in ratio.items() if pos[g] + neg[g] >= 3 and abs(r) >= 1)
+    x = np.array([[(g in gs) * ratio[g] * 0.05 for g in used] for gs in grams])
+    theta, bias, m, v = np.zeros(len(used)), 0.0, 0.0, 0.0
+    weigh = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for t in range(1, 201):
+        e = weigh * (1 / (1 + np.exp(-(x @ theta + bias))) - y)
+        g = np.append(x.T @ e / len(y) + 1e-3 * theta, e.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta, bias = np.maximum(0, theta - step[:-1]), bias - step[-1]
+    return 1 / (1 + np.exp(-(x @ theta + bias))), len(used)
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(7)
+    made = [(i, text("de" if i % 2 else "en", 12, rng) + (" Idiöt" if i % 3 == 0 else "") + rng.choice([" Blödmann", "", ""]) * (i % 3 == 0), 0, int(i % 3 == 0)) for i in range(60)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, *_, x in made], "doc_id long, toxic int")
+    model = toxicity.train(docs.repartition(3), labels)
+    want, used = brute_toxicity(made)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.count_nonzero(model.weight) > 0 and used < 8192
+    assert np.allclose([got[i] for i, *_ in made], want, atol=2e-3)
+    # the score is the sum over the distinct n-grams: repeated words add nothing, and no other part of the text counts
+    twice = spark.createDataFrame([(i, f"{t} -- {t}") for i, t, *_ in made], "doc_id long, text string")
+    assert all(abs(r.score - got[r.doc_id]) < 1e-6 for r in toxicity.score(twice, model).collect())
+
+
+def held_out_share(spark, made, score, label):
+    """Share of pairs of a held-out text of each class that the score orders rightly."""
+    test = {r.doc_id for r in spark.createDataFrame([(i,) for i, *_ in made], "doc_id long").where(held_out("doc_id")).collect()}
+    one, zero = ([score[m[0]] for m in made if m[0] in test and m[label] == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+
+
+def test_toxicity_on_held_out_texts(spark):
+    """Each held-out insult has an ending that no learned one has; characters inside it tell."""
+    rng = random.Random(11)
+    made = []
+    for i in range(400):
+        words = text("en" if i % 2 else "de", rng.randint(20, 200), rng).split()
+        if i % 5 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["blöd", "trottel"]) + rng.choice(["eri", "haft", "ling", "st", "mann"]) + str(i)
+        made.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in made], "doc_id long, toxic int").where(~held_out("doc_id"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert held_out_share(spark, made, got, 2) >= 0.99
+
+
+def test_toxicity_cases(spark):
+    made = labelled(60)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, *_ in made], "doc_id long, text string, score string, label string")
+    labels = spark.createDataFrame([(i, x) for i, *_, x in made], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.union(docs).repartition(4), labels.union(labels))  # repeated rows change nothing
+    assert np.allclose(model.weight, again.weight) and abs(model.bias - again.bias) < 1e-9
+    assert toxicity.train(docs.limit(0), labels) is None and toxicity.score(docs.limit(0), model).count() == 0
+    same = toxicity.score(spark.createDataFrame([(1, "abc idiot"), (2, "Idiot, ABC"), (2, "Idiot, ABC")], "doc_id long, text string"), model).collect()
+    assert len(same) == 3 and len({r.score for r in same}) == 1
+
+
+def brute_statistics(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    rows = [r for r in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", r)]
+    windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    n, chars, letters = max(1, len(w)), max(1, sum(map(len, w))), max(1, len(re.findall("[A-Za-z]", t)))
+    return (
+        np.log1p(len(w)), sum(map(len, w)) / n, len(re.findall(r"[#*$%&|<>]", t)) / n, len(re.findall("[!?.,;:]", t)) / n, len(re.findall("[0-9]", t)) / chars, len(re.findall("[A-Z]", t)) / letters,
+        sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", x)) for x in w) / n, len([b for b in t.encode() if b >= 0x80]) / chars, len(hit) / n, (len(rows) - len(set(rows))) / max(1, len(rows)), len(w) / max(1, len(rows)),
+        len(set(w)) / n, max(collections.Counter(w).values(), default=0) / n,
+    )
+
+
+def test_quality_statistics_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["", "a a a a", "É ü!\n\né 12,3 $x\nx", "A B\nA B\nC", "word " * 300] + ["".join(rng.choices("abC  \n\té#$1.,", k=rng.randint(1, 300))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("digits", F.lit("clash"))
+    got = {r.doc_id: r for r in quality.score(docs, quality.fit(np.zeros((0, len(quality.STATISTICS))), np.zeros(0))).collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose([got[i][s] for s in quality.STATISTICS], brute_statistics(t)), t
+
+
+def brute_trees(x, y, trees, depth, rate=0.15, ridge=1.0):
+    """Boosted trees by trying every split of every node at the midpoints that the operator's bins give."""
+    start = np.log(y.mean() / (1 - y.mean()))
+    z = np.full(len(y), start)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) for j in range(x.shape[1])]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-z))
+        g, h = p - y, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for deep in range(depth + 1):
+            after = []
+            for rows in nodes:
+                best = (1e-6, None)
+                for j, cuts_ in enumerate(edges):
+                    for c in cuts_ if deep < depth else ():
+                        low, high = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                        if h[low].sum() >= 1 and h[high].sum() >= 1:
+                            gain = sum(g[r].sum() ** 2 / (h[r].sum() + ridge) for r in (low, high)) - g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (low, high))
+                if best[1] is None:
+                    z[rows] += -rate * g[rows].sum() / (h[rows].sum() + ridge)
+                else:
+                    after += best[1]
+            nodes = after
+    return 1 / (1 + np.exp(-z))
+
+
+def test_tree_fit_equals_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=120) > 0).astype(float)
+    assert np.allclose(quality.fit(x, y, trees=6, depth=3).score(x), brute_trees(x, y, 6, 3), atol=1e-6)
+
+
+def test_quality_cases(spark):
+    docs, labels, made = frames(spark)
+    forest = quality.train(docs, labels.where(~held_out("doc_id")))
+    got = {r.doc_id: r.score for r in quality.score(docs.where("text IS NOT NULL"), forest).collect()}
+    assert held_out_share(spark, made, got, 2) >= 0.99
+    again = quality.train(docs.union(docs).repartition(3), labels.union(labels).where(~held_out("doc_id")))
+    assert (forest.feature == again.feature).all() and np.allclose(forest.value, again.value)
+    same = quality.score(spark.createDataFrame([(1, "b a"), (2, "a b"), (2, "a b")], "doc_id long, text string"), forest).collect()
+    assert len(same) == 3 and len({r.score for r in same}) == 1
+
+
+def test_language_odd_texts(spark):
+    model = langid.train(spark.createDataFrame(rows(), "doc_id long, text string, lang string"))
+    marks = "\u0301\u0300 \u0308"
+    odd = spark.createDataFrame([(1, marks), (2, "\u2160\u0660 12"), (3, "a" + marks), (4, "water" * 1000)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und" and got[4][0] == "en"
+    # a tie: two languages learned from the same texts
+    tie = langid.train(spark.createDataFrame([(1, "the water", "b"), (2, "the water", "a"), (2, "the water", "a")], "doc_id long, text string, lang string"))
+    assert [(r.lang_pred, round(r.score, 6)) for r in langid.predict(odd.where("doc_id = 4"), tie).collect()] == [("a", 0.5)]
+
+
+def test_many_classes_are_all_sampled(spark):
+    df = spark.range(11000).selectExpr("id", "id AS g")
+    assert bounded_sample(df, "id", ["g"], 3).count() == 11000
+
+
 def test_word_grams_are_each_words_own():
     chunk = next(B.chunks(pa.array(["Idiot x idiot", "", "idiot"])))
     codes, row, grams, owners = toxicity.word_grams(chunk)
