@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 BATCH_ROWS = 2048
+#: What a Python worker keeps from task to task, by name; a task of another operator lets it go.
+HELD: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +74,13 @@ def release() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, func: Callable[..., Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, state: Callable[[], object] | None = None) -> DataFrame:
-    """mapInArrow with a function of one batch, and of what `state` makes for each task."""
+def in_arrow(df: DataFrame, func: Callable[..., Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType, state: Callable[[], object] | None = None, holds: str = "") -> DataFrame:
+    """mapInArrow with a function of one batch, and of what `state` makes for each task; `holds` names what it keeps in HELD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())  # what is freed can be given back
+        for name in set(HELD) - {holds}:
+            del HELD[name]
         more = () if state is None else (state(),)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):  # what a function derives from a batch stays small

@@ -7,8 +7,9 @@ partitions are merged so that the largest sum of one meets the smallest sum of t
 leaves sums that are nearly equal. m starts at the least possible number and rises whenever a
 window would hold more than its capacity.
 
-Documents go to blocks by a hash, about `block_docs` to each; a block is bounded whatever the
-input, and no key can gather rows. Ids come from a public byte-level BPE vocabulary. Pre-tokens
+Pieces go to blocks by a hash of their ids and of their place in a task, about as many to each as
+`block_docs` documents have; a block is bounded whatever the input, and no key can gather rows, those
+of equal rows neither. Ids come from a public byte-level BPE vocabulary. Pre-tokens
 are found with numpy over the code points of a whole batch and each distinct pre-token is encoded
 once per worker (a cache of bounded size).
 
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import in_arrow
+from .common import HELD, in_arrow
 
 WINDOW = 1024
 SEPARATOR = 0
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 100_000
 
 _O, _L, _N, _S, _ODD = 0, 1, 2, 3, 4
 
@@ -53,13 +54,12 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of many texts at once, equal to those of `tokenizers` for the same vocabulary file."""
 
-    _made: dict[str, Encoder] = {}
-
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        made = HELD.get("encoder")
+        if made is None or made.path != path:
+            made = HELD["encoder"] = cls(path)
+        return made
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -153,10 +153,10 @@ class Encoder:
         tokens = np.searchsorted(begin, chars)
         offs = np.concatenate(([0], ends))[tokens]
         if len(odd_rows):
-            parts, sizes = [], np.diff(offs)
+            parts, sizes, odd = [], np.diff(offs), set(odd_rows.tolist())
             for r in range(chunk.rows):
                 part = flat[offs[r] : offs[r + 1]]
-                if r in set(odd_rows.tolist()):
+                if r in odd:
                     part = np.array(self.whole.encode(chunk.text(r), add_special_tokens=False).ids, np.int32)
                     sizes[r] = len(part)
                 parts.append(part)
@@ -202,16 +202,16 @@ class Encoder:
 
 
 def pieces_schema(id_type: str, with_ids: bool) -> str:
-    return f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
+    return f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, spread long" + (", ids array<int>" if with_ids else "")
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: whole windows, then the remainder in at most two pieces, as smaller items
-    level the windows. With ids, or with their checksum only."""
+    level the windows. With ids, or with their checksum only. `spread` deals pieces to blocks, pieces of equal rows too."""
     path, half = vocabulary or default_vocabulary(), max(1, window // 2)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch, seen: list[int]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for chunk in B.chunks(batch.column(1)):
             flat, offs = encoder.encode(chunk)
@@ -229,13 +229,16 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voca
                     if with_ids:
                         made.append(piece.astype(np.int32))
             columns = [batch.column(0).take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            spread = B.mix(np.array(crc, np.uint64) << np.uint64(32) | np.array(start, np.uint64) & np.uint64(0xFFFFFFFF)) + np.arange(seen[0], seen[0] + len(rows), dtype=np.uint64)
+            seen[0] += len(rows)  # a task that is tried again reads its rows in the same order
+            columns.append(pa.array(B.mix(spread).view(np.int64)))
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"]
             if with_ids:
                 columns.append(pa.array(made, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return in_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, pieces_schema(id_type, with_ids))
+    return in_arrow(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string")), run, pieces_schema(id_type, with_ids), state=lambda: [0], holds="encoder")
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
@@ -287,8 +290,8 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(pieces: DataFrame, blocks: int, *, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to the pieces of cut()."""
     bits = 24
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "spread"]
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["_block"].iloc[0])
@@ -306,7 +309,7 @@ def pack(pieces: DataFrame, blocks: int, *, window: int = WINDOW) -> DataFrame:
         pdf["offset"] = offset
         return pdf[[*names, "sequence_id", "offset"]]
 
-    key = F.pmod(F.xxhash64("doc_id", "ids_crc32", "doc_tokens"), F.lit(blocks))
+    key = F.pmod(F.col("spread"), F.lit(blocks))
     return pieces.withColumn("_block", key).groupBy("_block").applyInPandas(block, schema)
 
 
