@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import bounded_sample, in_arrow
+from .common import bounded_sample, in_arrow, release
 
 UNDETERMINED = "und"
 LONGEST_WORD = 32
@@ -141,8 +141,10 @@ class Model:
             through = p * beta[end]
             beta[begin] += through
             hit = piece >= 0
+            uses = alpha[begin] * through
+            used, place = np.unique(piece[hit], return_inverse=True)
             for k in range(len(self.languages)):
-                out[:-1, k] += np.bincount(piece[hit], (alpha[begin] * through)[hit, k], minlength=len(self.pieces))
+                out[used, k] += np.bincount(place, uses[hit, k], minlength=len(used))
         return out
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -240,7 +242,7 @@ def word_table(rows: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, vocabulary: str | None = None, max_train: int = 1200, max_total: int = 24_000,
-    max_words: int = 300_000, max_languages: int = 1000,
+    max_words: int = 100_000, max_languages: int = 1000,
 ) -> Model | None:
     """Fit on at most max_train rows of each language, and on the max_words most frequent words of these; None without
     labelled rows with letters. More than max_languages languages are a ValueError, as the model grows with them."""
@@ -251,15 +253,18 @@ def train(
         raise ValueError(f"more than {max_languages} languages")
     sample = bounded_sample(rows.groupBy("id").agg(F.min("lang").alias("lang")), "id", ["lang"], max(1, min(max_train, max_total // max(1, kinds))))
     texts = rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
-    got = word_table(texts).orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
-    if not got:
+    got = word_table(texts).orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow().to_pandas()
+    if got.empty:
         return None
-    languages, words = sorted({r["lang"] for r in got}), sorted({r["word"] for r in got})
-    place = {w: i for i, w in enumerate(words)}
+    lang, languages = pd.factorize(got["lang"], sort=True)
+    word, words = pd.factorize(got["word"], sort=True)
     counts = np.zeros((len(words), len(languages)))
-    for r in got:
-        counts[place[r["word"]], languages.index(r["lang"])] = r["n"]
-    return fit(words, counts, languages, load_pieces(vocabulary or default_vocabulary()))
+    counts[word, lang] = got["n"].to_numpy()
+    words = words.tolist()
+    del got, word, lang
+    model = fit(words, counts, languages.tolist(), load_pieces(vocabulary or default_vocabulary()))
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
