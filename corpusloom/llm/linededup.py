@@ -17,7 +17,7 @@ number, has a Jaccard similarity of at least `threshold` with it.
    filters are lossless.
 4. Candidates are verified on the whole sets, in rounds: of each line and group the 4 earliest are
    handed on, so a group of similar lines gives a few rows a line. Lines whose candidates all fail
-   and that have more go to the next round with 8 times as many, until none is left. A round looks at
+   and that have more go to the next round with 64 times as many, until none is left. A round looks at
    the groups of such open lines only; at worst, at all groups once more.
 Groups of more than `hot` lines are dealt to cells, a pair of blocks each, before they are gathered.
 
@@ -47,7 +47,7 @@ BITS = 22
 #: Prefix rows that a task gathers, and pairs that it looks at in one go.
 TASK_ROWS, PAIR_BLOCK = 400_000, 250_000
 #: Candidates of a line and word that a round hands on; the next round takes ROUND times as many.
-FIRST_ROUND, ROUND = 4, 8
+FIRST_ROUND, ROUND = 4, 64
 
 
 def places(chunk: B.Chunk) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -260,8 +260,11 @@ def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch:
 
     rows: word, span (place in the order << 32 | size), doc, place, bitmap, and probe, if only some are taken as the later one.
     Tasks get about TASK_ROWS rows each, whatever the number of shuffle partitions is set to."""
-    hot_words = scratch.keep(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), f"{name}-hot")
-    n_rows = rows.count()
+    large = F.col("n") > hot
+    each = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).groupBy(F.when(large, F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    counts = scratch.keep(each, f"{name}-counts")  # one row for each hot word, and one for all others
+    n_rows = counts.agg(F.sum("n")).first()[0] or 0
+    hot_words = counts.where("word IS NOT NULL")
     keys = ["word"]
     if not hot_words.isEmpty():
         n = F.ceil(F.col("n") / F.lit(hot)).cast("int")
@@ -269,7 +272,7 @@ def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch:
         large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         cell = F.least("block", "other") * F.col("n") + F.greatest("block", "other") + 1
         rows = rows.join(hot_words, "word", "left_anti").withColumn("cell", F.lit(0)).unionByName(large.withColumn("cell", cell).drop("n", "block", "other"))
-        keys, n_rows = ["word", "cell"], rows.count()
+        keys, n_rows = ["word", "cell"], n_rows + (hot_words.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(hot)))).first()[0] or 0)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,11 +346,17 @@ def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch:
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Words of the wanted lines (doc, place). A bucket table of the wanted places keeps other lines out of the shuffle."""
+    """Words of the wanted lines (doc, place). A bit table of them and their documents keeps other documents from being split and other lines out of the shuffle."""
 
-    marked = place_marks(wanted)
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        doc, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        yield place_hash(doc, place)
+        yield place_hash(doc, -1 - (place & 0xFFFFFFFF))  # no place of a line
+
+    marked = docs.sparkSession.sparkContext.broadcast(marks(wanted, keys))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(marked.value.has(place_hash(batch.column(0).to_numpy(), -1 - batch.column(1).to_numpy()))))
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for chunk in _lowered(batch, 2):
             w, line, row, number = places(chunk)
@@ -396,14 +405,15 @@ def prefix_rows(first: DataFrame) -> DataFrame:
 def touched(first: DataFrame, open_lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Prefix rows of the groups in which the open lines stand; two bit tables find them without a shuffle.
 
-    Lines that share a bit with an open line or with one of its words come along: more is compared, nothing is lost."""
+    Rows that share a bit with one of the words come along: more is compared, nothing is lost."""
     lines = place_marks(open_lines)
 
     def mine(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = lines.value.has(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        return pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(hit)).flatten()], ["word"])
+        return batch.filter(pa.array(hit))
 
-    words = scratch.keep(in_arrow(first.select("doc", "place", "prefix"), mine, "word int").distinct(), name)
+    near = in_arrow(first.select("doc", "place", "prefix"), mine, "doc long, place long, prefix array<int>")
+    words = scratch.keep(near.join(open_lines, ["doc", "place"], "left_semi").select(F.explode("prefix").alias("word")).distinct(), name)
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield word_hash(batch.column(0).to_numpy())
@@ -463,7 +473,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if open_lines.isEmpty():
             break
         most, k = most * ROUND, k + 1
-        pairs = candidates(touched(first, open_lines, scratch, f"words-{k}"), threshold, most, hot, scratch, f"pairs-{k}")
+        around = scratch.keep(touched(first, open_lines, scratch, f"words-{k}"), f"around-{k}")
+        pairs = candidates(around, threshold, most, hot, scratch, f"pairs-{k}")
         good = scratch.keep(verified(source, pairs, threshold), f"good-{k}")
         later = later.union(good.select("doc", "place").distinct())
     removed = table.where("size = 0").select("doc", "place").union(later)

@@ -78,8 +78,8 @@ class Marks:
 
 
 def marks(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], most_bits: int = 27) -> Marks:
-    """The hashes of all rows as a table of at least 16 bits a row, up to 2^most_bits bits (16 MB); beyond that it lets more through and loses none."""
-    bits = int(min(most_bits, max(16, np.ceil(np.log2(16.0 * max(1, df.count()))))))
+    """The hashes of all rows as a table of at least 2 MB and 16 bits a row, up to 2^most_bits bits (16 MB); beyond that it lets more through and loses none."""
+    bits = int(min(most_bits, max(24, np.ceil(np.log2(16.0 * max(1, df.count()))))))
     size = 1 << (bits - 3)
     width = min(size, 1 << SLICE_BITS)
 
