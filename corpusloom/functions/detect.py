@@ -43,13 +43,11 @@ def is_json(trimmed: Column) -> Column:
     return (trimmed.startswith("{") | array) & trimmed.contains('"') & (trimmed.contains(":") | array)
 
 
-def is_yaml(s: Column, rows: Column) -> Column:
-    def pair(line: Column) -> Column:
-        t = T.trim(line)
-        key = T.trim(F.substring_index(t, ":", 1))
-        return (t != "") & ~t.startswith("#") & t.contains(":") & ~key.contains(" ")
+def is_yaml(s: Column, trimmed: Column) -> Column:
+    def pair(t: Column) -> Column:
+        return (t != "") & ~t.startswith("#") & t.contains(":") & ~T.trim(F.substring_index(t, ":", 1)).contains(" ")
 
-    return s.startswith("---") | (T.count_lines(rows, pair) >= 4)
+    return s.startswith("---") | (T.count_lines(trimmed, pair) >= 4)
 
 
 def is_markdown(rows: Column) -> Column:
@@ -61,21 +59,19 @@ def is_markdown(rows: Column) -> Column:
     return sum((s.cast("int") for s in signs), F.lit(0)) >= 2
 
 
-def is_html(s: Column, rows: Column) -> Column:
+def is_html(s: Column, trimmed: Column) -> Column:
     begin = T.trim_start(s)
     strong = T.starts_with_any(begin, ("<!DOCTYPE", "<!doctype", "<html", "<HTML", "<?xml"))
     pattern = "^(?:" + "|".join(HTML_LINE_STARTS) + ")"
-    return strong | (T.count_lines(rows, lambda x: T.trim(x).rlike(pattern)) >= 3)
+    return strong | (T.count_lines(trimmed, lambda x: x.startswith("<") & x.rlike(pattern)) >= 3)
 
 
-def is_dockerfile(rows: Column) -> Column:
-    trimmed = F.transform(rows, T.trim)
+def is_dockerfile(trimmed: Column) -> Column:
     some = lambda k: F.exists(trimmed, lambda x: x.startswith(k))
     return some("FROM ") & (sum((some(k).cast("int") for k in DOCKER_SIGNS), F.lit(0)) >= 3)
 
 
-def is_env(rows: Column) -> Column:
-    trimmed = F.transform(rows, T.trim)
+def is_env(trimmed: Column) -> Column:
     total = T.count_lines(trimmed, lambda x: (x != "") & ~x.startswith("#"))
     pairs = T.count_lines(trimmed, lambda x: x.rlike(r"(?U)^(?:export\s+)?[A-Z][A-Z0-9_]+="))
     return (total >= 2) & (pairs >= 2) & (pairs / total >= 0.6)
@@ -111,26 +107,34 @@ def detect(text: Column, force_type: str | None = None, force_diff: bool = False
         return F.lit("git-diff")
     if force_type is not None:
         return F.lit(FORCED.get(force_type.lower(), "text"))
-    s = T.sample(F.coalesce(text, F.lit("")))
-    rows = T.lines(s)
+    return T.let(T.sample(F.coalesce(text, F.lit(""))), lambda s: T.let(T.lines(s), lambda rows: _rules(s, rows)))
+
+
+def _rules(s: Column, rows: Column) -> Column:
+    """The rules over the sample and its lines. Those that look at trimmed lines stand together, so that lines are trimmed once."""
+    head = F
+    for label, p, n in COUNTED:
+        head = head.when(T.has(s, p) if n == 1 else T.matches(s, p) >= n, F.lit(label))
     trimmed = T.trim(s)
+    head = head.when(is_json(trimmed), F.lit("json"))
+    return head.otherwise(T.let(F.transform(rows, T.trim), lambda lines: _line_rules(s, rows, lines)))
+
+
+def _line_rules(s: Column, rows: Column, trimmed: Column) -> Column:
     language = code_language(rows)
-    rules = [(T.has(s, p) if n == 1 else T.matches(s, p) >= n, F.lit(label)) for label, p, n in COUNTED]
-    rules += [
-        (is_json(trimmed), F.lit("json")),
-        (is_yaml(s, rows), F.lit("yaml")),
+    case = F
+    for test, label in (
+        (is_yaml(s, trimmed), F.lit("yaml")),
         (is_markdown(rows), F.lit("markdown")),
-        (is_html(s, rows), F.lit("html")),
-        (_distinct(F.upper(s), SQL_SIGNS) >= 2, F.lit("sql")),
-        (is_dockerfile(rows), F.lit("dockerfile")),
+        (is_html(s, trimmed), F.lit("html")),
+        (T.let(F.upper(s), lambda x: _distinct(x, SQL_SIGNS) >= 2), F.lit("sql")),
+        (is_dockerfile(trimmed), F.lit("dockerfile")),
         (_distinct(s, TERRAFORM_SIGNS) >= 2, F.lit("terraform")),
-        (is_env(rows), F.lit("env")),
+        (is_env(trimmed), F.lit("env")),
         (is_csv(rows), F.lit("csv")),
         (language.isNotNull(), F.concat(F.lit("code/"), language)),
         (T.has(s, ANSI), F.lit("log")),
-    ]
-    case = F
-    for test, label in rules:
+    ):
         case = case.when(test, label)
     return case.otherwise("text")
 

@@ -13,12 +13,16 @@ SAMPLE_BYTES = 8192
 SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-
 def lines(text: Column) -> Column:
     """Lines of a text as an array."""
     parts = F.split(text, "\n", -1)
     cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(cut, lambda x: F.regexp_replace(x, r"\r\z", ""))
+    return F.transform(cut, lambda x: F.when(x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def trim(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import annotate, prompt, tokens
@@ -11,6 +11,11 @@ from ..operators.clean import clean
 from .options import Options
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text is null or white space only."""
+    return F.coalesce(text.rlike(r"(?U)\A\s*\z"), F.lit(True))
+
+
 def process(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
     """One row for each document: id, label, original, cleaned, output, tokens before and after, savings.
 
@@ -18,7 +23,7 @@ def process(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", opt
     enters no ledger."""
     o = options or Options()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("original"))
-    base = base.withColumn("blank", F.coalesce(F.col("original").rlike(r"(?U)\A\s*\z"), F.lit(True)))
+    base = base.withColumn("blank", is_blank(F.col("original")))
     base = base.withColumn("label", F.when(~F.col("blank"), detect(F.col("original"), o.force_type, o.force_diff)))
     work = base.withColumn("cleaned", F.when(F.col("blank"), F.col("original")).otherwise(clean(F.when(~F.col("blank"), F.col("original")), F.col("label"), o.effective_aggressive)))
     shown = F.col("cleaned") if o.no_frame else annotate.frame(F.col("cleaned"), F.col("label"), o.focus)

@@ -14,7 +14,7 @@ from ..operators import clean, discover, ledger
 from . import rendered
 from .oracle import ORACLE_SQL
 from .options import Options
-from .process import process
+from .process import is_blank, process
 
 AS_OF = datetime(2024, 1, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer bytes a core is dealt to all cores where work on a row is heavy; larger ones come in enough splits of their own.
+SMALL_BYTES_A_CORE = 16 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are to be classified or cleaned. One file of one row group would be a single task."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES_A_CORE * cores else df
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger derived from events: tokens before from the value, after as 40 to 119 percent of them."""
     e = table(spark, sf_dir, "events")
@@ -82,27 +93,27 @@ def ledger_cost(spark, sf_dir):
 
 
 def token_estimate_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.estimate(F.col("text"), F.lit("text")).alias("est_tokens"), tokens.simple_estimate(F.col("text")).alias("simple_tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", tokens.estimate(F.col("text"), F.lit("text")).alias("est_tokens"), tokens.simple_estimate(F.col("text")).alias("simple_tokens"))
 
 
 def token_estimate_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tokens.estimate(F.col("html"), F.lit("html")).alias("est_tokens"))
+    return texts(spark, sf_dir, "pages").select("page_id", tokens.estimate(F.col("html"), F.lit("html")).alias("est_tokens"))
 
 
 def detect_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("label"))
+    return texts(spark, sf_dir, "documents").select("doc_id", detect(F.col("text")).alias("label"))
 
 
 def detect_conversations(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", detect(F.col("text")).alias("label"))
+    return texts(spark, sf_dir, "conversations").select("conv_id", "turn", detect(F.col("text")).alias("label"))
 
 
 def detect_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", detect(F.col("html")).alias("label"))
+    return texts(spark, sf_dir, "pages").select("page_id", detect(F.col("html")).alias("label"))
 
 
 def detect_events_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", detect(F.col("props")).alias("label"))
+    return texts(spark, sf_dir, "events").select("event_id", detect(F.col("props")).alias("label"))
 
 
 def detect_rendered(spark, sf_dir):
@@ -117,19 +128,19 @@ def detect_forced(spark, sf_dir):
 
 
 def discover_conversations(spark, sf_dir):
-    return discover.by_label(table(spark, sf_dir, "conversations").where(F.col("role") == "user"))
+    return discover.by_label(texts(spark, sf_dir, "conversations").where(F.col("role") == "user"))
 
 
 def discover_summary(spark, sf_dir):
-    return discover.summary(table(spark, sf_dir, "conversations").where(F.col("role") == "user"), session_col="conv_id")
+    return discover.summary(texts(spark, sf_dir, "conversations").where(F.col("role") == "user"), session_col="conv_id")
 
 
 def _forced(column: Callable, aggressive: bool, name: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
-    return lambda spark, sf_dir: table(spark, sf_dir, name).select(key, column(F.col(text), aggressive).alias("cleaned"))
+    return lambda spark, sf_dir: texts(spark, sf_dir, name).select(key, column(F.col(text), aggressive).alias("cleaned"))
 
 
 def _labelled(label: str, aggressive: bool = False, name: str = "documents", key: str = "doc_id", text: str = "text") -> Query:
-    return lambda spark, sf_dir: table(spark, sf_dir, name).select(key, clean.clean(F.col(text), F.lit(label), aggressive).alias("cleaned"))
+    return lambda spark, sf_dir: texts(spark, sf_dir, name).select(key, clean.clean(F.col(text), F.lit(label), aggressive).alias("cleaned"))
 
 
 def _of_kind(kind: str, label: str, aggressive: bool = False) -> Query:
@@ -157,15 +168,15 @@ def prompt_wrap(spark, sf_dir):
 
 
 def clean_json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", clean.clean(F.col("props"), F.lit("json")).alias("cleaned"))
+    return texts(spark, sf_dir, "events").select("event_id", clean.clean(F.col("props"), F.lit("json")).alias("cleaned"))
 
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, pages and conversation turns as one corpus."""
     parts = [
-        table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text"),
-        table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.col("html").alias("text")),
-        table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text"),
+        texts(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text"),
+        texts(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.col("html").alias("text")),
+        texts(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -177,7 +188,7 @@ def pipeline_full(spark, sf_dir):
 
 def pipeline_by_type(spark, sf_dir):
     """Per family: texts, tokens before and after cleaning."""
-    done = process(all_texts(spark, sf_dir), options=Options(no_frame=True)).where(F.col("label").isNotNull())
+    done = process(all_texts(spark, sf_dir).where(~is_blank(F.col("text"))), options=Options(no_frame=True))
     found = done.groupBy(family(F.col("label")).alias("family")).agg(F.count(F.lit(1)).alias("texts"), F.sum("original_tokens").alias("original_tokens"), F.sum("cleaned_tokens").alias("cleaned_tokens"))
     return found.withColumn("saved_tokens", tokens.saved(F.col("original_tokens"), F.col("cleaned_tokens")))
 
