@@ -28,7 +28,7 @@ LEDGER = {
         FROM (SELECT *, CAST(ts AS DATE) AS day FROM runs) GROUP BY ROLLUP (day)""",
     "ledger_history50": _HISTORY + " ORDER BY run_id DESC LIMIT 50",
     "ledger_history_since": _HISTORY + " WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' ORDER BY run_id DESC LIMIT 100",
-    "ledger_export": "SELECT ts, content_type, original_tokens, cleaned_tokens FROM runs ORDER BY run_id",
+    "ledger_export": "SELECT ts, content_type, original_tokens, cleaned_tokens, CAST(round(savings_pct, 1) AS DOUBLE) AS savings_pct FROM runs ORDER BY run_id",
     "ledger_savings_label": f"""SELECT run_id, {_SAVED} AS saved_tokens, p AS percent,
         CASE WHEN original_tokens = cleaned_tokens THEN 'no change' WHEN p > 0 THEN '-' || p || '%' WHEN p < 0 THEN '+' || -p || '%' WHEN cleaned_tokens < original_tokens THEN '-<1%' ELSE '+<1%' END AS savings_label
         FROM (SELECT *, CASE WHEN original_tokens > 0 THEN CAST(trunc((original_tokens - cleaned_tokens) * 100 / original_tokens) AS BIGINT) ELSE 0 END AS p FROM runs)""",
@@ -240,12 +240,12 @@ def prompts(templates: tuple[str, ...], labels: tuple[str, ...]) -> str:
     q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     pick = lambda table, label: table.get(label, table.get(label.split("/")[0], table.get("", "")))
     rows = []
-    for label in labels:
+    for i, label in enumerate(labels):
         for template in templates:
             form = pick(ANSWERS.get(template, ANSWERS[""]), label)
-            text = f"{pick(ROLES, label)}\n\ncontent\n\n{pick(TASKS.get(template, TASKS['']), label)}" + (f"\n\n{form}" if form else "")
-            rows.append(f"('{label}', '{template}', {q(text)})")
-    return f"SELECT r_regionkey, label, template, wrapped FROM region, (VALUES {', '.join(rows)}) AS v(label, template, wrapped)"
+            tail = f"\n\n{pick(TASKS.get(template, TASKS['']), label)}" + (f"\n\n{form}" if form else "")
+            rows.append(f"({i}, '{label}', '{template}', {q(pick(ROLES, label) + chr(10) * 2)}, {q(tail)})")
+    return f"SELECT doc_id, label, template, md5(head || coalesce(text, '') || tail) AS wrapped_md5 FROM documents JOIN (VALUES {', '.join(rows)}) AS v(i, label, template, head, tail) ON doc_id % {len(labels)} = i"
 
 
 def build() -> dict[str, str]:

@@ -80,7 +80,7 @@ def ledger_history_since(spark, sf_dir):
 
 
 def ledger_export(spark, sf_dir):
-    return ledger.export(runs(spark, sf_dir)).drop("savings_pct")
+    return ledger.export(runs(spark, sf_dir))
 
 
 def ledger_savings_label(spark, sf_dir):
@@ -161,10 +161,11 @@ PROMPT_LABELS = ("trace/python", "git-diff", "log", "json", "yaml", "code/rust",
 
 
 def prompt_wrap(spark, sf_dir):
-    labels = F.array(*map(F.lit, PROMPT_LABELS))
-    rows = table(spark, sf_dir, "region").select("r_regionkey", F.explode(labels).alias("label"))
-    each = F.array(*[F.struct(F.lit(t).alias("template"), prompt.wrap(F.lit("content"), t, F.col("label")).alias("wrapped")) for t in PROMPTS])
-    return rows.select("r_regionkey", "label", F.inline(each))
+    """Every text under every template; the labels take turns by document."""
+    label = F.get(F.array(*map(F.lit, PROMPT_LABELS)), F.pmod("doc_id", F.lit(len(PROMPT_LABELS))).cast("int"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), label.alias("label"))
+    each = F.array(*[F.struct(F.lit(t).alias("template"), F.md5(prompt.wrap(F.col("text"), t, F.col("label"))).alias("wrapped_md5")) for t in PROMPTS])
+    return rows.select("doc_id", "label", F.inline(each))
 
 
 def clean_json_props(spark, sf_dir):
