@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.tables import ANSWERS, ROLES, SAVINGS_RATE, TASKS
+from ..functions.tables import ANSWERS, ROLES, SAVINGS_RATE, SIDE_SECTIONS, TASKS, TOKENS_PER_WORD
 
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
@@ -17,6 +17,8 @@ _TOTAL = "SELECT count(*) AS runs, CAST(coalesce(sum(original_tokens), 0) AS BIG
 _SUMS = "count(*) AS runs, CAST(sum(original_tokens) AS BIGINT) AS original_tokens, CAST(sum(cleaned_tokens) AS BIGINT) AS cleaned_tokens"
 _HISTORY = "SELECT run_id, ts, content_type, original_tokens, cleaned_tokens, round(savings_pct, 6) AS savings_pct FROM runs"
 _SAVED = "greatest(original_tokens - cleaned_tokens, 0)"
+_PERCENT = "CASE WHEN original_tokens > 0 THEN CAST(trunc((original_tokens - cleaned_tokens) * 100 / original_tokens) AS BIGINT) ELSE 0 END"
+_LABEL = "CASE WHEN original_tokens = cleaned_tokens THEN 'no change' WHEN p > 0 THEN '-' || p || '%' WHEN p < 0 THEN '+' || -p || '%' WHEN cleaned_tokens < original_tokens THEN '-<1%' ELSE '+<1%' END"
 LEDGER = {
     "ledger_total": _TOTAL,
     "ledger_range_7d": _TOTAL + " WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'",
@@ -29,9 +31,7 @@ LEDGER = {
     "ledger_history50": _HISTORY + " ORDER BY run_id DESC LIMIT 50",
     "ledger_history_since": _HISTORY + " WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' ORDER BY run_id DESC LIMIT 100",
     "ledger_export": "SELECT ts, content_type, original_tokens, cleaned_tokens, CAST(round(savings_pct, 1) AS DOUBLE) AS savings_pct FROM runs ORDER BY run_id",
-    "ledger_savings_label": f"""SELECT run_id, {_SAVED} AS saved_tokens, p AS percent,
-        CASE WHEN original_tokens = cleaned_tokens THEN 'no change' WHEN p > 0 THEN '-' || p || '%' WHEN p < 0 THEN '+' || -p || '%' WHEN cleaned_tokens < original_tokens THEN '-<1%' ELSE '+<1%' END AS savings_label
-        FROM (SELECT *, CASE WHEN original_tokens > 0 THEN CAST(trunc((original_tokens - cleaned_tokens) * 100 / original_tokens) AS BIGINT) ELSE 0 END AS p FROM runs)""",
+    "ledger_savings_label": f"SELECT run_id, {_SAVED} AS saved_tokens, p AS percent, {_LABEL} AS savings_label FROM (SELECT *, {_PERCENT} AS p FROM runs)",
     "ledger_cost": f"SELECT content_type, CAST(sum({_SAVED}) AS BIGINT) AS saved_tokens, round(sum({_SAVED}) / 1000.0 * 0.005, 6) AS saved_cost FROM runs GROUP BY content_type",
 }
 
@@ -54,7 +54,7 @@ def words(t: str) -> str:
     return count(t, NOT_WS + "+")
 
 
-def _estimate(t: str, per_word: float) -> str:
+def _estimate(t: str, per_word: float | str) -> str:
     removed = lambda cls: f"(length({t}) - length(regexp_replace({t}, '{cls}', '', 'g')))"
     indent = f"list_sum(list_transform({lines(t)}, lambda l: strlen(l) - strlen(regexp_replace(l, '^{WS}+', ''))))"
     total = f"{words(t)} * CAST({per_word} AS DOUBLE) + {removed(r'[{}\[\]():,;<>=!&|]')} * CAST(0.6 AS DOUBLE) + {removed(chr(10))} * CAST(0.3 AS DOUBLE) + coalesce({indent}, 0) / CAST(4 AS DOUBLE) * CAST(0.2 AS DOUBLE)"
@@ -130,14 +130,14 @@ def _discover_summary() -> str:
 
 
 # ---- cleaners ----
-def _csv(aggressive: bool) -> str:
+def _csv(aggressive: bool, table: str = "documents", key: str = "doc_id") -> str:
     k = 3 if aggressive else 5
     cell = trim("c")
     cut = f"list_transform(out, lambda r: array_to_string(list_transform(string_split(r, ','), lambda c: CASE WHEN strlen({cell}) > 50 THEN decode(encode({cell})[1:47 - (CASE WHEN hex(encode({cell})[48:48]) BETWEEN '80' AND 'BF' THEN CASE WHEN hex(encode({cell})[47:47]) >= 'C0' THEN 1 WHEN hex(encode({cell})[46:46]) >= 'C0' THEN 2 ELSE 3 END ELSE 0 END)]) || '...' ELSE {cell} END), ','))"
     return f"""
-WITH a AS (SELECT doc_id, text, {lines('text')} AS ls FROM documents),
-b AS (SELECT doc_id, text, len(ls) AS n, list_concat(ls[1:{k + 1}], CASE WHEN len(ls) - 1 > {k} THEN ['... [' || (len(ls) - 1 - {k}) || ' more rows]'] ELSE [] END) AS out FROM a)
-SELECT doc_id, CASE WHEN n = 0 THEN text ELSE array_to_string({cut if aggressive else 'out'}, chr(10)) END AS cleaned FROM b
+WITH a AS (SELECT {key}, text, {lines('text')} AS ls FROM {table}),
+b AS (SELECT {key}, text, len(ls) AS n, list_concat(ls[1:{k + 1}], CASE WHEN len(ls) - 1 > {k} THEN ['... [' || (len(ls) - 1 - {k}) || ' more rows]'] ELSE [] END) AS out FROM a)
+SELECT {key}, CASE WHEN n = 0 THEN text ELSE array_to_string({cut if aggressive else 'out'}, chr(10)) END AS cleaned FROM b
 """
 
 
@@ -147,8 +147,8 @@ def _squeeze(rows: str, most: int) -> str:
     return f"list_transform(list_filter(generate_series(1, len({rows})), lambda i: NOT ({blank})), lambda i: {rows}[i])"
 
 
-def _html(aggressive: bool) -> str:
-    s = "html"
+def _html(aggressive: bool, table: str = "pages", key: str = "page_id", text: str = "html") -> str:
+    s = text
     for p in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<!--.*?-->", "<head[^>]*>.*?</head>", "<svg[^>]*>.*?</svg>", "<noscript[^>]*>.*?</noscript>"):
         s = f"regexp_replace({s}, '(?si){p}', '', 'g')"
     if aggressive:
@@ -161,11 +161,11 @@ def _html(aggressive: bool) -> str:
         line = f"""regexp_replace({line}, '\\s+(?:class|style|id|data-[\\w-]+|aria-[\\w-]+|role|tabindex|onclick|onload|onchange|onsubmit)\\s*=\\s*"[^"]*"', '', 'g')"""
         line = trim(f"regexp_replace({line}, '(<[a-zA-Z][a-zA-Z0-9]*)\\s+[^>]*(>)', '\\1\\2', 'g')")
     return f"""
-WITH a AS (SELECT page_id, {s} AS s FROM pages),
-b AS (SELECT page_id, list_transform({lines('s')}, lambda l: {trim('l')}) AS ls FROM a),
-c AS (SELECT page_id, list_filter(list_transform(ls, lambda l: CASE WHEN l = '' THEN chr(1) ELSE {line} END), lambda l: l <> '') AS ls FROM b),
-d AS (SELECT page_id, list_transform(ls, lambda l: CASE WHEN l = chr(1) OR {trim('l')} = '' THEN '' ELSE l END) AS ls FROM c)
-SELECT page_id, array_to_string({_squeeze('ls', 1)}, chr(10)) AS cleaned FROM d
+WITH a AS (SELECT {key}, {s} AS s FROM {table}),
+b AS (SELECT {key}, list_transform({lines('s')}, lambda l: {trim('l')}) AS ls FROM a),
+c AS (SELECT {key}, list_filter(list_transform(ls, lambda l: CASE WHEN l = '' THEN chr(1) ELSE {line} END), lambda l: l <> '') AS ls FROM b),
+d AS (SELECT {key}, list_transform(ls, lambda l: CASE WHEN l = chr(1) OR {trim('l')} = '' THEN '' ELSE l END) AS ls FROM c)
+SELECT {key}, array_to_string({_squeeze('ls', 1)}, chr(10)) AS cleaned FROM d
 """
 
 
@@ -207,6 +207,25 @@ SELECT {keys}, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i BETWEEN l
 """
 
 
+def _markdown() -> str:
+    """Aggressive: a side section hides its lines up to the next heading of its level or above, so a line is hidden if some side heading before it reaches it."""
+    level = lambda t: f"(length({t}) - length(regexp_replace({t}, '^#+', '')))"
+    title = lambda t: trim(f"regexp_replace({t}, '^#+', '')")
+    side = f"(lev[j] >= 2 AND regexp_matches(lower({title('tl[j]')}), '^(?:{'|'.join(SIDE_SECTIONS)})'))"
+    ends = "len(list_filter(lev[j + 1:i], lambda k: k BETWEEN 1 AND lev[j])) > 0"
+    badge = rf"(contains(tl[i], '![') AND {trim(r"regexp_replace(replace(tl[i], '\!', '!'), '\[?!\[[^\]]*\]\([^)]*\)\]?(?:\([^)]*\))?', '', 'g')")} = '')"
+    return f"""
+WITH a AS (SELECT doc_id, regexp_replace(text, '(?s)<!--.*?-->', '', 'g') AS s FROM documents),
+b AS (SELECT doc_id, {lines('s')} AS ls FROM a),
+c AS (SELECT *, list_transform(ls, lambda l: {trim('l')}) AS tl FROM b),
+d AS (SELECT *, list_transform(tl, lambda t: {level('t')}) AS lev FROM c),
+e AS (SELECT *, list_filter(generate_series(1, len(ls)), lambda j: {side}) AS sides FROM d),
+f AS (SELECT *, list_filter(generate_series(1, len(ls)), lambda i: NOT {badge} AND len(list_filter(sides, lambda j: j <= i AND NOT {ends})) = 0) AS kept FROM e),
+g AS (SELECT doc_id, list_transform(kept, lambda i: CASE WHEN lev[i] >= 3 THEN '- **' || {title('tl[i]')} || '**' WHEN tl[i] = '' THEN '' ELSE ls[i] END) AS rows FROM f)
+SELECT doc_id, coalesce(array_to_string({_squeeze('rows', 1)}, chr(10)), '') AS cleaned FROM g
+"""
+
+
 # ---- headers and prompts ----
 def _header(table: str, key: str, text: str, label: str, notes: list[str]) -> str:
     parts = ", ".join(notes)
@@ -220,7 +239,8 @@ def _n(expr: str, name: str) -> str:
     return f"CASE WHEN {expr} > 0 THEN {expr} || '{name}' END"
 
 
-def _headers() -> dict[str, str]:
+def _notes() -> dict[str, list[str]]:
+    """What a header says behind the number of lines, by label."""
     having = lambda test: f"len(list_filter(ls, lambda l: {test}))"
     has = lambda part: having(f"contains(l, '{part}')")
     bad, warn = having("regexp_matches(upper(l), 'ERROR|FATAL|PANIC')"), having("contains(upper(l), 'WARN')")
@@ -228,26 +248,65 @@ def _headers() -> dict[str, str]:
     columns = "len(string_split(ls[1], ','))"
     cells = f"array_to_string(list_transform(string_split(ls[1], ',')[1:5], lambda c: {trim('c')}), ', ')"
     return {
-        "frame_text": _header("documents", "doc_id", "text", "text", [f"'~' || {words('t')} || ' words'"]),
-        "frame_csv": _header("documents", "doc_id", "text", "csv", ["greatest(len(ls) - 1, 0) || ' rows'", f"coalesce({columns}, 0) || ' columns'", f"CASE WHEN len(ls) > 0 THEN {cells} || CASE WHEN {columns} > 5 THEN ', ...' ELSE '' END END"]),
-        "frame_log": _header("documents", "doc_id", "text", "log", [_n(bad, " error(s)"), _n(warn, " warning(s)"), f"CASE WHEN {bad} = 0 AND {warn} = 0 THEN len(ls) || ' lines' END"]),
-        "frame_sql": _header("documents", "doc_id", "text", "sql", [*(_n(times(v), " " + v.lower()) for v in ("SELECT", "INSERT", "UPDATE", "DELETE")), "CASE WHEN contains(upper(t), 'JOIN') THEN 'JOIN detected' END", _n(times("CREATE TABLE"), " table def(s)")]),
-        "frame_html": _header("pages", "page_id", "html", "html", [_n(has("<form"), " form(s)"), _n(has("<input"), " input(s)"), _n(has("<script"), " script(s)"), "CASE WHEN contains(t, '<table') THEN 'contains table' END", "CASE WHEN contains(t, '<nav') OR contains(t, '<header') THEN 'has navigation' END"]),
+        "text": [f"'~' || {words('t')} || ' words'"],
+        "csv": ["greatest(len(ls) - 1, 0) || ' rows'", f"coalesce({columns}, 0) || ' columns'", f"CASE WHEN len(ls) > 0 THEN {cells} || CASE WHEN {columns} > 5 THEN ', ...' ELSE '' END END"],
+        "log": [_n(bad, " error(s)"), _n(warn, " warning(s)"), f"CASE WHEN {bad} = 0 AND {warn} = 0 THEN len(ls) || ' lines' END"],
+        "sql": [*(_n(times(v), " " + v.lower()) for v in ("SELECT", "INSERT", "UPDATE", "DELETE")), "CASE WHEN contains(upper(t), 'JOIN') THEN 'JOIN detected' END", _n(times("CREATE TABLE"), " table def(s)")],
+        "html": [_n(has("<form"), " form(s)"), _n(has("<input"), " input(s)"), _n(has("<script"), " script(s)"), "CASE WHEN contains(t, '<table') THEN 'contains table' END", "CASE WHEN contains(t, '<nav') OR contains(t, '<header') THEN 'has navigation' END"],
     }
 
 
+def _headers() -> dict[str, str]:
+    return {f"frame_{k}": _header("pages", "page_id", "html", k, v) if k == "html" else _header("documents", "doc_id", "text", k, v) for k, v in _notes().items()}
+
+
+def prompt_of(template: str, label: str) -> tuple[str, str]:
+    """What stands before and behind the content."""
+    pick = lambda table: table.get(label, table.get(label.split("/")[0], table.get("", "")))
+    form = pick(ANSWERS.get(template, ANSWERS[""]))
+    return pick(ROLES) + "\n\n", f"\n\n{pick(TASKS.get(template, TASKS['']))}" + (f"\n\n{form}" if form else "")
+
+
 def prompts(templates: tuple[str, ...], labels: tuple[str, ...]) -> str:
     q = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    pick = lambda table, label: table.get(label, table.get(label.split("/")[0], table.get("", "")))
     rows = []
     for i, label in enumerate(labels):
         for template in templates:
-            form = pick(ANSWERS.get(template, ANSWERS[""]), label)
-            tail = f"\n\n{pick(TASKS.get(template, TASKS['']), label)}" + (f"\n\n{form}" if form else "")
-            rows.append(f"({i}, '{label}', '{template}', {q(pick(ROLES, label) + chr(10) * 2)}, {q(tail)})")
+            head, tail = prompt_of(template, label)
+            rows.append(f"({i}, '{label}', '{template}', {q(head)}, {q(tail)})")
     return f"SELECT doc_id, label, template, md5(head || coalesce(text, '') || tail) AS wrapped_md5 FROM documents JOIN (VALUES {', '.join(rows)}) AS v(i, label, template, head, tail) ON doc_id % {len(labels)} = i"
 
 
+# ---- the whole way of a text ----
+_ALL_TEXTS = "SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages UNION ALL SELECT 'c/' || conv_id || '/' || turn, text FROM conversations"
+
+
+def _cleaned() -> str:
+    """Table w: id, text, label, cleaned and both estimates of the texts that are not blank. The driver's texts are of three families; one of another would lack a cleaned form."""
+    of = lambda label: f"(SELECT * FROM found WHERE label = '{label}')"
+    rate = "CASE split_part(label, '/', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TOKENS_PER_WORD.items()) + " END"
+    return f"""
+corpus AS ({_ALL_TEXTS}), filled AS (SELECT * FROM corpus WHERE {trim('text')} <> ''),
+found AS MATERIALIZED (SELECT id, label, text FROM filled JOIN ({_detect('filled', 'id', 'text')}) USING (id)),
+done AS MATERIALIZED (SELECT * FROM ({_csv(False, of('csv'), 'id')}) UNION ALL SELECT * FROM ({_html(False, of('html'), 'id', 'text')}) UNION ALL SELECT * FROM ({_plain(of('text'), 'id')})),
+w AS (SELECT id, text, label, cleaned, {_estimate('text', rate)} AS original_tokens, {_estimate('cleaned', rate)} AS cleaned_tokens FROM found LEFT JOIN done USING (id))"""
+
+
+def _by_type() -> str:
+    return f"WITH {_cleaned()} SELECT split_part(label, '/', 1) AS family, count(*) AS texts, {_SUMS.split(', ', 1)[1]}, CAST(greatest(sum(original_tokens) - sum(cleaned_tokens), 0) AS BIGINT) AS saved_tokens FROM w GROUP BY family"
+
+
+def _full(template: str = "review") -> str:
+    """Cleaned, framed and wrapped; blank texts come out as they are."""
+    q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    framed = " UNION ALL ".join(f"SELECT * FROM ({_header(f"(SELECT id, cleaned FROM w WHERE label = '{k}')", 'id', 'cleaned', k, _notes()[k])})" for k in ("csv", "html", "text"))
+    forms = " ".join(f"WHEN '{k}' THEN {q(prompt_of(template, k)[0])} || header || chr(10) || cleaned || {q(prompt_of(template, k)[1])}" for k in ("csv", "html", "text"))
+    return f"""WITH {_cleaned()}, framed AS ({framed}),
+p AS (SELECT *, {_PERCENT} AS p FROM w LEFT JOIN framed USING (id))
+SELECT c.id, label, md5(CASE WHEN label IS NULL THEN c.text ELSE CASE label {forms} END END) AS output_md5, original_tokens, cleaned_tokens, CASE WHEN label IS NOT NULL THEN {_LABEL} END AS savings_label
+FROM corpus c LEFT JOIN p USING (id)"""
+
+
 def build() -> dict[str, str]:
     return {
         **{k: RUNS + v for k, v in LEDGER.items()},
@@ -258,7 +317,7 @@ def build() -> dict[str, str]:
         "clean_csv_default": _csv(False), "clean_csv_aggressive": _csv(True), "clean_html_default": _html(False), "clean_html_aggressive": _html(True), "clean_log_dedup": _log(),
         "clean_plain": _plain("documents", "doc_id"), "clean_plain_conversations": _plain("conversations", "conv_id, turn"),
         "clean_json_props": "SELECT event_id, '{' || chr(10) || '  \"' || json_keys(props)[1] || '\": ' || (props::JSON -> json_keys(props)[1])::VARCHAR || chr(10) || '}' AS cleaned FROM events",
-        **_headers(),
+        **_headers(), "clean_markdown_forced": _markdown(), "pipeline_by_type": _by_type(), "pipeline_full": _full(),
     }
 
 
