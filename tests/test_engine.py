@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import annotate, tokens
+from corpusloom.functions import annotate, prompt, tokens
 from corpusloom.functions.detect import detect
 from corpusloom.functions.register import register
 from corpusloom.functions.text import lines, sample
@@ -140,11 +140,29 @@ def test_options(tmp_path):
 
 
 def test_sql_names(spark):
-    register(spark)
+    register(spark, ())
     assert spark.sql("SELECT clean_lines('select 1', 'sql', false) AS c").first().c == "SELECT 1"
     assert [r.line for r in spark.sql("SELECT * FROM doc_lines('a\\nb')").collect()] == ["a", "b"]
 
 
+def test_sql_names_give_what_columns_give(spark):
+    register(spark)
+    given = ["", None, "a,b,c\n1,2,3\n4,5,6\n7,8,9", "API_KEY='x\\y'\nHOST=h\nPORT=1", "<div class=\"a\">it's &amp; \\d</div>\n<p>x</p>\n<ul>", '{"a": "b"}', "Traceback (most recent call last):\n  boom\r\n", "\x1b[1mplain\x1b[0m \u00e9"]
+    docs = spark.createDataFrame(list(enumerate(given)), "n int, text string").withColumn("label", detect(F.col("text")))
+    docs.createOrReplaceTempView("given")
+    text, label = F.col("text"), F.col("label")
+    family = F.substring_index(label, "/", 1)
+    pairs = {
+        "detect_type(text)": label, "est_tokens(text, substring_index(label, '/', 1))": tokens.estimate(text, family), "simple_tokens(text)": tokens.simple_estimate(text),
+        "frame_text(text, label)": annotate.frame(text, label), "wrap_prompt(text, 'REVIEW', label)": prompt.wrap(text, "review", label), "wrap_prompt(text, 'none', label)": prompt.wrap(text, "none", label),
+        "clean_text(text, label, false)": clean.clean(text, label, False), "clean_text(text, label, true)": clean.clean(text, label, True),
+    }
+    named = spark.sql(f"SELECT n, {', '.join(f'{sql} AS c{i}' for i, sql in enumerate(pairs))} FROM given ORDER BY n").collect()
+    columns = docs.select("n", *[c.alias(f"c{i}") for i, c in enumerate(pairs.values())]).orderBy("n").collect()
+    assert named == columns
+    assert {r["c0"] for r in named} >= {"csv", "env", "html", "json", "trace/python", "text"}
+
+
 def test_stream(spark, tmp_path):
     from corpusloom.streaming import watch
 
