@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, langid, licenses, linededup, packing, quality, rules, toxicity, warc
+from . import dartminhash, decontam, langid, licenses, linededup, merkle, packing, quality, rules, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -83,6 +83,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    audited = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(audited, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, presented={"text": text}).withColumn("folded_root", merkle.fold(F.col("presented"), F.col("steps")))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("steps")).cast("binary"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _license_sql() -> str:
@@ -123,7 +134,51 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 16^levels leaves; a finished tree goes up as it is."""
+
+    def tree(name: str, leaves: str) -> str:
+        """CTEs name0.. with the nodes of each level and name_run0.. with the runs."""
+        parts = [f"{name}0 AS ({leaves})"]
+        for k in range(levels):
+            parts.append(f"{name}_run{k} AS (SELECT g, idx // 16 AS idx, list(digest ORDER BY idx) AS run, any_value(n) AS n FROM {name}{k} GROUP BY g, idx // 16)")
+            parts.append(f"{name}{k + 1} AS (SELECT g, idx, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS digest, (n + 15) // 16 AS n FROM {name}_run{k})")
+        return ",\n".join(parts)
+
+    def walk(name: str, runs: str, start: str) -> str:
+        """CTEs name0.. that carry proof and folded up the levels of a tree."""
+        parts = [f"{name}0 AS ({start})"]
+        for k in range(levels):
+            before, after = "array_to_string(run[1:CAST(w.idx % 16 AS INT)], '')", "array_to_string(run[CAST(w.idx % 16 AS INT) + 2:], '')"
+            parts.append(
+                f"{name}{k + 1} AS (SELECT w.* EXCLUDE (idx, proof, folded), w.idx // 16 AS idx, CASE WHEN r.n = 1 THEN proof ELSE concat(proof, {before}, {after}) END AS proof, "
+                f"CASE WHEN r.n = 1 THEN folded ELSE sha256(concat({before}, folded, {after})) END AS folded FROM {name}{k} w JOIN {runs}_run{k} r ON w.g = r.g AND w.idx // 16 = r.idx)"
+            )
+        return ",\n".join(parts)
+
+    code = lambda c: f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')"
+    lower = "CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    head = [code(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    return f"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+c AS (SELECT d.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) AS crc FROM documents d, crcs),
+h AS (SELECT doc_id, coalesce('1' || source, '0') AS g, sha256(concat({", ".join(head)}, {code("text")})) AS leaf,
+        sha256(concat({", ".join(head)}, {code("(" + lower + ")")})) AS presented FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM h),
+{tree("t", "SELECT g, idx, leaf AS digest, n FROM p")},
+s AS (SELECT g AS own, digest, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM t{levels}),
+{tree("u", "SELECT '' AS g, idx, digest, n FROM s")},
+{walk("w", "t", "SELECT doc_id, g, idx, leaf, presented AS folded, '' AS proof FROM p")},
+{walk("v", "u", f"SELECT w.doc_id, w.leaf, '' AS g, s.idx, s.digest AS subroot, w.folded, w.proof FROM w{levels} w JOIN s ON w.g = s.own")}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified FROM v{levels}, u{levels}
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op5_licenses": _license_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
