@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, langid, licenses, linededup, merkle, packing, quality, rules, toxicity, warc
+from . import collocations, dartminhash, decontam, langid, licenses, linededup, merkle, packing, quality, rules, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -83,6 +83,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     audited = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -178,6 +183,24 @@ SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fol
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT lang, ws, i, unnest([1, 2, 3, 4]) AS k FROM i),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM g WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND n >= 30),
+x AS (SELECT lang, phrase, a, array_to_string(ws[:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail, j FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+s AS (SELECT x.lang, x.phrase, x.a, l.n AS l, r.n AS r, j, CAST((2000000::HUGEINT * x.a) // (l.n + r.n) AS BIGINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+u AS (SELECT lang, a, array_to_string(ws[o:o + m - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS o FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k >= 3))),
+v AS (SELECT lang, phrase, max(a) AS longer FROM u GROUP BY lang, phrase),
+q AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN v ON v.lang = b.lang AND v.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT q.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+""",
     "op13_merkle_manifest": _merkle_sql(),
     "op5_licenses": _license_sql(),
     "op6_warc": """
