@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, dartminhash, decontam, langid, licenses, linededup, merkle, packing, quality, rules, toxicity, warc
+from . import collocations, dartminhash, decontam, langid, licenses, linededup, maintext, merkle, packing, quality, rules, toxicity, warc
 from .common import Scratch, held_out, table
 
 
@@ -83,6 +83,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return maintext.extract(pages, maintext.train(pages), keep=["url"])
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_main_text": op11_main_text,
     "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -183,6 +189,13 @@ SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fol
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:p|h1)>'), lambda x: regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')) AS bs FROM a),
+c AS (SELECT page_id, url, list_transform(bs, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+""",
     "op12_collocations": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
