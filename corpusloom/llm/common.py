@@ -34,12 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch tables that have not been dropped, in order of their making.
+LIVE: list[Scratch] = []
+
+
+def drop_made_after(count: int) -> None:
+    """Drop the scratch tables that were made when there were already `count`; for when what was derived from them is written."""
+    for scratch in LIVE[count:]:
+        scratch.drop()
+
+
 class Scratch:
     """Written tables in the shared folder; they cut lineage, survive lost executors, and go at the end of the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex[:12]}"
+        LIVE.append(self)
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +60,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str = "") -> None:
+        if not name and self in LIVE:
+            LIVE.remove(self)
+            atexit.unregister(self.drop)
         try:
             jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
@@ -93,6 +107,8 @@ def in_arrow(df: DataFrame, func: Callable[..., Iterable[pa.RecordBatch] | pa.Re
             del batch
             release()
 
+    if any("." in c for c in df.columns):  # mapInArrow looks its columns up by name
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 

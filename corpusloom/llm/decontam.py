@@ -109,7 +109,7 @@ def document_counts(docs: DataFrame, words: np.ndarray, text_col: str) -> tuple[
         return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
     out = np.zeros(size + 1, np.int64)
-    for r in in_arrow(docs.select(F.col(text_col).cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in in_arrow(docs.select(F.col(f"`{text_col}`").cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[r["word"]] = r["n"]  # one row for each benchmark word at most
     return out[:size], int(out[size])
 
@@ -380,7 +380,7 @@ def matches(
             kinds = [item_type, pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(taken + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*names, item_col, "first_word", "cosine", "covered", "answered"])
 
-    return in_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text")), run, schema)
+    return in_arrow(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("_text")), run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -11,9 +11,12 @@ Words are runs of letters and combining marks of the lower-cased text. Each dist
 batch is scored once, for all languages together, and kept in a cache of bounded size.
 
 Training takes at most `max_train` labelled rows of each language, and `max_total` in all, those
-with the smallest hash of their id, and the `max_words` most frequent words in them; the bounds are
-parameters, and of rows with one id the smallest language and text count. Words are counted where
-the texts lie. Scoring covers every text whole.
+with the smallest hash of their id, and all words in them; the bounds are
+parameters, and of rows with one id the smallest language and text count. Words are counted and their expected
+uses added up by tasks; the driver gets one number a piece and language. Scoring covers every text whole.
+
+The score says which language is the likeliest, not whether the text is one of any: of random letters, too, some language is
+the likeliest by far. So `fit` compares the mean log-probability of a letter with what learning texts of the language have.
 
 Defined results: `und` with score 0 if the text is null or has no letter (combining marks alone are
 none), and if there is nothing to learn from; a letter run longer than 32 characters is cut every
@@ -36,12 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from .common import bounded_sample, in_arrow, release
+from .common import Scratch, bounded_sample, in_arrow, release
 
 UNDETERMINED = "und"
+RESULTS = ("lang_pred", "score", "fit")
 LONGEST_WORD = 32
 CACHE_WORDS = 100_000
 LATTICE_WORDS = 4_000
+#: Parts of one expected use, or of a log-probability, that are added up as whole numbers.
+UNITS = 1 << 20
+#: A text fits its language if the mean log-probability of its letters is not further below that of learning texts than so many standard deviations.
+FIT_SPREAD, FIT_LEAST_SD, FIT_LETTERS = 8.0, 0.05, 20
 NOT_LETTERS, LETTER = r"[^\p{L}\p{M}]+", r"\p{L}"
 
 
@@ -85,12 +93,13 @@ class Model:
     pieces: list[str]
     prob: np.ndarray  # pieces + 1 rows, one column for each language; the last row is zero
     unknown: float = 1e-7
+    floor: np.ndarray | None = None  # of each language the least mean log-probability of a letter that its texts are expected to have
     _index: B.HashIndex | None = field(default=None, repr=False)
     _known: np.ndarray | None = field(default=None, repr=False)  # hashes of words scored before, in ascending order
     _scores: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {"languages": self.languages, "pieces": self.pieces, "prob": self.prob, "unknown": self.unknown}
+        return {"languages": self.languages, "pieces": self.pieces, "prob": self.prob, "unknown": self.unknown, "floor": self.floor}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -207,6 +216,11 @@ def split_long(words: list[str]) -> list[str]:
     return [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
 
 
+def letter_counts(column: pa.Array) -> np.ndarray:
+    """Letters and marks of each text."""
+    return pc.fill_null(pc.utf8_length(pc.replace_substring_regex(column, NOT_LETTERS, "")), 0).to_numpy(zero_copy_only=False)
+
+
 def words_only(column: pa.Array) -> pa.Array:
     """Lower-cased letters and marks, and a space for each run of anything else."""
     return pc.replace_substring_regex(pc.utf8_lower(column), NOT_LETTERS, " ")
@@ -215,17 +229,30 @@ def words_only(column: pa.Array) -> pa.Array:
 def fit(words: list[str], counts: np.ndarray, languages: list[str], pieces: list[str], *, rounds: int = 3, smooth: float = 0.02) -> Model:
     """Piece probabilities of each language by expectation maximisation over all segmentations of words of at most
     LONGEST_WORD characters, which occur counts[word, language] times."""
-    model = Model(languages, pieces, np.zeros((len(pieces) + 1, len(languages))))
-    model.prob[:-1] = 1 / max(1, len(pieces))
+    model = Model(languages, pieces, start(pieces, languages))
     for _ in range(rounds):
         expected = np.zeros_like(model.prob)
         for at, wide in by_length(words):
             expected += model.expected(model.lattice(wide), counts[at])
-        expected[:-1] += smooth
-        model.prob[:-1] = (expected / expected[:-1].sum(0))[:-1]
+        model.prob = improved(expected, smooth)
     return model
 
 
+def start(pieces: list[str], languages: list[str]) -> np.ndarray:
+    """Every piece as likely as any other; the last row stands for no piece."""
+    out = np.full((len(pieces) + 1, len(languages)), 1 / max(1, len(pieces)))
+    out[-1] = 0
+    return out
+
+
+def improved(expected: np.ndarray, smooth: float) -> np.ndarray:
+    """Probabilities from expected uses."""
+    out = expected + smooth
+    out /= out[:-1].sum(0)
+    out[-1] = 0
+    return out
+
+
 def word_table(rows: DataFrame) -> DataFrame:
     """(lang, word, n): how often each word stands in the texts of each language; long letter runs in parts. rows: lang, text."""
 
@@ -240,11 +267,64 @@ def word_table(rows: DataFrame) -> DataFrame:
     return in_arrow(rows.select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def expected_uses(words: DataFrame, model: Model) -> np.ndarray:
+    """Model.expected over a table (lang, word, n), added up by tasks: what reaches the driver has the size of the model.
+
+    Sums are of whole numbers (2^-20 of a use each), so that their order does not matter."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        place = {name: k for k, name in enumerate(m.languages)}
+        total = np.zeros_like(m.prob)
+        for batch in batches:
+            for at in range(0, batch.num_rows, LATTICE_WORDS):
+                part = batch.slice(at, LATTICE_WORDS)
+                word, names = pd.factorize(part.column(1).to_numpy(zero_copy_only=False))
+                counts = np.zeros((len(names), len(place)))
+                counts[word, [place[x] for x in part.column(0).to_pylist()]] = part.column(2).to_numpy()
+                for some, wide in by_length(names.tolist()):
+                    total += m.expected(m.lattice(wide), counts[some])
+            release()
+        piece, lang = np.nonzero(total)
+        uses = np.rint(total[piece, lang] * UNITS).astype(np.int64)
+        for at in range(0, len(uses), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(piece[cut].astype(np.int32)), pa.array(lang[cut].astype(np.int32)), pa.array(uses[cut])], ["piece", "lang", "n"])
+
+    got = words.select("lang", "word", "n").mapInArrow(run, "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    out = np.zeros_like(model.prob)
+    out[got.column("piece").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy() / UNITS
+    return out
+
+
+def least_fit(texts: DataFrame, model: Model) -> np.ndarray:
+    """For each language how little a letter of its learning texts fits: FIT_SPREAD standard deviations below the mean, over texts of FIT_LETTERS letters or more."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        total, letters = m.score_rows(batch.column(1)), letter_counts(batch.column(1))
+        own = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
+        some = np.flatnonzero(~np.isnan(total[:, 0]) & (letters >= FIT_LETTERS))
+        value = total[some, own[some]] / letters[some]
+        return pa.RecordBatch.from_arrays([pa.array(own[some].astype(np.int32)), pa.array(np.rint(value * UNITS).astype(np.int64))], ["lang", "fit"])
+
+    fits = in_arrow(texts.select("lang", "text"), run, "lang int, fit long")
+    sums = fits.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("fit").alias("s"), F.sum(F.col("fit").cast("decimal(38,0)") * F.col("fit")).alias("q")).collect()
+    shared.destroy()
+    out = np.full(len(model.languages), -np.inf)
+    for r in sums:
+        mean = r["s"] / r["n"] / UNITS
+        out[r["lang"]] = mean - FIT_SPREAD * max(FIT_LEAST_SD, np.sqrt(max(0.0, float(r["q"]) / r["n"] / UNITS**2 - mean**2)))
+    return out
+
+
 def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, vocabulary: str | None = None, max_train: int = 1200, max_total: int = 24_000,
-    max_words: int = 100_000, max_languages: int = 1000,
-) -> Model | None:
-    """Fit on at most max_train rows of each language, and on the max_words most frequent words of these; None without
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, vocabulary: str | None = None, max_train: int = 1200, max_total: int = 24_000, max_languages: int = 1000, rounds: int = 3, smooth: float = 0.02
+) -> Model | None:
+    """Fit on at most max_train rows of each language and max_total in all, on all of their words; None without
     labelled rows with letters. More than max_languages languages are a ValueError, as the model grows with them."""
     id_name, lang, text = (F.col(f"`{c}`") for c in (id_col, lang_col, text_col))
     rows = docs.where(lang.isNotNull() & id_name.isNotNull() & text.isNotNull()).select(id_name.alias("id"), lang.cast("string").alias("lang"), text.cast("string").alias("text"))
@@ -252,39 +332,46 @@ def train(
     if kinds > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     sample = bounded_sample(rows.groupBy("id").agg(F.min("lang").alias("lang")), "id", ["lang"], max(1, min(max_train, max_total // max(1, kinds))))
-    texts = rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
-    got = word_table(texts).orderBy(F.desc("n"), "lang", "word").limit(max_words).toArrow().to_pandas()
-    if got.empty:
+    scratch = Scratch(docs.sparkSession, "language")
+    texts = scratch.keep(rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")), "texts")
+    words = scratch.keep(word_table(texts).repartition("word"), "words")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())  # max_languages at most
+    if not languages:
         return None
-    lang, languages = pd.factorize(got["lang"], sort=True)
-    word, words = pd.factorize(got["word"], sort=True)
-    counts = np.zeros((len(words), len(languages)))
-    counts[word, lang] = got["n"].to_numpy()
-    words = words.tolist()
-    del got, word, lang
-    model = fit(words, counts, languages.tolist(), load_pieces(vocabulary or default_vocabulary()))
+    pieces = load_pieces(vocabulary or default_vocabulary())
+    model = Model(languages, pieces, start(pieces, languages))
+    for _ in range(rounds):
+        model = Model(languages, pieces, improved(expected_uses(words, model), smooth))
+    model.floor = least_fit(texts, model)
+    scratch.drop()
     release()
     return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns, with lang_pred and score; columns of these names are replaced."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double"
+    """All columns, with lang_pred, score, and fit: by how much the mean log-probability of a letter lies above the
+    least that is expected of a text of this language (null for `und` and below FIT_LETTERS letters); columns of these names are replaced."""
+    names = [c for c in docs.columns if c not in RESULTS]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, fit double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, n = shared.value, batch.num_rows
         if m is None:
-            pred, score = np.full(n, UNDETERMINED, object), np.zeros(n)
+            pred, score, fit, none = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n), np.ones(n, bool)
+            few = none
         else:
-            total = m.score_rows(batch.column(names.index(text_col)))
+            column = batch.column(names.index(text_col))
+            total = m.score_rows(column)
             none = np.isnan(total[:, 0])
             total[none] = 0
             best = total.argmax(1)
             post = np.exp(total - total.max(1, keepdims=True))
             score = np.where(none, 0.0, 1 / post.sum(1))
             pred = np.where(none, UNDETERMINED, np.array(m.languages, object)[best])
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            letters = letter_counts(column)
+            few = letters < FIT_LETTERS
+            fit = total[np.arange(n), best] / np.maximum(1, letters) - (0.0 if m.floor is None else m.floor[best])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(fit, mask=none | few)], [*names, *RESULTS])
 
     return in_arrow(docs.select(*[F.col(f"`{c}`") for c in names]), run, schema)

@@ -92,7 +92,7 @@ def document_counts(docs: DataFrame, templates: Templates, text_col: str = "text
         some = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
-    got = in_arrow(docs.select(F.col(text_col).cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    got = in_arrow(docs.select(F.col(f"`{text_col}`").cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for r in got:  # one row for each template word at most
         out[r["word"]] = r["n"]
@@ -180,4 +180,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_words)), pa.array(spans, span), pa.array(blocks, block)], [id_col, "n_words", "spans", "blocks"])
 
     schema = f"`{id_col}` {kind}, n_words long, spans array<struct<label string, first_word long, words long>>, blocks array<struct<label string, first_word long, containment double>>"
-    return in_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
+    return in_arrow(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")), run, schema)

@@ -132,7 +132,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
         columns = [pa.array(np.concatenate([p[m] for p in parts])) for m in MEASURES]
         return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, [*kept, *MEASURES])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_text"))
     return in_arrow(source, run, schema).withColumn("fail_bits", failure_bits(rules))
 
 

@@ -110,7 +110,7 @@ def write(
 ) -> None:
     """Write the rows as gzipped WARC files into the folder `path`."""
     rows = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload")
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit("").cast("binary")).alias("payload")
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     classes = rows.where(F.col("size") >= least_revisit).groupBy("digest", "size").agg(F.max(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("target"), F.count(F.lit(1)).alias("n"))
     classes = classes.where((F.col("n") > 1) & F.col("target").isNotNull()).drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
