@@ -120,7 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _license_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    templates = ", ".join(f"({i}, {quote(label)}, {quote(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    listed = lambda words: "[" + ", ".join(map(quote, words)) + "]::VARCHAR[]"
+    templates = ", ".join(f"({i}, {quote(label)}, {quote(text)}, {listed(needed)})" for i, (label, text, needed) in enumerate(licenses.TEMPLATES))
     phrases = ", ".join(f"({quote(label)}, {quote(text)})" for text, label in licenses.PHRASES)
     cls = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     split = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{cls}')"
@@ -132,10 +133,10 @@ s AS (SELECT w.doc_id, w.i, p.label FROM w JOIN p ON w.w = p.pw[1] JOIN d ON d.d
       WHERE list_slice(d.ws, w.i + 1, w.i + len(p.pw)) = p.pw),
 b AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
              string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS found FROM s GROUP BY doc_id),
-t AS (SELECT id, label, unnest(list_distinct({split("body")})) AS w, len(list_distinct({split("body")})) AS size FROM (VALUES {templates}) AS v(id, label, body)),
-k AS (SELECT w.doc_id, t.id, t.label, t.size, w.w, unnest([w.i // 32, w.i // 32 - 1]) AS block FROM w JOIN t ON w.w = t.w),
+t AS (SELECT id, label, unnest(list_distinct({split("body")})) AS w, len(list_distinct({split("body")})) AS size, len({split("body")}) AS n, needed FROM (VALUES {templates}) AS v(id, label, body, needed)),
+k AS (SELECT w.doc_id, t.id, t.label, t.size, t.needed, w.w, unnest([w.i // t.n, w.i // t.n - 1]) AS block FROM w JOIN t ON w.w = t.w),
 c AS (SELECT doc_id, id, label, block, count(DISTINCT w) / any_value(size) AS share FROM k WHERE block >= 0
-      GROUP BY doc_id, id, label, block, size HAVING count(DISTINCT w) >= ceil(0.8 * any_value(size) - 1e-9)),
+      GROUP BY doc_id, id, label, block, size HAVING count(DISTINCT w) >= ceil(0.8 * any_value(size) - 1e-9) AND list_has_all(list(DISTINCT w), any_value(needed))),
 m AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n_base, 0) AS BIGINT) AS n_base,
        CAST(b.first_word AS BIGINT) AS first_word, CAST(b.last_word AS BIGINT) AS last_word, coalesce(b.base_labels, '') AS base_labels,
