@@ -274,6 +274,7 @@ def expected_uses(words: DataFrame, model: Model) -> np.ndarray:
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed can be given back
         m = shared.value
         place = {name: k for k, name in enumerate(m.languages)}
         total = np.zeros_like(m.prob)
@@ -285,9 +286,10 @@ def expected_uses(words: DataFrame, model: Model) -> np.ndarray:
                 counts[word, [place[x] for x in part.column(0).to_pylist()]] = part.column(2).to_numpy()
                 for some, wide in by_length(names.tolist()):
                     total += m.expected(m.lattice(wide), counts[some])
-            release()
         piece, lang = np.nonzero(total)
         uses = np.rint(total[piece, lang] * UNITS).astype(np.int64)
+        del total
+        release()
         for at in range(0, len(uses), 1 << 16):
             cut = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(piece[cut].astype(np.int32)), pa.array(lang[cut].astype(np.int32)), pa.array(uses[cut])], ["piece", "lang", "n"])
@@ -334,7 +336,7 @@ def train(
     sample = bounded_sample(rows.groupBy("id").agg(F.min("lang").alias("lang")), "id", ["lang"], max(1, min(max_train, max_total // max(1, kinds))))
     scratch = Scratch(docs.sparkSession, "language")
     texts = scratch.keep(rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id").agg(F.min("lang").alias("lang"), F.min("text").alias("text")), "texts")
-    words = scratch.keep(word_table(texts).repartition("word"), "words")
+    words = scratch.keep(word_table(texts), "words")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())  # max_languages at most
     if not languages:
         return None

@@ -21,6 +21,7 @@ needs memory in proportion; an empty table gives no rows; other columns, those n
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -196,3 +197,16 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], [id_col, "score"])
 
     return in_arrow(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")), run, f"`{id_col}` {kind}, score double")
+
+
+def folded_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, folds: int = 4, **options) -> DataFrame:
+    """(id, label, score) of all labelled texts, each scored by a model that was fitted on the other folds; to choose options by."""
+    fold = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("fold")), F.lit(folds))
+    known = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
+    parts = []
+    for k in range(folds):
+        model = train(docs, known.where(fold != k), id_col, text_col, label_col, **options)
+        out = known.where(fold == k).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max((F.col(f"`{label_col}`") > 0).cast("int")).alias("label"))
+        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        parts.append(score(texts.join(out.select("id"), "id", "left_semi"), model, "id").join(out, "id").select("id", "label", "score"))
+    return functools.reduce(DataFrame.unionByName, parts)
