@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import annotate, prompt, tokens
 from ..functions.detect import detect, family
 from ..operators import clean, discover, ledger
-from . import rendered
+from . import rendered, replay
 from .oracle import ORACLE_SQL
 from .options import Options
 from .process import is_blank, process
@@ -208,6 +208,7 @@ def queries() -> dict[str, Query]:
         "clean_markdown_forced": _labelled("markdown", True), "frame_text": frame_of("text"), "frame_csv": frame_of("csv"), "frame_log": frame_of("log"), "frame_sql": frame_of("sql"),
         "frame_html": frame_of("html", **page),
     }
+    found |= replay.QUERIES
     for kind, label in rendered.KINDS.items():
         name = label.replace("/", "_").replace("-", "_")
         found[f"clean_{name}_rendered"] = _of_kind(kind, label)
@@ -216,10 +217,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle_rendered
+    from . import oracle_rendered, oracle_replay
     from .oracle import prompts
 
-    return {**ORACLE_SQL, **oracle_rendered.ORACLE_SQL, "prompt_wrap": prompts(PROMPTS, PROMPT_LABELS)}
+    return {**ORACLE_SQL, **oracle_rendered.ORACLE_SQL, **oracle_replay.ORACLE_SQL, "prompt_wrap": prompts(PROMPTS, PROMPT_LABELS)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

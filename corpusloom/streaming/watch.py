@@ -2,7 +2,11 @@
 
 A text is handled unless it equals the session's text before it, or the output that was written for
 that one. Short texts, plain ones and such that cleaning does not shorten are passed over, but still
-count as the text before. Texts of a session are ordered by their sequence number in a micro-batch."""
+count as the text before. Texts of a session are ordered by their sequence number in a micro-batch.
+
+Each session has three pieces of typed state: the hashes of the text before and of what was written for it, the totals of
+the session, and the sequence numbers of the last texts that were written, for the way back. They can be given an expiry,
+a first value, and be read from a checkpoint as tables."""
 
 from __future__ import annotations
 
@@ -10,9 +14,9 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import tokens
 from ..operators import ledger
@@ -20,34 +24,76 @@ from ..plans.options import Options
 from ..plans.process import process
 
 LEAST_BYTES = 200
-RESULT = "session string, seq long, label string, original string, output string, original_tokens long, cleaned_tokens long, saved long"
-
-
-def _session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else (None, None)  # hashes of the text before and of what was written for it
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-    taken = []
-    for i, (own, made, wanted) in enumerate(zip(rows["own_hash"], rows["output_hash"], rows["wanted"], strict=True)):
-        if own in before:
-            continue
-        before = (int(own), int(made) if wanted else int(own))
-        if wanted:
-            taken.append(i)
-    state.update(before)
-    yield rows.loc[taken, [c.split(" ")[0] for c in RESULT.split(", ")]]
-
-
-def watch(stream: DataFrame, options: Options | None = None, *, session_col: str = "session_id", seq_col: str = "seq", text_col: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Rows that are written: session, seq, label, original (the way back), output, tokens and saving."""
-    keyed = stream.select(F.struct(F.col(session_col).cast("string").alias("session"), F.col(seq_col).cast("long").alias("seq")).alias("key"), F.col(text_col).alias("text"))
+#: How many written texts of a session can be taken back.
+WAYS_BACK = 10
+RESULT = "session string, seq long, label string, original string, output string, original_tokens long, cleaned_tokens long, saved long, runs long, total_saved long"
+BEFORE, TOTALS, UNDO = "own long, made long", "runs long, saved long, last_seq long", "seq long"
+INITIAL = f"session string, {BEFORE}, {TOTALS}"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Watcher(StatefulProcessor):
+    """The state machine of one session."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.before = handle.getValueState("before", BEFORE, self.ttl_ms)
+        self.totals = handle.getValueState("totals", TOTALS, self.ttl_ms)
+        self.undo = handle.getListState("undo", UNDO, self.ttl_ms)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        if not pd.isna(first["own"]):
+            self.before.update((int(first["own"]), int(first["made"])))
+        self.totals.update((int(first["runs"]), int(first["saved"]), int(first["last_seq"])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.before.get()) if self.before.exists() else (None, None)  # hashes of the text before and of what was written for it
+        runs, total, last = tuple(self.totals.get()) if self.totals.exists() else (0, 0, -1)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
+        taken, counts, sums = [], [], []
+        for i, (own, made, wanted, saved, seq) in enumerate(zip(batch["own_hash"], batch["output_hash"], batch["wanted"], batch["saved"], batch["seq"], strict=True)):
+            if own in before:
+                continue
+            before = (int(own), int(made) if wanted else int(own))
+            last = max(last, int(seq))
+            if wanted:
+                runs, total = runs + 1, total + int(saved)
+                taken.append(i), counts.append(runs), sums.append(total)
+        if before[0] is not None:
+            self.before.update(before)
+        self.totals.update((runs, total, last))
+        if taken:
+            kept = [tuple(x) for x in self.undo.get()] if self.undo.exists() else []
+            self.undo.put([*kept, *((int(batch["seq"][i]),) for i in taken)][-WAYS_BACK:])
+        out = batch.loc[taken].assign(runs=counts, total_saved=sums)
+        yield out[[c.split(" ")[0] for c in RESULT.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def watch(
+    stream: DataFrame, options: Options | None = None, *, session_col: str = "session_id", seq_col: str = "seq", text_col: str = "text", least_bytes: int = LEAST_BYTES, ttl_ms: int | None = None, initial: DataFrame | None = None
+) -> DataFrame:
+    """Rows that are written: session, seq, label, original (the way back), output, tokens and saving, and the session's totals so far.
+
+    Null sequence numbers come last in their micro-batch, and null texts are passed over like empty ones. ttl_ms: state of a session that
+    is not written for so long goes. initial: rows of INITIAL, at most one a session, from which sessions go on."""
+    spark = stream.sparkSession
+    spark.conf.set(*PROVIDER)
+    keyed = stream.select(F.struct(F.col(f"`{session_col}`").cast("string").alias("session"), F.col(f"`{seq_col}`").cast("long").alias("seq")).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     done = process(keyed, "key", "text", options)
     saved = tokens.saved(F.col("original_tokens"), F.col("cleaned_tokens"))
     wanted = (F.octet_length("original") >= least_bytes) & (F.col("label") != "text") & (saved > 0)
     rows = done.select(
-        F.col("id.session").alias("session"), F.col("id.seq").alias("seq"), "label", "original", "output", "original_tokens", "cleaned_tokens", saved.alias("saved"),
+        F.col("id.session").alias("session"), F.coalesce("id.seq", F.lit((1 << 63) - 1)).alias("seq"), "label", "original", "output", "original_tokens", "cleaned_tokens", F.coalesce(saved, F.lit(0).cast("long")).alias("saved"),
         F.xxhash64("original").alias("own_hash"), F.xxhash64("output").alias("output_hash"), F.coalesce(wanted, F.lit(False)).alias("wanted"),
     )
-    return rows.groupBy("session").applyInPandasWithState(_session, RESULT, "own long, made long", "append", GroupStateTimeout.NoTimeout)
+    first = initial.groupBy("session") if initial is not None else None
+    return rows.groupBy("session").transformWithStateInPandas(Watcher(ttl_ms), RESULT, "append", "ProcessingTime" if ttl_ms else "None", first)
 
 
 def totals(written: DataFrame) -> DataFrame:
@@ -55,7 +101,19 @@ def totals(written: DataFrame) -> DataFrame:
     return written.groupBy("session").agg(F.count(F.lit(1)).alias("runs"), F.sum("saved").alias("saved"))
 
 
-def start(stream: DataFrame, sink_path: str, ledger_path: str, checkpoint: str, options: Options | None = None, at: datetime | None = None, **trigger):
+def state(spark: SparkSession, checkpoint: str, name: str = "totals", batch: int | None = None) -> DataFrame:
+    """A piece of state as a table, by the last micro-batch or a given one: `before` and `totals` have a row for each session, `undo` one for each text that can be taken back."""
+    reader = spark.read.format("statestore").option("stateVarName", name)
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    found = reader.load(checkpoint)
+    value = "list_element" if name == "undo" else "value"
+    held = found.schema[value].dataType
+    value = f"{value}.value" if "ttlExpirationMs" in getattr(held, "names", []) else value
+    return found.select(F.col("key.session").alias("session"), f"{value}.*")
+
+
+def start(stream: DataFrame, sink_path: str, ledger_path: str, checkpoint: str, options: Options | None = None, at: datetime | None = None, *, ttl_ms: int | None = None, initial: DataFrame | None = None, **trigger):
     """Write outputs and ledger rows of each micro-batch; returns the query, which stop() ends. trigger: of writeStream, by default 250 ms."""
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -63,7 +121,7 @@ def start(stream: DataFrame, sink_path: str, ledger_path: str, checkpoint: str,
         runs = batch.select(F.xxhash64("session", "seq").alias("id"), "label", "original_tokens", "cleaned_tokens")
         ledger.entries(runs, at or datetime.now()).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
-    writer = watch(stream, options).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    writer = watch(stream, options, ttl_ms=ttl_ms, initial=initial).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return writer.trigger(**(trigger or {"processingTime": "250 milliseconds"})).start()
 
 
