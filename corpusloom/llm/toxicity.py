@@ -122,7 +122,7 @@ def select(positive: np.ndarray, negative: np.ndarray, texts: tuple[int, int], r
     return np.sort(some[np.lexsort((some, -telling))[:most]])
 
 
-def regress(row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, labels: np.ndarray, *, epochs: int = 200, rate: float = 0.05, ridge: float = 1e-3, scale: float = 0.05) -> tuple[np.ndarray, float]:
+def regress(row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, labels: np.ndarray, *, epochs: int = 200, rate: float = 0.05, ridge: float = 1e-4, scale: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled features of labelled texts, both classes weighing the same, by gradient steps with
     moments; the weights of the n-grams and the bias. A weight keeps the sign of its n-gram's ratio."""
     value = ratio[feature] * scale
