@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.tables import TOKENS_PER_WORD
 from ..streaming.watch import LEAST_BYTES, WAYS_BACK
-from .oracle import _csv, _detect, _estimate, _header, _notes, trim
+from .oracle import _csv, _detect, _estimate, _fold, _header, _notes, trim
 
 
 def _handled(name: str, table: str) -> str:
@@ -40,7 +40,29 @@ written AS (SELECT CAST(o.conv_id AS VARCHAR) AS session, o.seq, label, output_m
   FROM r JOIN o ON o.conv_id = r.conv_id AND o.n = r.n WHERE NOT same AND wanted WINDOW w AS (PARTITION BY o.conv_id ORDER BY o.seq))"""
 
 
+_EVENT_LOG = """a AS (SELECT 0 AS doc, event_id AS i, '2024-01-01T00:00:00Z ' || CASE WHEN event_id % 1000 < 300 THEN 'INFO' WHEN event_id % 7 = 0 THEN 'ERROR' WHEN event_id % 5 = 0 THEN 'WARN' ELSE 'INFO' END
+  || ' ' || CASE WHEN event_id % 1000 < 300 THEN 'beat' ELSE event_type END || ' id=1' || (event_id + 1000) AS line FROM events)"""
+_LOG_KEY = "regexp_replace(regexp_replace(line, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}Z', 'TS'), '\\b\\d{4,}\\b', 'NUM', 'g')"
+
+
+def _one_log() -> str:
+    note = "'  [... ' || (size - 2) || ' identical lines suppressed]'"
+    return f"WITH {_EVENT_LOG}, {_fold('doc', f'SELECT doc, i, line, {_LOG_KEY} AS k FROM a', 'k', 2, note)} SELECT i, line FROM v"
+
+
+def _one_plain() -> str:
+    """Blank lines: two of a run stay, and none at the ends."""
+    note = "'  [... ' || (size - 2) || ' identical lines]'"
+    return f"""
+WITH {_EVENT_LOG}, e AS (SELECT doc, i, CASE WHEN i % 11 < 4 THEN '' WHEN i % 1000 < 300 THEN 'beat' ELSE string_split(line, ' ')[3] END AS line FROM a),
+g0 AS (SELECT *, lag(line, 1) OVER w AS l1, lag(line, 2) OVER w AS l2 FROM e WINDOW w AS (ORDER BY i)),
+g AS (SELECT doc, i, line FROM g0 WHERE NOT (line = '' AND l1 IS NOT NULL AND l1 = '' AND l2 IS NOT NULL AND l2 = '')),
+{_fold('doc', 'SELECT doc, i, line, line AS k FROM g', 'k', 2, note)}
+SELECT i, line FROM v WHERE i BETWEEN (SELECT min(i) FROM v WHERE line <> '') AND (SELECT max(i) FROM v WHERE line <> '')"""
+
+
 ORACLE_SQL = {
+    "clean_log_one_text": _one_log(), "clean_plain_one_text": _one_plain(),
     "watch_conversations": _replayed() + "\nSELECT * FROM written",
     "watch_state": _replayed()
     + f""",

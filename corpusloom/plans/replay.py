@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import long_texts
 from ..sources.shared import delete, shared_folder
 from ..streaming import watch
 from .process import process
@@ -24,14 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     at = shared_folder(spark, name)
-
-    def drop() -> None:
-        try:
-            delete(spark, at)
-        except Exception:  # the application has ended before
-            pass
-
-    atexit.register(drop)
+    atexit.register(delete, spark, at)
     return at
 
 
@@ -79,4 +73,23 @@ def watch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.state(spark, checkpoint, "totals").join(undo, "session", "left").select("session", "runs", "saved", "last_seq", F.coalesce("undo", F.lit("")).alias("undo"))
 
 
-QUERIES = {f.__name__: f for f in (watch_conversations, watch_state)}
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as the lines of one log: key, i, line."""
+    level = F.when(F.col("event_id") % 7 == 0, "ERROR").when(F.col("event_id") % 5 == 0, "WARN").otherwise("INFO")
+    kind = F.when(F.col("event_id") % 1000 < 300, F.lit("beat")).otherwise(F.col("event_type"))  # long runs, which cross blocks
+    line = F.concat(F.lit("2024-01-01T00:00:00Z "), F.when(F.col("event_id") % 1000 < 300, F.lit("INFO")).otherwise(level), F.lit(" "), kind, F.lit(" id=1"), (F.col("event_id") + 1000).cast("string"))
+    return _table(spark, sf_dir, "events").select(F.lit("events").alias("key"), F.col("event_id").alias("i"), line.alias("line"))
+
+
+def clean_log_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one log, cleaned in blocks of 256 lines, so that runs cross them at every size of the tables."""
+    return long_texts.log_lines(event_log(spark, sf_dir), block=256).select("i", "line")
+
+
+def clean_plain_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of all events, some left out, as one plain text."""
+    rows = event_log(spark, sf_dir).select("key", "i", F.when(F.col("i") % 11 < 4, F.lit("")).when(F.col("i") % 1000 < 300, F.lit("beat")).otherwise(F.element_at(F.split("line", " "), 3)).alias("line"))
+    return long_texts.plain_lines(rows, block=256).select("i", "line")
+
+
+QUERIES = {f.__name__: f for f in (watch_conversations, watch_state, clean_log_one_text, clean_plain_one_text)}

@@ -117,8 +117,9 @@ def start(stream: DataFrame, sink_path: str, ledger_path: str, checkpoint: str,
     """Write outputs and ledger rows of each micro-batch; returns the query, which stop() ends. trigger: of writeStream, by default 250 ms."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_path}/batch={number}")  # a batch that is run again replaces itself
-        runs = batch.select(F.xxhash64("session", "seq").alias("id"), "label", "original_tokens", "cleaned_tokens")
+        place = f"{sink_path}/batch={number}"
+        batch.write.mode("overwrite").parquet(place)  # a batch that is run again replaces itself
+        runs = batch.sparkSession.read.schema(batch.schema).parquet(place).select(F.xxhash64("session", "seq").alias("id"), "label", "original_tokens", "cleaned_tokens")
         ledger.entries(runs, at or datetime.now()).write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
 
     writer = watch(stream, options, ttl_ms=ttl_ms, initial=initial).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)

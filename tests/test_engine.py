@@ -173,8 +173,33 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("s", q, t) for q, t in rows], "session_id string, seq long, text string").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("session_id string, seq long, text string").parquet(src)
     q = watch.start(stream, str(tmp_path / "out"), str(tmp_path / "led"), str(tmp_path / "cp"), at=datetime(2024, 1, 1), availableNow=True)
-    q.awaitTermination(120)
+    q.awaitTermination()
     written = spark.read.parquet(str(tmp_path / "out"))
     # 2 repeats the text before, 7 is the output of 6; the short text of 5 still counts as a change
     assert sorted(r.seq for r in written.collect()) == [1, 3, 4, 6]
     assert watch.totals(written).first().runs == 4 and spark.read.parquet(str(tmp_path / "led")).count() == 4
+
+
+def test_stream_state_goes_on(spark, tmp_path):
+    """First values of a session, state after a restart, expiry, and state read back."""
+    from corpusloom.streaming import watch
+
+    a, b = "2024-01-01T00:00:00Z INFO ping\n" * 20, "2024-01-01T00:00:00Z WARN pong\n" * 20
+    schema = "session_id string, seq long, text string"
+    src, cp = str(tmp_path / "src"), str(tmp_path / "cp")
+    hashed = spark.sql("SELECT xxhash64(:a) AS own", {"a": a}).first().own
+    initial = spark.createDataFrame([("s", hashed, hashed, 5, 500, 0), ("never", None, None, 1, 10, 7)], watch.INITIAL)
+    for part in ([("s", 1, a), ("s", 2, b), ("t", 1, None), ("t", 2, a), (None, 1, b)], [("s", 3, b), ("s", 4, a), ("t", 3, b), ("t", None, a)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        watch.start(stream, str(tmp_path / "out"), str(tmp_path / "led"), cp, at=datetime(2024, 1, 1), ttl_ms=3_600_000, initial=initial, once=True).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out")).collect()
+    last = (1 << 63) - 1
+    assert {(r.session, r.seq, r.runs) for r in written} == {("s", 2, 6), ("s", 4, 7), ("t", 2, 1), ("t", 3, 2), ("t", last, 3), (None, 1, 1)}
+    saved = {r.session: r.saved for r in watch.totals(spark.createDataFrame(written)).collect()}
+    now = {r.session: (r.runs, r.saved, r.last_seq) for r in watch.state(spark, cp).collect()}
+    assert now == {"s": (7, 500 + saved["s"], 4), "t": (3, saved["t"], last), None: (1, saved[None], 1), "never": (1, 10, 7)}
+    first = {r.session: r.runs for r in watch.state(spark, cp, batch=0).collect()}
+    assert first == {"s": 6, "t": 1, None: 1, "never": 1}
+    assert {(r.session, r.seq) for r in watch.state(spark, cp, "undo").collect()} == {("s", 2), ("s", 4), ("t", 2), ("t", 3), ("t", last), (None, 1)}
+    assert {r.session for r in watch.state(spark, cp, "before").collect()} == {"s", "t", None}
