@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.tables import TOKENS_PER_WORD
 from ..streaming.watch import LEAST_BYTES, WAYS_BACK
-from .oracle import _csv, _detect, _estimate, _fold, _header, _notes, trim
+from .oracle import RUNS, _csv, _detect, _estimate, _fold, _header, _notes, trim
 
 
 def _handled(name: str, table: str) -> str:
@@ -62,6 +62,7 @@ SELECT i, line FROM v WHERE i BETWEEN (SELECT min(i) FROM v WHERE line <> '') AN
 
 
 ORACLE_SQL = {
+    "ledger_exactly_once": RUNS + "SELECT run_id, ts, content_type, original_tokens, cleaned_tokens, round(savings_pct, 6) AS savings_pct FROM runs",
     "clean_log_one_text": _one_log(), "clean_plain_one_text": _one_plain(),
     "watch_conversations": _replayed() + "\nSELECT * FROM written",
     "watch_state": _replayed()

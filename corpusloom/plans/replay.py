@@ -7,10 +7,12 @@ from __future__ import annotations
 import atexit
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import long_texts
+from ..sources import ledger_table
 from ..sources.shared import delete, shared_folder
 from ..streaming import watch
 from .process import process
@@ -92,4 +94,22 @@ def clean_plain_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_texts.plain_lines(rows, block=256).select("i", "line")
 
 
-QUERIES = {f.__name__: f for f in (watch_conversations, watch_state, clean_log_one_text, clean_plain_one_text)}
+def ledger_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger after a write whose task fails half-way, the same again, once more by mistake, and a second commit: each run once."""
+    from .registry import runs
+
+    at, rows = _folder(spark, "ledger"), runs(spark, sf_dir)
+    first, second = rows.where("run_id % 2 = 0"), rows.where("run_id % 2 = 1")
+    late = first.agg(F.max("run_id")).first()[0]
+    broken = first.withColumn("cleaned_tokens", F.when(F.col("run_id") == late, F.raise_error(F.lit("a task fails")).cast("long")).otherwise(F.col("cleaned_tokens")))
+    try:
+        ledger_table.write(broken, at, "even")
+    except PySparkException as e:  # as asked for above
+        if "a task fails" not in str(e):
+            raise
+    for part, name in ((first, "even"), (first, "even"), (second, "odd")):
+        ledger_table.write(part, at, name)
+    return ledger_table.read(spark, at).withColumn("savings_pct", F.round("savings_pct", 6))
+
+
+QUERIES = {f.__name__: f for f in (watch_conversations, watch_state, clean_log_one_text, clean_plain_one_text, ledger_exactly_once)}
