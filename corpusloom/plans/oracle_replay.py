@@ -62,6 +62,9 @@ SELECT i, line FROM v WHERE i BETWEEN (SELECT min(i) FROM v WHERE line <> '') AN
 
 
 ORACLE_SQL = {
+    "transcripts_conversations": """
+WITH u AS (SELECT 'p' || conv_id % 7 AS project, CASE WHEN turn % 4 = 2 THEN coalesce(text, '') || chr(10) || coalesce(text, '') ELSE text END AS text FROM conversations WHERE role = 'user' AND conv_id % 7 IN (1, 2, 4, 5))
+SELECT project, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS bytes FROM u WHERE text <> ''""",
     "ledger_exactly_once": RUNS + "SELECT run_id, ts, content_type, original_tokens, cleaned_tokens, round(savings_pct, 6) AS savings_pct FROM runs",
     "clean_log_one_text": _one_log(), "clean_plain_one_text": _one_plain(),
     "watch_conversations": _replayed() + "\nSELECT * FROM written",

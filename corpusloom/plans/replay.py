@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import long_texts
-from ..sources import ledger_table
+from ..sources import ledger_table, transcript_source
 from ..sources.shared import delete, shared_folder
 from ..streaming import watch
 from .process import process
@@ -112,4 +112,18 @@ def ledger_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_table.read(spark, at).withColumn("savings_pct", F.round("savings_pct", 6))
 
 
-QUERIES = {f.__name__: f for f in (watch_conversations, watch_state, clean_log_one_text, clean_plain_one_text, ledger_exactly_once)}
+def transcripts_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as transcripts, one folder for each of seven projects, and read by the source: user messages of four projects, from ranges of 16 KB."""
+    at, turns = _folder(spark, "transcripts"), _table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    part = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    message = lambda content: F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", content.alias("content")).alias("message"), "conv_id", "turn"))
+    line = F.when(F.col("turn") % 4 == 2, message(F.array(part, F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")), part))).otherwise(message(text))
+    turns.select(F.concat(F.lit("p"), F.pmod("conv_id", F.lit(7)).cast("string")).alias("project"), line.alias("value")).write.partitionBy("project").text(at)
+    transcript_source.register(spark)
+    found = spark.read.format(transcript_source.NAME).option("suffix", ".txt").option("range_bytes", 16 << 10).load(at)
+    found = found.where(F.col("project").isin("project=p1", "project=p2", "project=p4", "project=p5") & (F.col("depth") == 1) & (F.col("modified") >= F.lit(datetime(2000, 1, 1))))
+    return found.select(F.substring("project", 9, 9).alias("project"), F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (watch_conversations, watch_state, clean_log_one_text, clean_plain_one_text, ledger_exactly_once, transcripts_conversations)}
