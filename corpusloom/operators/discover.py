@@ -18,12 +18,17 @@ def messages(texts: DataFrame, text_col: str = "text", least_bytes: int = LEAST_
 
 
 def by_label(texts: DataFrame, text_col: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Messages, tokens and expected savings of each label but plain text, with the total (label null) of all of them."""
-    found = messages(texts, text_col, least_bytes).where(F.col("label") != "text")
-    each = found.groupBy("label").agg(F.count(F.lit(1)).alias("messages"), F.sum("est_tokens").alias("est_tokens"), F.sum("est_savings").alias("est_savings"))
-    whole = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("messages", "est_tokens", "est_savings")]
-    total = each.agg(*whole).select(F.lit(None).cast("string").alias("label"), F.lit(1).alias("is_total"), "*")  # of the few rows of each label
-    return each.select("label", F.lit(0).alias("is_total"), "messages", "est_tokens", "est_savings").unionByName(total)
+    """Messages, tokens, expected savings and their whole percents for each label but plain text, with the total (label null) of all of them.
+
+    Messages are classified in one pass: plain text is left out of the few rows of each label, by a copy of the label that is no
+    grouping column, so that the condition isn't put before the aggregate, where every message would be classified again for it."""
+    each = messages(texts, text_col, least_bytes).groupBy("label").agg(F.max("label").alias("name"), F.count(F.lit(1)).alias("messages"), F.sum("est_tokens").alias("est_tokens"), F.sum("est_savings").alias("est_savings"))
+    sums = ("messages", "est_tokens", "est_savings")
+    row = lambda name, is_total, of: F.struct(name.alias("label"), F.lit(is_total).alias("is_total"), *[of(c).alias(c) for c in sums])
+    found = each.where(F.col("name") != "text").agg(F.collect_list(row(F.col("name"), 0, F.col)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in sums])  # a row for each label
+    found = found.select(F.inline(F.concat("rows", F.array(row(F.lit(None).cast("string"), 1, F.col)))))
+    percent = F.when(F.col("est_tokens") > 0, F.round(F.col("est_savings") / F.col("est_tokens") * 100)).otherwise(F.lit(0.0)).cast("long")
+    return found.withColumn("percent", percent)
 
 
 def summary(texts: DataFrame, text_col: str = "text", session_col: str | None = None, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -120,7 +120,8 @@ def _discover() -> str:
 WITH m AS ({found}),
 n AS (SELECT label, {_SIMPLE('t0')} AS est_tokens FROM m WHERE label <> 'text'),
 o AS (SELECT label, est_tokens, CAST(round(est_tokens * CAST(CASE split_part(label, '/', 1) {rates} END AS DOUBLE)) AS BIGINT) AS est_savings FROM n)
-SELECT label, CAST(grouping(label) AS INTEGER) AS is_total, count(*) AS messages, CAST(coalesce(sum(est_tokens), 0) AS BIGINT) AS est_tokens, CAST(coalesce(sum(est_savings), 0) AS BIGINT) AS est_savings FROM o GROUP BY ROLLUP (label)
+SELECT *, CAST(CASE WHEN est_tokens > 0 THEN round(est_savings / est_tokens * 100) ELSE 0 END AS BIGINT) AS percent FROM (
+SELECT label, CAST(grouping(label) AS INTEGER) AS is_total, count(*) AS messages, CAST(coalesce(sum(est_tokens), 0) AS BIGINT) AS est_tokens, CAST(coalesce(sum(est_savings), 0) AS BIGINT) AS est_savings FROM o GROUP BY ROLLUP (label))
 """
 
 

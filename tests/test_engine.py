@@ -127,7 +127,8 @@ def test_transcripts(spark, tmp_path):
     assert documents.transcripts(spark, str(tmp_path), as_of=datetime(2999, 1, 1), days=1).count() == 0
     texts = spark.createDataFrame([("1", "a: 1\nb: 2\nc: 3\nd: 4\n" + "x" * 300), ("1", "y" * 299), ("2", "z" * 300)], "s string, text string")
     assert discover.summary(texts, session_col="s").first()[:] == (2, 2, 1)
-    assert sorted((r.label or "", r.messages) for r in discover.by_label(texts).collect()) == [("", 1), ("yaml", 1)]
+    assert sorted((r.label or "", r.messages, r.percent) for r in discover.by_label(texts).collect()) == [("", 1, 25), ("yaml", 1, 25)]
+    assert [(r.messages, r.percent) for r in discover.by_label(texts.limit(0)).collect()] == [(0, 0)]
 
 
 def test_options(tmp_path):
