@@ -456,7 +456,7 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`").cast("string")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, least_words: int = 5, hot: int = 20_000) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.8, least_words: int = 1, hot: int = 20_000) -> DataFrame:
     """Lines to remove: (doc, hash, line) by document key, text key and line number from 0; a line may be there twice."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")

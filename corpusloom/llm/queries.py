@@ -22,6 +22,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), "fail_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy of op9: what it rejects, what it alone rejects, and what is kept with and without it."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]), rules.PROSE)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out("doc_id")))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_main_text": op11_main_text,
     "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 
 def _license_sql() -> str:
@@ -251,3 +257,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM b
 """,
 }
+
+
+def _ablation_sql() -> str:
+    policy = rules.PROSE
+    values = ", ".join(f"('{r.name}', {1 << r.bit})" for r in rules.RULES if r.name in policy.rules)
+    return f"""
+WITH q AS (SELECT fail_bits & {policy.mask} AS p FROM ({ORACLE_SQL["op9_quality_rules"]})), v(rule, bit) AS (VALUES {values})
+SELECT '{policy.version}' AS policy, rule, count(*) FILTER (p & bit <> 0) AS rejected, count(*) FILTER (p = bit) AS rejected_alone, count(*) FILTER (p = 0) AS kept, count(*) FILTER (p IN (0, bit)) AS kept_without
+FROM q, v GROUP BY rule
+"""
+
+
+ORACLE_SQL["quality_rule_ablations"] = _ablation_sql()

@@ -32,7 +32,7 @@ def test_near_dedup_keeps_values(spark):
 def test_very_long_line_and_ids(spark):
     long = " ".join(f"v{i}" for i in range(60_000))
     df = spark.createDataFrame([(1, long), (2, long + " more"), (-(2**63), "a b c d e f")], "doc_id long, text string")
-    assert {r._id: r._removed for r in linededup.removals(df).collect()} == {2: [0]}
+    assert {r._id: r._removed for r in linededup.removals(df, least_words=5).collect()} == {2: [0]}
     for call in (linededup.dedup_lines, dartminhash.keep_first):
         with pytest.raises(TypeError, match="whole numbers"):
             call(df.selectExpr("'x' AS doc_id", "text"))
@@ -44,4 +44,4 @@ def test_rounds_find_the_one_match_among_many_candidates(spark):
     docs = [(i, " ".join(base[:31] + [f"x{i}y{k}" for k in range(9)])) for i in range(30)]  # 31 of 49 in common
     docs += [(90, " ".join(base[:38] + ["q", "r"])), (99, " ".join(base))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert {r._id: r._removed for r in linededup.removals(df).collect()} == {99: [0]}
+    assert {r._id: r._removed for r in linededup.removals(df, least_words=5).collect()} == {99: [0]}

@@ -52,7 +52,7 @@ def brute_lines(docs, t=0.8, least=5):
 def test_line_dedup_equals_brute_force(spark, hot):
     docs = line_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r._id: r._removed for r in linededup.removals(df, hot=hot).collect()}
+    got = {r._id: r._removed for r in linededup.removals(df, least_words=5, hot=hot).collect()}
     assert got == brute_lines(docs)
 
 
@@ -60,7 +60,7 @@ def test_line_dedup_cases(spark):
     line = "one two three four five six"
     rows = [(1, line + "\nshort one", 1), (2, "keep\n" + line.upper() + "\nshort one", 2), (None, None, 3), (3, "", 4), (2, "keep\n" + line.upper() + "\nshort one", 2), (4, line + "\n" + line, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, line int").withColumn("_id", F.lit(7))
-    out = linededup.dedup_lines(df)
+    out = linededup.dedup_lines(df, least_words=5)
     assert out.columns == df.columns
     got = sorted((r.doc_id or -1, r.text) for r in out.collect())
     assert got == sorted([(1, line + "\nshort one"), (2, "keep\nshort one"), (2, "keep\nshort one"), (-1, None), (3, ""), (4, "")])
