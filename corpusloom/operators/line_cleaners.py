@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from itertools import groupby
 
 from ..functions.tables import (
-    ACCESSOR_LANGUAGES, ATTRIBUTE_MARKS, HASH_LANGUAGES, IMPORT_WORDS, JAVA_INTERNAL, JSON_ERROR_KEYS, JSON_ID_KEYS, JSON_NOISE_KEYS, RUST_INTERNAL, SECRET_PARTS, SIDE_SECTIONS, SLASH_LANGUAGES, SQL_WORDS,
+    ACCESSOR_LANGUAGES, ATTRIBUTE_MARKS, HASH_LANGUAGES, IMPORT_WORDS, JAVA_INTERNAL, JSON_ERROR_KEYS, JSON_ID_KEYS, JSON_NOISE_KEYS, RUST_INTERNAL, SIDE_SECTIONS, SLASH_LANGUAGES, SQL_WORDS,
     YAML_DEFAULTS, YAML_DOC_KEYS,
 )
 from ..functions.text import SPACE
@@ -67,6 +67,7 @@ def quoted_cut(line: str, comment: str, quotes: str, allowed: Callable[[int], bo
 
 # ---- stack traces ------------------------------------------------------------------------------
 
+# Patterns of frames and paths.
 _PYTHON_FRAME = re.compile(r'^\s+File ".+", line \d+, in .+$')
 _LONG_PATH = re.compile(r"(?:[A-Za-z]:[/\\]|/)(?:[^/\\():\s]+[/\\]){3,}")
 
@@ -149,6 +150,7 @@ def stack_trace(s: str, variant: str, aggressive: bool) -> str:
 
 # ---- diffs -------------------------------------------------------------------------------------
 
+# Patterns of diffs.
 _DIFF_HEADER = re.compile(r"^(?:diff --git|--- |\+\+\+ |index |Binary files)")
 _HUNK = re.compile(r"^@@ .+ @@")
 
@@ -547,6 +549,7 @@ def code(s: str, variant: str, aggressive: bool) -> str:
 
 # ---- build output ------------------------------------------------------------------------------
 
+# Patterns of build output.
 _CARGO_NOISE = re.compile(r"^ {0,3}(?:Compiling|Checking|Downloading|Downloaded|Fresh|Updating|Locking|Blocking|Fetching)\s")
 _TSC_LINE = re.compile(r"^(.+\.tsx?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.+)$")
 _ESLINT_LINE = re.compile(r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.+?)\s{2,}([\w/@-]+(?:/[\w-]+)*)\s*$")
@@ -635,6 +638,7 @@ def build(s: str, variant: str, aggressive: bool) -> str:
 
 # ---- Markdown, SQL, Dockerfiles ----------------------------------------------------------------
 
+# Patterns of Markdown.
 _BADGE = re.compile(r"\[?!\[[^\]]*\]\([^)]*\)\]?(?:\([^)]*\))?")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 
@@ -735,14 +739,7 @@ def dockerfile(s: str, variant: str, aggressive: bool) -> str:
     return "\n".join(out)
 
 
-# ---- tables, environments, HTML: twins of the native forms, for the dispatcher -----------------
-
-_ENV_PAIR = re.compile(r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$")
-
-
-def is_secret(key: str) -> bool:
-    return any(p in key.upper() for p in SECRET_PARTS)
-
+# ---- the dispatcher ----------------------------------------------------------------------------
 
 CLEANERS: dict[str, Callable[[str, str, bool], str]] = {
     "trace": stack_trace, "git-diff": git_diff, "log": log, "json": json_text, "yaml": yaml, "code": code, "build": build, "markdown": markdown, "sql": sql,
