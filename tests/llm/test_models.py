@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import _bytes as B
@@ -156,7 +157,7 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
-def brute_toxicity(made, alpha=1.0):
+def brute_toxicity(made, ridge, alpha=1.0):
     """The same model with dictionaries: counts, ratios and gradient steps over all n-grams as text."""
     grams = []
     for _, t, *_ in made:
@@ -171,19 +172,20 @@ def brute_toxicity(made, alpha=1.0):
     weigh = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for t in range(1, 201):
         e = weigh * (1 / (1 + np.exp(-(x @ theta + bias))) - y)
-        g = np.append(x.T @ e / len(y) + 1e-3 * theta, e.mean())
+        g = np.append(x.T @ e / len(y) + ridge * theta, e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta, bias = np.maximum(0, theta - step[:-1]), bias - step[-1]
     return 1 / (1 + np.exp(-(x @ theta + bias))), len(used)
 
 
-def test_toxicity_equals_brute_force(spark):
+@pytest.mark.parametrize("ridge", [1e-3, 1e-4])  # the former default and the present one
+def test_toxicity_equals_brute_force(spark, ridge):
     rng = random.Random(7)
     made = [(i, text("de" if i % 2 else "en", 12, rng) + (" Idiöt" if i % 3 == 0 else "") + rng.choice([" Blödmann", "", ""]) * (i % 3 == 0), 0, int(i % 3 == 0)) for i in range(60)]
     docs, labels = spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, *_, x in made], "doc_id long, toxic int")
-    model = toxicity.train(docs.repartition(3), labels)
-    want, used = brute_toxicity(made)
+    model = toxicity.train(docs.repartition(3), labels, ridge=ridge)
+    want, used = brute_toxicity(made, ridge)
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert np.count_nonzero(model.weight) > 0 and used < 8192
     assert np.allclose([got[i] for i, *_ in made], want, atol=2e-3)
@@ -214,6 +216,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert held_out_share(spark, made, got, 2) >= 0.99
 
 
+def test_toxicity_folds(spark):
+    """Every labelled text is scored once, by models that have not seen it."""
+    made = labelled(80)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, *_, x in made], "doc_id long, toxic int")
+    got = toxicity.folded_scores(docs, labels, folds=2).collect()
+    assert sorted((r.id, r.label) for r in got) == sorted((i, x) for i, *_, x in made)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
 def test_toxicity_cases(spark):
     made = labelled(60)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t, *_ in made], "doc_id long, text string, score string, label string")
