@@ -14,10 +14,9 @@ SPACE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 
 
 def lines(text: Column) -> Column:
-    """Lines of a text as an array."""
-    parts = F.split(text, "\n", -1)
-    cut = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(cut, lambda x: F.when(x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    """Lines of a text as an array. The text is split once, however long the expression it comes from."""
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.transform(let(F.split(text, "\n", -1), cut), lambda x: F.when(x.endswith("\r"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
 
 def let(value: Column, body) -> Column:
@@ -26,20 +25,20 @@ def let(value: Column, body) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def trim_start(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+", "")
+    return F.ltrim(text, F.lit(SPACE))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
+    return F.rtrim(text, F.lit(SPACE))
 
 
 def words(text: Column) -> Column:
-    """Number of runs of other than white space."""
-    return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long")
+    """Number of runs of other than white space: each leaves its first character."""
+    return F.length(F.regexp_replace(text, r"(?U)\s*+(\S)\S*+|\s++", "$1")).cast("long")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -65,7 +64,8 @@ def starts_with_any(text: Column, starts) -> Column:
 
 def occurrences(text: Column, part: str) -> Column:
     """Number of places of a literal, none overlapping."""
-    return F.size(F.split(text, "\\Q" + part + "\\E", -1)) - 1
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))
+    return gone if len(part.encode()) == 1 else (gone / F.lit(len(part.encode()))).cast("int")
 
 
 def sample(text: Column) -> Column:
@@ -79,3 +79,8 @@ def sample(text: Column) -> Column:
 def line_indent(line: Column) -> Column:
     """Bytes of white space at the start of a line."""
     return F.octet_length(line) - F.octet_length(trim_start(line))
+
+
+def indents(text: Column) -> Column:
+    """Bytes of white space at the starts of all lines together; a carriage return that ends a line is none of it."""
+    return F.octet_length(text) - F.octet_length(F.regexp_replace(text, r"(?dmU)^[\s&&[^\n]]+(?<!\r(?=\n|\z))", ""))

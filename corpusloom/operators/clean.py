@@ -1,12 +1,12 @@
 """Cleaning of texts by family.
 
 Tables, environments and HTML are cleaned with column expressions; the families whose rules look
-back go through one Arrow-batched function. Its input is null for rows of other families, so rows
-that need no Python cost only their place in the batch."""
+back go through one Python function. Its input is null for rows of other families, so rows that need
+no Python cost only their place in the batch. Batches are of a hundred texts, as the function works on
+one text at a time: batches of Arrow hold ten thousand, which fill a worker's memory as tables grow."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,15 +21,22 @@ NATIVE = ("csv", "env", "html")
 
 def strip_ansi(text: Column) -> Column:
     """Without terminal escape sequences; tabs and carriage returns stay."""
+    return F.when(~text.contains("\x1b"), text).otherwise(_without_ansi(text))
+
+
+def _without_ansi(text: Column) -> Column:
     return F.regexp_replace(text, r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-Z\\-_])", "")
 
 
 def squeeze(rows: Column, most: int) -> Column:
     """Lines joined, with blank lines emptied and at most `most` of a run."""
-    s = F.array_join(F.transform(rows, lambda r: F.when(T.trim(r) == "", "").otherwise(r)), "\n")
-    some = F.regexp_replace(s, f"\n{{{most + 2},}}", "\n" * (most + 1))
-    some = F.regexp_replace(F.regexp_replace(some, rf"\A\n{{{most + 1},}}", "\n" * most), rf"\n{{{most + 1},}}\z", "\n" * most)
-    return F.when(s.rlike(r"\A\n*\z"), F.substring(s, 1, most - 1)).otherwise(some)
+
+    def joined(s: Column) -> Column:
+        some = F.regexp_replace(s, f"\n{{{most + 2},}}", "\n" * (most + 1))
+        some = F.regexp_replace(F.regexp_replace(some, rf"\A\n{{{most + 1},}}", "\n" * most), rf"\n{{{most + 1},}}\z", "\n" * most)
+        return F.when(F.ltrim(s, F.lit("\n")) == "", F.substring(s, 1, most - 1)).when(s.contains("\n" * (most + 1)), some).otherwise(s)
+
+    return T.let(F.array_join(F.transform(rows, lambda r: F.when(T.trim_start(r) == "", "").otherwise(r)), "\n"), joined)
 
 
 def head_bytes(text: Column, n: int) -> Column:
@@ -40,14 +47,17 @@ def head_bytes(text: Column, n: int) -> Column:
 
 def clean_csv(text: Column, aggressive: bool = False) -> Column:
     """The header, the first rows, and how many more there are."""
-    rows, most = T.lines(text), 3 if aggressive else 5
+    return T.let(T.lines(text), lambda rows: _csv_head(text, rows, aggressive))
+
+
+def _csv_head(text: Column, rows: Column, aggressive: bool) -> Column:
+    most = 3 if aggressive else 5
     more = F.size(rows) - 1 - most
     out = F.concat(F.slice(rows, 1, most + 1), F.when(more > 0, F.array(F.concat(F.lit("... ["), more.cast("string"), F.lit(" more rows]")))).otherwise(F.array().cast("array<string>")))
     if aggressive:
 
         def cell(x: Column) -> Column:
-            t = T.trim(x)
-            return F.when(F.octet_length(t) > 50, F.concat(head_bytes(t, 47), F.lit("..."))).otherwise(t)
+            return T.let(T.trim(x), lambda t: F.when(F.octet_length(t) > 50, F.concat(head_bytes(t, 47), F.lit("..."))).otherwise(t))
 
         out = F.transform(out, lambda r: F.array_join(F.transform(F.split(r, ",", -1), cell), ","))
     return F.when(F.size(rows) == 0, text).otherwise(F.array_join(out, "\n"))
@@ -58,15 +68,16 @@ def clean_env(text: Column, aggressive: bool = False) -> Column:
     pattern = r"\A(?U)(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)\z"
     secret = "|".join(SECRET_PARTS)
 
+    def shown(value: Column) -> Column:
+        n = F.octet_length(value)
+        return F.when(n > 100, F.concat(head_bytes(value, 50), F.lit("...["), n.cast("string"), F.lit(" chars]"))).otherwise(value)
+
     def line(t: Column) -> Column:
-        key, raw = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-        value = F.regexp_replace(F.regexp_replace(raw, r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
-        shown = value
-        if aggressive:
-            n = F.octet_length(value)
-            shown = F.when(n > 100, F.concat(head_bytes(value, 50), F.lit("...["), n.cast("string"), F.lit(" chars]"))).otherwise(value)
-        pair = F.concat(key, F.lit("="), F.when(F.upper(key).rlike(secret), "***").otherwise(shown))
-        return F.when(t.rlike(pattern), pair).otherwise(t)
+        raw = F.substr(t, F.instr(t, "=") + 1)  # names hold no "="
+        value = F.btrim(F.btrim(raw, F.lit('"')), F.lit("'"))
+        value = T.let(value, shown) if aggressive else value
+        pair = lambda key: F.when(key != "", F.concat(key, F.lit("="), F.when(F.upper(key).rlike(secret), "***").otherwise(value))).otherwise(t)
+        return F.when(t.contains("="), T.let(F.regexp_extract(t, pattern, 1), pair)).otherwise(t)
 
     kept = T.lines(F.concat(squeeze(F.transform(T.lines(text), T.trim), 1), F.lit("\n")))
     return F.array_join(F.transform(F.filter(kept, lambda t: ~t.startswith("#")), line), "\n")
@@ -90,24 +101,22 @@ def clean_html(text: Column, aggressive: bool = False) -> Column:
             for name, char in ENTITIES:
                 t = F.replace(t, F.lit(name), F.lit(char))
             return t
-        t = F.regexp_replace(F.regexp_replace(t, LAYOUT, ""), "(?U)" + ATTRIBUTES, "")
-        return T.trim(F.regexp_replace(t, r"(<[a-zA-Z][a-zA-Z0-9]*)(?U)\s+[^>]*(>)", "$1$2"))
+        marked = F.regexp_replace(F.regexp_replace(t, LAYOUT, ""), "(?U)" + ATTRIBUTES, "")
+        marked = T.trim(F.regexp_replace(marked, r"(<[a-zA-Z][a-zA-Z0-9]*)(?U)\s+[^>]*(>)", "$1$2"))
+        return F.when(t.contains("<") | t.contains("="), marked).otherwise(t)  # t is trimmed
 
     # a blank line is kept as a mark, a line that is emptied goes
     rows = F.transform(F.transform(T.lines(text), T.trim), lambda t: F.when(t == "", F.lit("\x00")).otherwise(line(t)))
     rows = F.transform(F.filter(rows, lambda t: t != ""), lambda t: F.when(t == "\x00", "").otherwise(t))
-    return F.when(F.size(rows) == 0, "").otherwise(squeeze(rows, 1))
+    return T.let(rows, lambda kept: F.when(F.size(kept) == 0, "").otherwise(squeeze(kept, 1)))
 
 
-@F.pandas_udf(StringType())
-def _by_lines(text: pd.Series, label: pd.Series, aggressive: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def _by_lines(text: str | None, label: str | None, aggressive: bool) -> str | None:
     from .line_cleaners import clean
 
-    def one(t: str | None, k: str | None, a: bool) -> str | None:
-        family, _, variant = (k or "text").partition("/")
-        return None if t is None else clean(t, family, variant, bool(a))
-
-    return pd.Series([one(*x) for x in zip(text, label, aggressive, strict=True)], dtype=object)
+    family, _, variant = (label or "text").partition("/")
+    return None if text is None else clean(text, family, variant, bool(aggressive))
 
 
 def clean(text: Column, label: Column, aggressive: bool = False) -> Column:
