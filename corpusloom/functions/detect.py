@@ -31,6 +31,26 @@ COUNTED = (
 )
 
 
+#: For the patterns above, in order: sets of literals of which at least one must stand in the text in full, as a scan for bytes is much cheaper than a pattern.
+LITERALS = (
+    (("diff --git",), ("--- a/",), ("+++ b/",)), (("goroutine ",),), ((".java:",),), (("Traceback (most recent call last):",),), (("thread '", "' panicked at"),), (("at", "("),),
+    ((":",),), (*((w,) for w in ("Compiling", "Checking", "Downloading", "Downloaded", "Fresh", "Updating", "Locking", "error[E", "warning:\n", "Finished ", "error: could not compile")),),
+    ((": error TS",), (": warning TS",)), ((":", "error"), (":", "warning")),
+    (("-", ":"), *((w,) for w in ("INFO", "WARN", "ERROR", "DEBUG", "TRACE", "FATAL", "level=", "lvl=", "severity="))),
+)
+
+
+def _may_have(text: Column, sets: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether all literals of one of the sets stand in a text."""
+    found = F.lit(False)
+    for literals in sets:
+        every = F.lit(True)
+        for part in literals:
+            every = every & text.contains(part)
+        found = found | every
+    return found
+
+
 def _distinct(text: Column, signs) -> Column:
     total = F.lit(0)
     for s in signs:
@@ -51,12 +71,14 @@ def is_yaml(s: Column, trimmed: Column) -> Column:
 
 
 def is_markdown(rows: Column) -> Column:
-    head = F.slice(rows, 1, 40)
-    signs = (
-        (T.count_lines(head, lambda x: x.startswith("#")) >= 2, T.count_lines(head, lambda x: x.contains("![") & x.contains("](")) >= 1)
-        + (T.count_lines(head, lambda x: x.startswith("```")) >= 1, T.count_lines(head, lambda x: x.contains("](http")) >= 2)
-    )
-    return sum((s.cast("int") for s in signs), F.lit(0)) >= 2
+    def signs(head: Column) -> Column:
+        found = (
+            (T.count_lines(head, lambda x: x.startswith("#")) >= 2, T.count_lines(head, lambda x: x.contains("![") & x.contains("](")) >= 1)
+            + (T.count_lines(head, lambda x: x.startswith("```")) >= 1, T.count_lines(head, lambda x: x.contains("](http")) >= 2)
+        )
+        return sum((s.cast("int") for s in found), F.lit(0)) >= 2
+
+    return T.let(F.slice(rows, 1, 40), signs)
 
 
 def is_html(s: Column, trimmed: Column) -> Column:
@@ -73,32 +95,35 @@ def is_dockerfile(trimmed: Column) -> Column:
 
 def is_env(trimmed: Column) -> Column:
     total = T.count_lines(trimmed, lambda x: (x != "") & ~x.startswith("#"))
-    pairs = T.count_lines(trimmed, lambda x: x.rlike(r"(?U)^(?:export\s+)?[A-Z][A-Z0-9_]+="))
+    pairs = T.count_lines(trimmed, lambda x: x.contains("=") & x.rlike(r"(?U)^(?:export\s+)?[A-Z][A-Z0-9_]+="))
     return (total >= 2) & (pairs >= 2) & (pairs / total >= 0.6)
 
 
 def is_csv(rows: Column) -> Column:
-    head = F.slice(rows, 1, 10)
-    fields = F.transform(head, lambda x: T.occurrences(x, ",") + 1)
-    first = F.get(fields, F.lit(0))
-    return (F.size(head) >= 2) & (first >= 3) & (F.size(F.filter(fields, lambda n: n == first)) >= 3)
+    def alike(fields: Column) -> Column:
+        first = F.get(fields, F.lit(0))
+        return (F.size(fields) >= 2) & (first >= 3) & (F.size(F.filter(fields, lambda n: n == first)) >= 3)
+
+    return T.let(F.transform(F.slice(rows, 1, 10), lambda x: T.occurrences(x, ",") + 1), alike)
 
 
 def code_language(rows: Column) -> Column:
     """Tag of a fence among the first five lines, else by words of the first twenty; null if it is no code."""
-    fence = F.filter(F.transform(F.slice(rows, 1, 5), T.trim), lambda x: x.rlike(r"^```") & (T.trim(F.regexp_replace(x, r"\A`+", "")) != ""))
+    fence = F.filter(F.transform(F.slice(rows, 1, 5), T.trim), lambda x: x.startswith("```") & (T.trim(F.regexp_replace(x, r"\A`+", "")) != ""))
     tag = T.trim(F.regexp_replace(F.get(fence, F.lit(0)), r"\A`+", ""))
-    head = F.array_join(F.slice(rows, 1, 20), "\n")
-    both = lambda a, b: head.contains(a) & head.contains(b)
-    by_words = (
-        F.when(both("fn ", "let "), "rust")
-        .when(both("def ", "import "), "python")
-        .when(head.contains("function") | both("const ", "=>"), "typescript")
-        .when(both("func ", "package "), "go")
-        .when(head.contains("public class") | head.contains("import java"), "java")
-        .when(head.contains("#include") | head.contains("int main("), "c")
-    )
-    return F.coalesce(tag, by_words)
+
+    def by_words(head: Column) -> Column:
+        both = lambda a, b: head.contains(a) & head.contains(b)
+        return (
+            F.when(both("fn ", "let "), "rust")
+            .when(both("def ", "import "), "python")
+            .when(head.contains("function") | both("const ", "=>"), "typescript")
+            .when(both("func ", "package "), "go")
+            .when(head.contains("public class") | head.contains("import java"), "java")
+            .when(head.contains("#include") | head.contains("int main("), "c")
+        )
+
+    return F.coalesce(tag, T.let(F.array_join(F.slice(rows, 1, 20), "\n"), by_words))
 
 
 def detect(text: Column, force_type: str | None = None, force_diff: bool = False) -> Column:
@@ -113,15 +138,13 @@ def detect(text: Column, force_type: str | None = None, force_diff: bool = False
 def _rules(s: Column, rows: Column) -> Column:
     """The rules over the sample and its lines. Those that look at trimmed lines stand together, so that lines are trimmed once."""
     head = F
-    for label, p, n in COUNTED:
-        head = head.when(T.has(s, p) if n == 1 else T.matches(s, p) >= n, F.lit(label))
-    trimmed = T.trim(s)
-    head = head.when(is_json(trimmed), F.lit("json"))
+    for (label, p, n), literals in zip(COUNTED, LITERALS, strict=True):
+        head = head.when(_may_have(s, literals) & (T.has(s, p) if n == 1 else T.matches(s, p) >= n), F.lit(label))
+    head = head.when(T.let(T.trim(s), is_json), F.lit("json"))
     return head.otherwise(T.let(F.transform(rows, T.trim), lambda lines: _line_rules(s, rows, lines)))
 
 
 def _line_rules(s: Column, rows: Column, trimmed: Column) -> Column:
-    language = code_language(rows)
     case = F
     for test, label in (
         (is_yaml(s, trimmed), F.lit("yaml")),
@@ -132,11 +155,10 @@ def _line_rules(s: Column, rows: Column, trimmed: Column) -> Column:
         (_distinct(s, TERRAFORM_SIGNS) >= 2, F.lit("terraform")),
         (is_env(trimmed), F.lit("env")),
         (is_csv(rows), F.lit("csv")),
-        (language.isNotNull(), F.concat(F.lit("code/"), language)),
-        (T.has(s, ANSI), F.lit("log")),
     ):
         case = case.when(test, label)
-    return case.otherwise("text")
+    rest = F.when(s.contains("\x1b") & T.has(s, ANSI), "log").otherwise("text")
+    return case.otherwise(T.let(code_language(rows), lambda language: F.when(language.isNotNull(), F.concat(F.lit("code/"), language)).otherwise(rest)))
 
 
 def family(label: Column) -> Column:
