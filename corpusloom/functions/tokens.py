@@ -19,7 +19,7 @@ def estimate(text: Column, family: Column) -> Column:
     """Estimated tokens of a text of a family; at least 1."""
     text = F.coalesce(text, F.lit(""))
     removed = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    indent = F.aggregate(T.lines(text), F.lit(0).cast("long"), lambda total, line: total + T.line_indent(line)) / F.lit(4.0)
+    indent = T.indents(text) / F.lit(4.0)
     total = T.words(text) * lookup(TOKENS_PER_WORD, family) + removed(TOKEN_PUNCTUATION) * F.lit(0.6) + removed("\n") * F.lit(0.3) + indent * F.lit(0.2)
     return F.greatest(F.round(total).cast("long"), F.lit(1).cast("long"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import annotate, prompt, tokens
+from ..functions import text as T
 from ..functions.detect import detect, family
 from ..operators.clean import clean
 from .options import Options
@@ -13,7 +14,7 @@ from .options import Options
 
 def is_blank(text: Column) -> Column:
     """Whether a text is null or white space only."""
-    return F.coalesce(text.rlike(r"(?U)\A\s*\z"), F.lit(True))
+    return F.coalesce(T.trim_start(text) == "", F.lit(True))
 
 
 def process(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
