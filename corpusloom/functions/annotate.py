@@ -136,7 +136,12 @@ def docker_notes(s: Column, rows: Column) -> list[Column]:
 
 def annotations(s: Column, label: Column) -> Column:
     """Notes of a cleaned text as an array."""
-    rows, kind = T.lines(s), family(label)
+    return T.let(T.lines(s), lambda rows: _annotations(s, rows, label))
+
+
+def _annotations(s: Column, rows: Column, label: Column) -> Column:
+    """The notes, from a text and its lines."""
+    kind = family(label)
     containing = lambda p: T.count_lines(rows, lambda x: x.contains(p))
     always = F.lit(True)
     notes = {
@@ -169,8 +174,8 @@ def annotations(s: Column, label: Column) -> Column:
 
 def header(s: Column, label: Column) -> Column:
     """`[label | n lines | notes]`."""
-    parts = F.concat(F.array(label, F.concat(F.size(T.lines(s)).cast("string"), F.lit(" lines"))), annotations(s, label))
-    return F.concat(F.lit("["), F.array_join(parts, " | "), F.lit("]"))
+    parts = lambda rows: F.concat(F.array(label, F.concat(F.size(rows).cast("string"), F.lit(" lines"))), _annotations(s, rows, label))
+    return F.concat(F.lit("["), F.array_join(T.let(T.lines(s), parts), " | "), F.lit("]"))
 
 
 def frame(s: Column, label: Column, focus: str | None = None) -> Column:
