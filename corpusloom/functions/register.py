@@ -2,7 +2,7 @@
 
 `detect_type(text)`, `est_tokens(text, family)`, `simple_tokens(text)`, `frame_text(text, label)`, `wrap_prompt(text,
 template, label)` and `clean_text(text, label, aggressive)` have SQL bodies, made from the column expressions, so
-Catalyst sees through them; `clean_lines(text, label, aggressive)` is the Arrow function that `clean_text` calls for
+Catalyst sees through them; `clean_lines(text, label, aggressive)` is the Python function that `clean_text` calls for
 families whose rules look back; `doc_lines(text)` is a table function."""
 
 from __future__ import annotations
