@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from .common import in_arrow
 
+#: What measuring derives from a chunk is many times its size, in each worker.
+CHUNK_BYTES = 1 << 18
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_alpha_words"]
 
 _SYMBOL = B.byte_table(b"#*$%&|<>")
@@ -128,7 +131,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{m} long" for m in MEASURES)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [measure(c) for c in B.chunks(batch.column(len(kept)))]
+        parts = [measure(c) for c in B.chunks(batch.column(len(kept)), CHUNK_BYTES)]
         columns = [pa.array(np.concatenate([p[m] for p in parts])) for m in MEASURES]
         return pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + columns, [*kept, *MEASURES])
 

@@ -66,3 +66,12 @@ def test_literals_stand_in_what_patterns_find(spark):
     rows = [(label, t) for label, texts in EXAMPLES.items() for t in texts]
     for label, t, found in spark.createDataFrame(rows, "label string, t string").select("label", "t", detect.detect(F.col("t"))).collect():
         assert found == label, t
+
+
+def test_rules_are_measured_in_small_chunks():
+    import pyarrow as pa
+
+    from corpusloom.llm import _bytes, rules
+
+    parts = list(_bytes.chunks(pa.array(["word " * 200] * 1000), rules.CHUNK_BYTES))
+    assert len(parts) > 1 and max(len(c.buf) for c in parts) <= 1 << 18 and sum(c.rows for c in parts) == 1000
