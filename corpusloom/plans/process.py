@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,17 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(T.trim_start(text) == "", F.lit(True))
 
 
-def process(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
+def process(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None, through: Sequence[str] = ()) -> DataFrame:
     """One row for each document: id, label, original, cleaned, output, tokens before and after, savings.
 
     A text of white space only, or null, passes through as its own output; its tokens are null, and it
-    enters no ledger."""
+    enters no ledger. through: labels whose texts pass through likewise, for callers that have no use for them."""
     o = options or Options()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("original"))
     base = base.withColumn("blank", is_blank(F.col("original")))
     base = base.withColumn("label", F.when(~F.col("blank"), detect(F.col("original"), o.force_type, o.force_diff)))
+    if through:
+        base = base.withColumn("blank", F.col("blank") | F.col("label").isin(*through))
     work = base.withColumn("cleaned", F.when(F.col("blank"), F.col("original")).otherwise(clean(F.when(~F.col("blank"), F.col("original")), F.col("label"), o.effective_aggressive)))
     shown = F.col("cleaned") if o.no_frame else annotate.frame(F.col("cleaned"), F.col("label"), o.focus)
     if o.prompt:

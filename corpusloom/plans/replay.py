@@ -42,12 +42,13 @@ def turn_texts(conversations: DataFrame) -> DataFrame:
 def clipboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, seq, text): each turn's text twice, then the turn before it again, then what was written for that."""
     turns = turn_texts(_table(spark, sf_dir, "conversations"))
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
-    done = process(turns.select(F.struct("conv_id", "turn").alias("key"), "text"), "key").where("label = 'csv'").select("id.conv_id", (F.col("id.turn") + 1).alias("turn"), F.col("output").alias("text"))
-    at = lambda df, k: df.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") * 4 + k).alias("seq"), "text", F.col("turn").alias("part_turn"))
-    shown = turns.select("conv_id", "turn")
-    parts = [at(turns, 0), at(turns, 1), at(before.join(shown, ["conv_id", "turn"]), 2), at(done.join(shown, ["conv_id", "turn"]), 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    done = process(turns.select(F.struct("conv_id", "turn").alias("key"), "text"), "key", through=("text",))
+    made = done.select("id.conv_id", "id.turn", F.col("original").alias("text"), F.when(F.col("label") == "csv", F.col("output")).alias("made"))
+    after = turns.groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.count(F.lit(1)).cast("int").alias("after"))  # rows of the turn after
+    at = lambda k, turn, text: F.struct(F.col("conv_id").cast("string").alias("session_id"), (turn * 4 + k).alias("seq"), F.col(text).alias("text"), turn.alias("part_turn"))
+    own, later, n = F.col("turn"), F.col("turn") + 1, F.coalesce("after", F.lit(0))
+    shown = F.concat(F.array(at(0, own, "text"), at(1, own, "text")), F.array_repeat(at(2, later, "text"), n), F.array_repeat(at(3, later, "made"), F.when(F.col("made").isNull(), 0).otherwise(n)))
+    return made.join(after, ["conv_id", "turn"], "left").select(F.inline(shown))
 
 
 def replay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
