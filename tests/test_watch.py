@@ -73,3 +73,16 @@ def test_clipboard_reads_its_table_twice(spark, tmp_path):
         + [("2", k, 0) for k in (0, 1)] + [("2", 4 + k, 1) for k in range(4)] * 2 + [("3", 20 + k, 5) for k in (0, 1)] + [("", 4 * t + k, t) for t in (0, 1) for k in (0, 1)]
     )
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_commits_hold_changes(spark, tmp_path):
+    """A micro-batch writes what it changed, and state is read back from that after a restart."""
+    schema, src, cp = "session_id string, seq long, text string", str(tmp_path / "src"), str(tmp_path / "cp")
+    table = "a,b,c\n" + "\n".join(f"{i},some cell,another cell" for i in range(40))
+    for seq in (1, 2):
+        spark.createDataFrame([("s", seq, table + f"\n{seq},x,y")], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        watch.start(stream, str(tmp_path / "out"), str(tmp_path / "led"), cp, availableNow=True).awaitTermination()
+    assert list((tmp_path / "cp" / "state").rglob("*.changelog"))
+    assert [(r.session, r.runs, r.last_seq) for r in watch.state(spark, cp).collect()] == [("s", 2, 2)]
+    assert {r.seq for r in watch.state(spark, cp, "undo").collect()} == {1, 2}
