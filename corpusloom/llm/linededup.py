@@ -18,8 +18,9 @@ number, has a Jaccard similarity of at least `threshold` with it.
 4. Candidates are verified on the whole sets, in rounds: of each line and group the 4 earliest are
    handed on, so a group of similar lines gives a few rows a line. Lines whose candidates all fail
    and that have more go to the next round with 64 times as many, until none is left. A round looks at
-   the groups of such open lines only; at worst, at all groups once more.
+   the groups in which such open lines have more; at worst, at all groups once more.
 Groups of more than `hot` lines are dealt to cells, a pair of blocks each, before they are gathered.
+They are found by counts in a table of fixed size; only words of its full buckets are counted one by one.
 
 Defined results: null texts have no lines; rows with one id and one text are one document and keep
 the same lines; rows with one id and different texts are ordered by line number, then by a hash of the text; null ids
@@ -160,7 +161,8 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, least_word
 
 
 LINE_COLUMNS = ["h1", "h2", "doc", "place", "size", "bitmap", "prefix"]
-LINE_SCHEMA = "h1 long, h2 long, doc long, place long, size int, bitmap binary, prefix array<int>"
+FIRST_COLUMNS, FIRST_SCHEMA = LINE_COLUMNS[2:], "doc long, place long, size int, bitmap binary, prefix array<int>"
+LINE_SCHEMA = f"h1 long, h2 long, {FIRST_SCHEMA}"
 SEEN_SETS = 200_000
 
 
@@ -192,6 +194,7 @@ def first_lines(table: DataFrame, parts: int) -> DataFrame:
         same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
         fresh = np.append(True, ~same)
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        t = t.select(FIRST_COLUMNS)
         live = size[order] > 0
         self = (doc == doc[head]) & (place == place[head])
         first, other = order[fresh & live], order[~live | ~self]
@@ -201,13 +204,13 @@ def first_lines(table: DataFrame, parts: int) -> DataFrame:
             gone = t.take(pa.array(other)).combine_chunks()
             n = gone.num_rows
             empty = [pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([gone.column(k).chunk(0) for k in range(4)] + empty, LINE_COLUMNS)
+            yield pa.RecordBatch.from_arrays([gone.column(k).chunk(0) for k in range(2)] + empty, FIRST_COLUMNS)
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         release()
 
-    return table.repartition(parts, "h1").mapInArrow(released, LINE_SCHEMA)
+    return table.repartition(parts, "h1").mapInArrow(released, FIRST_SCHEMA)
 
 
 class Bitmaps:
@@ -255,18 +258,41 @@ def first_of_each(later: np.ndarray, earlier: np.ndarray, most: int) -> tuple[np
     return later[keep], earlier[keep]
 
 
-def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (later, earlier) of lines that share a prefix word and pass the filters, of each line and word the `most` earliest; `more` says that there were others.
+def group_sizes(words: DataFrame, hot: int) -> tuple[int, np.ndarray]:
+    """Number of all words, and the buckets that hold more than `hot` of them. words: one column, a word or an array of words a row."""
 
-    rows: word, span (place in the order << 32 | size), doc, place, bitmap, and probe, if only some are taken as the later one.
-    Tasks get about TASK_ROWS rows each, whatever the number of shuffle partitions is set to."""
-    large = F.col("n") > hot
-    each = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).groupBy(F.when(large, F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
-    counts = scratch.keep(each, f"{name}-counts")  # one row for each hot word, and one for all others
-    n_rows = counts.agg(F.sum("n")).first()[0] or 0
-    hot_words = counts.where("word IS NOT NULL")
+    def buckets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        column = batch.column(0)
+        yield bucket(column.flatten() if pa.types.is_list(column.type) else column)
+
+    total = bucket_counts(words, buckets, BITS)
+    return int(total.sum()), np.flatnonzero(total > hot)
+
+
+def bucket(word: pa.Array) -> np.ndarray:
+    return (word_hash(word.to_numpy(zero_copy_only=False)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def frequent(rows: DataFrame, full: np.ndarray, hot: int) -> DataFrame:
+    """(word, n) of the words that more than `hot` rows have; all of them stand in the full buckets."""
+    shared = rows.sparkSession.sparkContext.broadcast(full)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(np.isin(bucket(batch.column(0)), shared.value)))
+
+    return in_arrow(rows.select("word"), run, "word int").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+
+
+def candidates(rows: DataFrame, words: DataFrame, threshold: float, most: int, hot: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (doc, place, doc2, place2) of a later and an earlier line that share a prefix word and pass the filters, of each line and word the
+    `most` earliest; and the lines and words (doc, place, word) that have others.
+
+    rows: word, span (place in the order << 32 | size), doc, place, bitmap, and probe, if only some are taken as the later one; words: as
+    `group_sizes` takes them. Tasks get about TASK_ROWS rows each, whatever the number of shuffle partitions is set to."""
+    n_rows, full = group_sizes(words, hot)
+    hot_words = scratch.keep(frequent(rows, full, hot), f"{name}-hot") if len(full) else None
     keys = ["word"]
-    if not hot_words.isEmpty():
+    if hot_words is not None and not hot_words.isEmpty():
         n = F.ceil(F.col("n") / F.lit(hot)).cast("int")
         large = rows.join(hot_words, "word").withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("doc", "place"), F.col("n")).cast("int"))
         large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -335,14 +361,22 @@ def candidates(rows: DataFrame, threshold: float, most: int, hot: int, scratch:
         earlier = by_rank[earlier]
         for k in range(0, len(later), 100_000):
             a, b = later[k : k + 100_000], earlier[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(place[a]), pa.array(doc[b]), pa.array(place[b]), pa.array(passed[a] > most)], ["doc", "place", "doc2", "place2", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(place[a]), pa.array(doc[b]), pa.array(place[b]), pa.nulls(len(a), pa.int32())], PAIR_COLUMNS)
+        others = np.flatnonzero(passed > most)
+        for k in range(0, len(others), 100_000):
+            a = others[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(place[a]), *[pa.nulls(len(a), pa.int64())] * 2, pa.array(word[a])], PAIR_COLUMNS)
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         release()
 
-    found = rows.repartition(max(1, -(-n_rows // TASK_ROWS)), *keys).mapInArrow(released, "doc long, place long, doc2 long, place2 long, more boolean")
-    return scratch.keep(found.groupBy("doc", "place", "doc2", "place2").agg(F.max("more").alias("more")), name)
+    found = rows.repartition(max(1, -(-n_rows // TASK_ROWS)), *keys).mapInArrow(released, "doc long, place long, doc2 long, place2 long, word int")
+    found = scratch.keep(found.distinct(), name)
+    return found.where("word IS NULL").drop("word"), found.where("word IS NOT NULL").select("doc", "place", "word")
+
+
+PAIR_COLUMNS = ["doc", "place", "doc2", "place2", "word"]
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -402,23 +436,16 @@ def prefix_rows(first: DataFrame) -> DataFrame:
     )
 
 
-def touched(first: DataFrame, open_lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Prefix rows of the groups in which the open lines stand; two bit tables find them without a shuffle.
+def touched(first: DataFrame, open_words: DataFrame) -> DataFrame:
+    """Prefix rows of the groups of the open lines' words (doc, place, word); two bit tables find them without a shuffle.
 
     Rows that share a bit with one of the words come along: more is compared, nothing is lost."""
-    lines = place_marks(open_lines)
-
-    def mine(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hit = lines.value.has(place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        return batch.filter(pa.array(hit))
-
-    near = in_arrow(first.select("doc", "place", "prefix"), mine, "doc long, place long, prefix array<int>")
-    words = scratch.keep(near.join(open_lines, ["doc", "place"], "left_semi").select(F.explode("prefix").alias("word")).distinct(), name)
+    lines = place_marks(open_words.select("doc", "place").distinct())
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield word_hash(batch.column(0).to_numpy())
 
-    wanted = first.sparkSession.sparkContext.broadcast(marks(words, keys))
+    wanted = first.sparkSession.sparkContext.broadcast(marks(open_words.select("word").distinct(), keys))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prefix = batch.column(4)
@@ -463,18 +490,19 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = keyed(docs, id_col, text_col)
     rarity, n_words = word_counts(source)
     parts = max(partitions(spark), -(-n_words // 8_000_000))
-    table = scratch.keep(first_lines(line_table(source, rarity, threshold, least_words), parts), "first")
+    # hashes all, so no dictionaries
+    table = scratch.keep(first_lines(line_table(source, rarity, threshold, least_words), parts), "first", **{"parquet.enable.dictionary": "false"})
     first = table.where("size > 0").select("doc", "place", "size", "bitmap", "prefix")
-    pairs = candidates(prefix_rows(first), threshold, FIRST_ROUND, hot, scratch, "pairs")
+    pairs, more = candidates(prefix_rows(first), first.select("prefix"), threshold, FIRST_ROUND, hot, scratch, "pairs")
     good = scratch.keep(verified(source, pairs, threshold), "good")
     later, most, k = good.select("doc", "place").distinct(), FIRST_ROUND, 0
     while True:  # lines whose earliest candidates all failed and that have more
-        open_lines = scratch.keep(pairs.where("more").select("doc", "place").distinct().join(later, ["doc", "place"], "left_anti"), f"open-{k}")
-        if open_lines.isEmpty():
+        open_words = scratch.keep(more.join(later, ["doc", "place"], "left_anti"), f"open-{k}")
+        if open_words.isEmpty():
             break
         most, k = most * ROUND, k + 1
-        around = scratch.keep(touched(first, open_lines, scratch, f"words-{k}"), f"around-{k}")
-        pairs = candidates(around, threshold, most, hot, scratch, f"pairs-{k}")
+        around = scratch.keep(touched(first, open_words), f"around-{k}")
+        pairs, more = candidates(around, around.select("word"), threshold, most, hot, scratch, f"pairs-{k}")
         good = scratch.keep(verified(source, pairs, threshold), f"good-{k}")
         later = later.union(good.select("doc", "place").distinct())
     removed = table.where("size = 0").select("doc", "place").union(later)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from .common import release
 
 SLICE_BITS = 16
+#: Slices that a task adds up; 512 KB each.
+TASK_SLICES = 4
 
 
 def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
@@ -23,7 +25,11 @@ def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np
     slices = (1 << bits) // width
 
     def pack(index: int, values: np.ndarray) -> tuple[int, bytes]:
-        return index, zlib.compress(values.astype("<i8").tobytes(), 1)  # sums may pass 32 bits
+        return index, zlib.compress(values.astype(np.min_scalar_type(values.max())).tobytes(), 1)  # sums may pass 32 bits, most counts fit 8 or 16
+
+    def unpack(data: bytes) -> np.ndarray:
+        raw = zlib.decompress(data)
+        return np.frombuffer(raw, f"u{len(raw) // width}").astype(np.int64)
 
     def out(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["slice", "data"])
@@ -54,15 +60,17 @@ def bucket_counts(df: DataFrame, buckets: Callable[[pa.RecordBatch], Iterator[np
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(data), "<i8")
-                sums[i] = sums[i] + got if i in sums else got
+                if i in sums:
+                    sums[i] += unpack(data)
+                else:
+                    sums[i] = unpack(data)
         if sums:
             yield out([pack(i, v) for i, v in sums.items()])
 
     schema = "slice int, data binary"
     total = np.zeros(1 << bits, np.int64)
-    for row in df.mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema).collect():  # one row a slice
-        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), "<i8")
+    for row in df.mapInArrow(count, schema).repartition(-(-slices // TASK_SLICES), "slice").mapInArrow(add, schema).collect():  # one row a slice
+        total[row["slice"] * width : (row["slice"] + 1) * width] = unpack(row["data"])
     return total
 
 
